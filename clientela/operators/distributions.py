@@ -209,3 +209,49 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for a in columns
     ]
     return r.select(F.explode(F.array(*rows)).alias("row")).select("row.*")
+
+
+def full_profile(df: DataFrame, cluster: str = "Cluster") -> DataFrame:
+    """Size, mean and median recency, frequency and value, mean order value and review."""
+    known = df.where(F.col(cluster).isNotNull())
+    means = {"AOV_mean": "Avg_Order_Value", "Review_mean": "Avg_Review"}
+    columns = ["Recency", "Frequency", "Monetary"]
+    profile = known.groupBy(cluster).agg(
+        F.count(F.lit(1)).alias("Qtd_Clientes"),
+        *[F.avg(F.col(c).cast("double")).alias(f"{c}_mean") for c in columns],
+        *[F.avg(c).alias(n) for n, c in means.items() if c in df.columns],
+    )
+    long = long_form(known, columns, [cluster])
+    medians = quantiles(long, "value", {"median": 0.5}, by=[cluster, "metric"])
+    wide = medians.groupBy(cluster).agg(
+        *[F.max(F.when(F.col("metric") == c, F.col("median"))).alias(f"{c}_median") for c in columns]
+    )
+    return profile.join(wide, cluster)
+
+
+def min_max(profile: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Scale columns of a profile (one row per cluster) to 0…1."""
+    everything = Window.partitionBy()
+    scaled = {}
+    for c in columns:
+        low, high = F.min(c).over(everything), F.max(c).over(everything)
+        scaled[c] = (F.col(c) - low) / (high - low + 1e-9)
+    return profile.withColumns(scaled)
+
+
+def rank_score(profile: DataFrame, cluster: str = "Cluster") -> DataFrame:
+    """Ranks of a profile (one row per cluster) and their sum; equal means share a mean rank.
+
+    Low recency is good, high frequency and value are good.
+    """
+    ranks = {}
+    for name, column, order in (
+        ("R_rank", "R_mean", F.col("R_mean").asc()),
+        ("F_rank", "F_mean", F.col("F_mean").desc()),
+        ("M_rank", "M_mean", F.col("M_mean").desc()),
+    ):
+        tied = F.count(F.lit(1)).over(Window.partitionBy(column))
+        ranks[name] = F.rank().over(Window.orderBy(order)) + (tied - 1) / 2
+    return profile.withColumns(ranks).select(
+        cluster, *ranks, (F.col("R_rank") + F.col("F_rank") + F.col("M_rank")).alias("Score")
+    )

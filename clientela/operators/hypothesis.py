@@ -41,11 +41,11 @@ def group_moments(df: DataFrame, group: str, columns: Sequence[str]) -> DataFram
 def variance_parts(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """Variation between and within groups, per metric: one row per metric."""
     moments = group_moments(df, group, columns)
-    n = F.sum("n")
-    grand = F.sum(F.col("n") * F.col("mean")) / n
-    totals = moments.groupBy("metric").agg(n.alias("n_all"), grand.alias("grand"))
+    per_metric = Window.partitionBy("metric")  # a few rows: one per group
+    n_all = F.sum("n").over(per_metric)
+    grand = F.sum(F.col("n") * F.col("mean")).over(per_metric) / n_all
     return (
-        moments.join(F.broadcast(totals), "metric")  # one row per metric
+        moments.withColumns({"n_all": n_all, "grand": grand})
         .groupBy("metric")
         .agg(
             F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("ss_between"),
