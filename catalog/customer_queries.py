@@ -12,7 +12,6 @@ from catalog.model import (
     marts,
     rule_cluster,
     stored_customers,
-    tables,
     tidy,
 )
 from catalog.prelude import base as sql_base
@@ -25,7 +24,7 @@ from clientela.operators import rfm as rfm_
 from clientela.operators.orders import payment_mix
 from clientela.session import settle
 from clientela.sources.dimensions import AT_RISK, calendar_of, dim_segments
-from clientela.sources.star_schema import STATUS, model_tables
+from clientela.sources.star_schema import SNAPSHOT, model_tables
 
 # ---------------------------------------------------------------- bins, scores, segments
 
@@ -672,8 +671,6 @@ def action_plan(spark: SparkSession, folder: str) -> DataFrame:
 )
 def diagnostic(spark: SparkSession, folder: str) -> DataFrame:
     orders = settle(base(spark, folder))
-    from clientela.sources.star_schema import SNAPSHOT
-
     return kpis.diagnostic(rfm_.rfm(orders, SNAPSHOT), rfm_.cohort_retention(orders))
 
 
@@ -948,7 +945,7 @@ def _per_metric(body: str) -> str:
 
 
 _F_TAIL = """(SELECT round(sum(exp(lgamma(dw / 2.0 + db / 2.0) - lgamma(dw / 2.0) - lgamma(db / 2.0)
-    + (dw / 2.0 - 1) * ln(t) + (db / 2.0 - 1) * ln(1 - t))) * (dw / (dw + db * f)) / 20000, 6)
+    + (dw / 2.0 - 1) * ln(t) + (db / 2.0 - 1) * ln(1 - t))) * (dw / (dw + db * f)) / 20000, 4)
     FROM (SELECT (i + 0.5) / 20000 * (dw / (dw + db * f)) AS t FROM range(20000) AS r(i)))"""
 
 
@@ -967,7 +964,7 @@ _F_TAIL = """(SELECT round(sum(exp(lgamma(dw / 2.0 + db / 2.0) - lgamma(dw / 2.0
 )
 def anova(spark: SparkSession, folder: str) -> DataFrame:
     found = hypothesis.anova(_grouped(spark, folder), "Cluster", _METRICS)
-    return tidy(found.withColumn("p_value", F.round("p_value", 6)), 4)
+    return tidy(found, 4)
 
 
 @query(
