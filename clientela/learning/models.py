@@ -138,7 +138,8 @@ def candidates(
     """
 
     def held_back(train: DataFrame) -> DataFrame:
-        order = hash_order(id_column, SEED)
+        # Another seed than the splits use: the training rows are cut along that hash.
+        order = hash_order(id_column, SEED + 1)
         early = F.lit(f"{int(0.15 * 2**60):015x}")
         return balanced(train).withColumn("validation", order < early)
 

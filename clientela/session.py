@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate files, next to the checkpoints."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and read on from there.
 
