@@ -43,7 +43,7 @@ def base(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
-    return rfm(base(spark, folder), SNAPSHOT)
+    return rfm(orders_base(tables(spark, folder), STATUS, with_category=False), SNAPSHOT)
 
 
 def stored_customers(spark: SparkSession, folder: str) -> DataFrame:

@@ -128,20 +128,38 @@ def quantiles(
     distinct values; they may use the columns ``value`` (double), ``n``, ``upto``.
     """
     ranked = ranked_values(df, value, by).withColumn("value", F.col("value").cast("double"))
-    last_index = (F.col("upto_total") - 1).cast("double")
 
-    def at(index: Column) -> Column:
-        here = (F.col("upto") - F.col("n") <= index) & (index < F.col("upto"))
-        return F.max(F.when(here, F.col("value")))
+    def position(p: float, size: Column) -> Column:
+        return (size - 1).cast("double") * F.lit(float(p))
 
+    # The two neighbours of every position, numbered; few rows hold one of them.
+    size = F.col("upto_total")
+    wanted = F.array(
+        *[
+            F.struct(F.lit(2 * i + high).alias("no"), side(position(p, size)).alias("at"))
+            for i, p in enumerate(probabilities.values())
+            for high, side in enumerate((F.floor, F.ceil))
+        ]
+    )
+    here = F.filter(
+        wanted,
+        lambda w: (w["at"] >= F.col("upto") - F.col("n")) & (w["at"] < F.col("upto")),
+    )
+    hits = F.transform(here, lambda w: F.struct(w["no"].alias("no"), F.col("value").alias("v")))
+    found = ranked.withColumn("_hits", hits).groupBy(*by).agg(
+        F.map_from_entries(
+            F.flatten(F.collect_list(F.when(F.size("_hits") > 0, F.col("_hits"))))
+        ).alias("_found"),
+        F.max("upto_total").alias("_size"),
+        *[c.alias(n) for n, c in aggregates.items()],
+    )
     columns = []
-    for name, p in probabilities.items():
-        position = last_index * F.lit(float(p))
-        low, high = at(F.floor(position)), at(F.ceil(position))
-        share = F.max(position - F.floor(position))
-        columns.append((low + (high - low) * share).alias(name))
-    extra = [c.alias(n) for n, c in aggregates.items()]
-    return ranked.groupBy(*by).agg(*columns, *extra)
+    for i, (name, p) in enumerate(probabilities.items()):
+        low = F.try_element_at("_found", F.lit(2 * i))
+        high = F.try_element_at("_found", F.lit(2 * i + 1))
+        place = position(p, F.col("_size"))
+        columns.append((low + (high - low) * (place - F.floor(place))).alias(name))
+    return found.select(*by, *columns, *aggregates)
 
 
 def keys_at_ranks(

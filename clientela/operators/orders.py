@@ -122,12 +122,15 @@ def dominant_payment_sum(payments: DataFrame) -> DataFrame:
     return by_type.groupBy("order_id").agg(F.min_by("payment_type", order).alias("payment_type"))
 
 
-def orders_base(tables: Tables, status: str = "delivered") -> DataFrame:
+def orders_base(
+    tables: Tables, status: str = "delivered", with_category: bool = True
+) -> DataFrame:
     """One row per order of the given status with value, items, review, customer and category.
 
-    The order value is what was paid, or the item value where no payment is known.
+    The order value is what was paid, or the item value where no payment is known. The
+    category needs ``products``; leave it out where nobody reads it.
     """
-    with_product = tables.products is not None
+    with_product = with_category and tables.products is not None
     base = (
         tables.orders.where(F.col("order_status") == status)
         .select("order_id", "customer_id", "order_purchase_timestamp")

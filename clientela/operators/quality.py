@@ -68,14 +68,13 @@ def keep_one_per_key(
     """One whole row per key: the first in the order ``by`` (or the last).
 
     An aggregate, not a window, so that the rows of a hot key are reduced before the shuffle.
-    Rows without a key are dropped.
+    The result stays partitioned by ``key``. Rows without a key are dropped.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != key])
     order = F.struct(*by)
     chosen = F.max_by(row, order) if last else F.min_by(row, order)
-    return (
-        df.where(F.col(key).isNotNull()).groupBy(key).agg(chosen.alias("_row")).select("_row.*")
-    )
+    kept = df.where(F.col(key).isNotNull()).groupBy(key).agg(chosen.alias("_row"))
+    return kept.select([F.col(c if c == key else f"_row.`{c}`") for c in df.columns])
 
 
 def _review_order(reviews: DataFrame, ties: Sequence[str]) -> list[Column]:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,15 @@ def quantile_edges(df: DataFrame, value: str, q: int, duplicates: str = "raise")
     return edges
 
 
+def quantile_label(value: str, edges: Sequence[float], labels: Sequence | None = None) -> Column:
+    """Right-closed bins between ``edges``, the lowest value included; null stays null."""
+    inner = list(edges[1:-1])
+    labels = list(labels or range(1, len(edges)))
+    v = F.col(value).cast("double")
+    label = banded(v, inner, labels[: len(inner) + 1]) if inner else F.lit(labels[0])
+    return F.when(v.isNotNull(), label)
+
+
 def quantile_bins(
     df: DataFrame,
     value: str,
@@ -46,33 +57,30 @@ def quantile_bins(
 ) -> DataFrame:
     """Bins with right-closed quantile edges, the lowest value included."""
     edges = quantile_edges(df, value, q, duplicates)
-    inner = edges[1:-1]
-    labels = list(labels or range(1, len(edges)))
-    v = F.col(value).cast("double")
-    if not inner:
-        label: Column = F.lit(labels[0])
-    else:
-        label = banded(v, inner, labels[: len(inner) + 1])
-    return df.withColumn(name, F.when(v.isNotNull(), label))
+    return df.withColumn(name, quantile_label(value, edges, labels))
 
 
-def rank_bins(df: DataFrame, value: str, id_column: str, q: int, name: str = "bin") -> DataFrame:
-    """``q`` bins of equal size by rank; equal values are ordered by id.
+def rank_label(df: DataFrame, value: str, id_column: str, q: int) -> Column:
+    """``q`` bins of equal size by rank, 1…q; equal values are ordered by id.
 
-    Bin b ends at rank floor(b·(n−1)/q)+1. Only those q−1 boundary keys are looked up; the
-    table itself is then labelled in place, without a shuffle.
+    Bin b ends at rank floor(b·(n−1)/q)+1. Only those q−1 boundary keys are looked up; rows
+    are then labelled where they are, without a shuffle.
     """
     order = {"value": F.col(value), "id": F.col(id_column)}
-    types = {"value": df.schema[value].dataType.simpleString(),
-             "id": df.schema[id_column].dataType.simpleString()}
+    types = {
+        "value": df.schema[value].dataType.simpleString(),
+        "id": df.schema[id_column].dataType.simpleString(),
+    }
     ranks = {str(b): F.floor(F.lit(b) * (F.col("size") - 1) / q) + 1 for b in range(1, q)}
     present = df.where(F.col(value).isNotNull())
-    cuts = {int(k["label"]): k for k in keys_at_ranks(present, order, ranks)}
     label = F.lit(1)
-    for b in range(1, q):
-        if b in cuts:
-            label = label + after(order, cuts[b], types).cast("int")
-    return df.withColumn(name, F.when(F.col(value).isNotNull(), label))
+    for cut in keys_at_ranks(present, order, ranks):
+        label = label + after(order, cut, types).cast("int")
+    return F.when(F.col(value).isNotNull(), label)
+
+
+def rank_bins(df: DataFrame, value: str, id_column: str, q: int, name: str = "bin") -> DataFrame:
+    return df.withColumn(name, rank_label(df, value, id_column, q))
 
 
 def rfm_segment(r: Column, f: Column, m: Column) -> Column:
@@ -96,14 +104,22 @@ def rfm_segment(r: Column, f: Column, m: Column) -> Column:
 def rfm_scores(rfm: DataFrame, q: int = 5, id_column: str = "customer_unique_id") -> DataFrame:
     """R, F and M scores 1…q, their bucket and sum, and the classic segment.
 
-    ``rfm`` is read once per score; pass a stored or settled table.
+    ``rfm`` is read once per score; pass a stored or settled table. The boundaries of the
+    three scores do not depend on each other and are looked up side by side.
     """
     check_columns(rfm, ["Recency", "Frequency", "Monetary"])
-    scored = quantile_bins(rfm, "Recency", q, list(range(q, 0, -1)), "R_score")
-    scored = rank_bins(scored, "Frequency", id_column, q, "F_score")
-    scored = rank_bins(scored, "Monetary", id_column, q, "M_score")
+    in_thread = inheritable_thread_target(rfm.sparkSession)
+    with ThreadPool(3) as pool:
+        edges = pool.apply_async(in_thread(quantile_edges), (rfm, "Recency", q))
+        by_orders = pool.apply_async(in_thread(rank_label), (rfm, "Frequency", id_column, q))
+        by_value = pool.apply_async(in_thread(rank_label), (rfm, "Monetary", id_column, q))
+        scores = {
+            "R_score": quantile_label("Recency", edges.get(), list(range(q, 0, -1))),
+            "F_score": by_orders.get(),
+            "M_score": by_value.get(),
+        }
     r, f, m = F.col("R_score"), F.col("F_score"), F.col("M_score")
-    return scored.withColumns(
+    return rfm.withColumns(scores).withColumns(
         {
             "RFM_bucket": F.concat(r.cast("string"), f.cast("string"), m.cast("string")),
             "RFM_score": r + f + m,

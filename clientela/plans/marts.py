@@ -58,7 +58,10 @@ def build_marts(tables: Tables, settings: Settings, model_folder: str) -> dict[s
     check_customers(tables.customers)
     delivered = tables.orders.where(tables.orders["order_status"] == settings.status)
     check_snapshot(delivered, settings.snapshot)
-    tables = tables.with_(reviews=latest_review(tables.reviews))
+    # Only what the base needs goes through the deduplication, not the comments.
+    needed = {"order_id", "review_id", "review_score", "review_creation_date"}
+    reviews = tables.reviews.select([c for c in tables.reviews.columns if c in needed])
+    tables = tables.with_(reviews=latest_review(reviews))
 
     orders = settle(orders_base(tables, settings.status))
     people = settle(rfm(orders, settings.snapshot))

@@ -18,8 +18,28 @@ EVENT_SNAPSHOT = "2024-02-01"
 PROMISED_DAYS = 36
 
 
+# Known schemas spare the job that would read them from a file footer.
+SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+}
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
+    reader = spark.read
+    if table in SCHEMAS:
+        reader = reader.schema(SCHEMAS[table])
+    return reader.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
 def model_tables(spark: SparkSession, folder: str, with_delivery: bool = False) -> Tables:
