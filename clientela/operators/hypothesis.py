@@ -166,29 +166,29 @@ def chi_square_statistic(df: DataFrame, rows: str, columns: str) -> DataFrame:
     A 2×2 table gets the continuity correction.
     """
     present = df.where(F.col(rows).isNotNull() & F.col(columns).isNotNull())
-    counts = present.groupBy(rows, columns).agg(F.count(F.lit(1)).cast("double").alias("o"))
+    counts = present.groupBy(rows, columns).agg(F.count(F.lit(1)).cast("double").alias("_o"))
     margins = counts.select(
         rows,
         columns,
-        "o",
-        F.sum("o").over(Window.partitionBy(rows)).alias("r"),
-        F.sum("o").over(Window.partitionBy(columns)).alias("c"),
+        "_o",
+        F.sum("_o").over(Window.partitionBy(rows)).alias("_r"),
+        F.sum("_o").over(Window.partitionBy(columns)).alias("_c"),
     )
-    total = F.sum("o")
+    total = F.sum("_o")
     # Σ over rows of 1/R: each row's 1/R is spread over its cells in proportion O/R.
-    inverse_rows = F.sum(F.col("o") / F.col("r") / F.col("r"))
-    inverse_columns = F.sum(F.col("o") / F.col("c") / F.col("c"))
+    inverse_rows = F.sum(F.col("_o") / F.col("_r") / F.col("_r"))
+    inverse_columns = F.sum(F.col("_o") / F.col("_c") / F.col("_c"))
     summary = margins.agg(
         total.alias("n"),
-        F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("q"),
+        F.sum(F.col("_o") * F.col("_o") / (F.col("_r") * F.col("_c"))).alias("q"),
         F.count_distinct(rows).alias("n_rows"),
         F.count_distinct(columns).alias("n_columns"),
         inverse_rows.alias("ir"),
         inverse_columns.alias("ic"),
-        F.max_by(F.struct("o", "r", "c"), "o").alias("cell"),
+        F.max_by(F.struct("_o", "_r", "_c"), "_o").alias("cell"),
     )
     dof = (F.col("n_rows") - 1) * (F.col("n_columns") - 1)
-    off = F.abs(F.col("cell.o") - F.col("cell.r") * F.col("cell.c") / F.col("n"))
+    off = F.abs(F.col("cell._o") - F.col("cell._r") * F.col("cell._c") / F.col("n"))
     corrected = (off - F.least(F.lit(0.5), off)) ** 2 * F.col("n") * F.col("ir") * F.col("ic")
     plain = F.col("n") * (F.col("q") - 1)
     return summary.select(
