@@ -418,7 +418,7 @@ def top_n_share_ties(spark: SparkSession, folder: str) -> DataFrame:
 _BASE_MEASURES = f"""count(*) AS total_clientes, CAST(sum(Monetary) AS DOUBLE) AS receita_total,
     avg(Recency) AS recencia_media, avg(Frequency) AS frequency_media,
     {mean("CAST(CLV_12m AS DECIMAL(18,2))")} AS clv_medio,
-    {half_even("avg(Avg_Order_Value)", 4)} AS ticket_medio_cliente,
+    {half_even("avg(Avg_Order_Value)", 6)} AS ticket_medio_cliente,
     count(*) FILTER (Recency > 365) AS clientes_em_risco,
     count(*) FILTER (Frequency = 1) AS clientes_1_compra,
     coalesce(CAST(sum(Monetary) FILTER (Recency > 365) AS DOUBLE), 0) AS receita_em_risco"""
@@ -440,7 +440,7 @@ _DERIVED = """receita_total / total_pedidos AS ticket_medio,
 def base_measures(spark: SparkSession, folder: str) -> DataFrame:
     people, orders = marts(spark, folder)
     found = kpis.measures(people, orders)
-    ticket = F.rint(F.col("ticket_medio_cliente") * 10000.0) / 10000.0
+    ticket = F.rint(F.col("ticket_medio_cliente") * 1e6) / 1e6
     return tidy(found.withColumn("ticket_medio_cliente", ticket))
 
 
@@ -453,7 +453,7 @@ def base_measures(spark: SparkSession, folder: str) -> DataFrame:
 def measures_by_cluster(spark: SparkSession, folder: str) -> DataFrame:
     people, orders = marts(spark, folder)
     found = kpis.measures(people, orders, ["Cluster_Name"])
-    ticket = F.rint(F.col("ticket_medio_cliente") * 10000.0) / 10000.0
+    ticket = F.rint(F.col("ticket_medio_cliente") * 1e6) / 1e6
     return tidy(found.withColumn("ticket_medio_cliente", ticket))
 
 

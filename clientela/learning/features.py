@@ -17,6 +17,7 @@ from clientela.functions.scalars import (
 from clientela.operators.ordering import quantiles
 from clientela.operators.orders import dominant_payment_row, translated_category
 from clientela.operators.quality import first_review
+from clientela.session import settle
 from clientela.sources.tables import Tables
 
 BAD_REVIEW = 2  # fixed value: highest score of a bad review
@@ -163,12 +164,12 @@ def repeat_features(orders: DataFrame, mode: str = "column") -> DataFrame:
     """Customer id, features of the first order, and the target ``y``: two or more orders.
 
     ``orders`` is the order mart, whose purchase times are dates. Missing review scores
-    become the median; the table is read twice for that.
+    become the median of the known ones.
     """
     dated = orders.withColumn(
         "order_purchase_timestamp", F.to_date("order_purchase_timestamp")
     )
-    first = first_order_per_customer(dated, mode)
+    first = settle(first_order_per_customer(dated, mode))
     middle = quantiles(first, "review_score", {"median": 0.5}).first()
     median = middle["median"] if middle is not None else None
     paid, items = number("total_payment"), number("total_items_value")

@@ -56,13 +56,17 @@ def _quoted(text: str) -> str:
 
 def _merge_rare(train: DataFrame, categories: Sequence[str]) -> SQLTransformer:
     """Keep the levels with at least 1 % of the rows; at most 100 per column can have that."""
-    n = train.count()
+    names = list(categories)
+    counts = (
+        train.select(names)
+        .unpivot([], names, "name", "level")
+        .groupBy("name", "level")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    frequent = counts.where(F.col("n") >= MIN_SHARE * train.count()).collect()
     columns = []
-    for c in categories:
-        frequent = (
-            train.groupBy(c).count().where(F.col("count") >= MIN_SHARE * n).select(c).collect()
-        )
-        levels = sorted(r[0] for r in frequent if r[0] is not None)
+    for c in names:
+        levels = sorted(r["level"] for r in frequent if r["name"] == c and r["level"] is not None)
         listed = ", ".join(_quoted(v) for v in levels) or _quoted(RARE)
         columns.append(f"CASE WHEN `{c}` IN ({listed}) THEN `{c}` ELSE '{RARE}' END AS `{c}_kept`")
     return SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")

@@ -27,53 +27,72 @@ def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def running_totals(
-    df: DataFrame,
-    order: Sequence[Column],
-    totals: Mapping[str, Column],
-    by: Sequence[str] = (),
-    keep_totals: bool = True,
-) -> DataFrame:
-    """Add, for each name in ``totals``, the running sum in ``order`` up to and including the row.
+def _lay_out(
+    df: DataFrame, order: Sequence[Column], totals: Mapping[str, Column], by: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """The rows in range partitions, settled; and one row per part with where it starts.
 
-    With ``keep_totals`` the whole sum is added as ``<name>_total``. With ``by`` the sums
-    start anew in every group; a group may span many parts.
+    Amounts are in ``_x_<name>``; starts have the sum before (``_b_``) and within (``_s_``)
+    the part and the whole sum (``<name>_total``).
     """
-    keys = [F.col(c) for c in by]
     amounts = {f"_x_{n}": c for n, c in totals.items()}
     laid_out = settle(
         df.withColumns(amounts)
-        .repartitionByRange(*keys, *order)
+        .repartitionByRange(*[F.col(c) for c in by], *order)
         .withColumn(PART, F.spark_partition_id())
     )
     per_part = laid_out.groupBy(*by, PART).agg(
-        *[F.sum(f"_x_{n}").alias(f"_s_{n}") for n in totals]
+        *[F.coalesce(F.sum(f"_x_{n}"), F.lit(0)).alias(f"_s_{n}") for n in totals]
     )
     earlier = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     starts = per_part.select(
         *by,
         PART,
-        *[F.sum(f"_s_{n}").over(earlier).alias(f"_b_{n}") for n in totals],
-        *[F.sum(f"_s_{n}").over(whole).alias(f"{n}_total") for n in totals if keep_totals],
+        *[F.col(f"_s_{n}") for n in totals],
+        *[
+            F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}")
+            for n in totals
+        ],
+        *[F.sum(f"_s_{n}").over(whole).alias(f"{n}_total") for n in totals],
     )
     if not by:
         starts = F.broadcast(starts)  # one row per shuffle partition
+    return laid_out, starts
+
+
+def _within_parts(
+    laid_out: DataFrame,
+    starts: DataFrame,
+    order: Sequence[Column],
+    totals: Mapping[str, Column],
+    by: Sequence[str],
+) -> DataFrame:
     so_far = (
         Window.partitionBy(*by, PART)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = laid_out.join(starts, [*by, PART])
-    out = joined.withColumns(
-        {
-            n: F.coalesce(F.col(f"_b_{n}"), F.lit(0))
-            + F.coalesce(F.sum(f"_x_{n}").over(so_far), F.lit(0))
-            for n in totals
-        }
-    )
-    helpers = [PART, *amounts, *[f"_b_{n}" for n in totals]]
-    return out.drop(*helpers)
+    running = {
+        n: F.col(f"_b_{n}") + F.coalesce(F.sum(f"_x_{n}").over(so_far), F.lit(0)) for n in totals
+    }
+    helpers = [f"{p}{n}" for n in totals for p in ("_x_", "_b_", "_s_")]
+    return laid_out.join(starts, [*by, PART]).withColumns(running).drop(PART, *helpers)
+
+
+def running_totals(
+    df: DataFrame,
+    order: Sequence[Column],
+    totals: Mapping[str, Column],
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Add, for each name in ``totals``, the running sum in ``order`` up to and including the row.
+
+    The whole sum is added as ``<name>_total``. With ``by`` the sums start anew in every
+    group; a group may span many parts.
+    """
+    laid_out, starts = _lay_out(df, order, totals, by)
+    return _within_parts(laid_out, starts, order, totals, by)
 
 
 def with_rank(
@@ -175,13 +194,23 @@ def keys_at_ranks(
     only one row per label (and group) comes back.
     """
     narrow = df.select(*by, *[c.alias(n) for n, c in order.items()])
-    ranked = with_rank(narrow, [F.col(n) for n in order], "_rank", by)
-    ranked = ranked.withColumnRenamed("_rank_total", "size")
+    keys, count = [F.col(n) for n in order], {"_rank": F.lit(1).cast("bigint")}
+    laid_out, starts = _lay_out(narrow, keys, count, by)
     wanted = F.array(
         *[F.struct(F.lit(n).alias("label"), r.cast("bigint").alias("at")) for n, r in ranks_of.items()]
     )
+    before, here = F.col("_b__rank"), F.col("_s__rank")
+    # Only the few parts that hold one of the ranks are sorted and numbered.
+    holding = (
+        starts.withColumnRenamed("_rank_total", "size")
+        .withColumn(
+            "_hits", F.filter(wanted, lambda w: (w["at"] > before) & (w["at"] <= before + here))
+        )
+        .where(F.size("_hits") > 0)
+    )
     hits = (
-        ranked.withColumn("hit", F.explode(F.filter(wanted, lambda w: w["at"] == F.col("_rank"))))
+        _within_parts(laid_out, holding, keys, count, by)
+        .withColumn("hit", F.explode(F.filter("_hits", lambda w: w["at"] == F.col("_rank"))))
         .select(*by, "hit.label", *order, "_rank", "size")
     )
     return [r.asDict() for r in hits.collect()]

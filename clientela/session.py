@@ -1,4 +1,4 @@
-"""Session settings and the one place where lineage is cut."""
+"""Session settings, and the one place where lineage is cut."""
 
 from __future__ import annotations
 
@@ -17,7 +17,6 @@ def build_session(app_name: str = "clientela", **conf: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
     for key, value in conf.items():
@@ -25,30 +24,38 @@ def build_session(app_name: str = "clientela", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def scratch_root(spark: SparkSession) -> str:
+    """The session's own folder below the shared one that the cluster names."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get(CHECKPOINT_DIR, None)
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="clientela-"))
-    else:
-        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
+    if context.getCheckpointDir() is None:
+        configured = spark.conf.get(CHECKPOINT_DIR, None)
+        if configured:
+            context.setCheckpointDir(configured)
+        elif context.master.startswith("local"):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="clientela-"))
+        else:
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
+    return context.getCheckpointDir()
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate files, next to the checkpoints."""
-    _ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    """A new folder for intermediate files."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder and read on from there.
+    """Write ``df`` as a table into the shared folder, once, and read on from there.
 
-    Used where a result is read several times, or where its partition layout is itself
-    data (see ``operators.ordering``). Survives the loss of executors.
+    Used where a result is read several times, or where its partition layout is itself data
+    (see ``operators.ordering``). Survives the loss of executors; later passes read only the
+    columns they need, and know the table's size.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this session has settled. Tables read from there are gone afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
