@@ -13,7 +13,7 @@ from clientela.learning import features as features_
 from clientela.learning import metrics, models, oversampling, splits, training
 from clientela.operators import clusters
 from clientela.operators.segments import assign_cluster_names as name_them
-from clientela.session import settle
+from clientela.session import scratch_folder, settle
 from clientela.sources.star_schema import SNAPSHOT, STATUS, model_tables
 
 # ---------------------------------------------------------------- clusters
@@ -44,6 +44,19 @@ def predict_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return named.select("customer_unique_id", "Cluster", "Cluster_Name")
 
 
+@query()
+def stored_model(spark: SparkSession, folder: str) -> DataFrame:
+    """A fitted model stored with its metadata, loaded again and applied."""
+    people = stored_customers(spark, folder)
+    model = clusters.fit_clusters(people, restarts=1)
+    metadata = clusters.clustering_metadata(people, model, SNAPSHOT, SNAPSHOT, restarts=1)
+    path = scratch_folder(spark, "model")
+    clusters.save_model(model, metadata, path)
+    again, _ = clusters.load_model(spark, path)
+    found = clusters.predict_clusters(people, again)
+    return found.groupBy("Cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def elbow(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.elbow(stored_customers(spark, folder), ks=range(2, 6), restarts=2)

@@ -73,16 +73,20 @@ def order_measures() -> dict[str, Column]:
     }
 
 
+def _side_by_side(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Columns of two aggregates in one row per group, groups of either side included."""
+    stacked = left.unionByName(right, allowMissingColumns=True)
+    figures = [c for c in stacked.columns if c not in by]
+    return stacked.groupBy(*by).agg(*[F.max(c).alias(c) for c in figures])
+
+
 def measures(
     customers: DataFrame, orders: DataFrame, by: Sequence[str] = ()
 ) -> DataFrame:
     """All base figures, overall or per value of columns that both marts carry."""
-    keys = list(by) or ["_all"]
-    if not by:
-        customers, orders = (t.withColumn("_all", F.lit(1)) for t in (customers, orders))
-    left = customers.groupBy(*keys).agg(*[c.alias(n) for n, c in customer_measures().items()])
-    right = orders.groupBy(*keys).agg(*[c.alias(n) for n, c in order_measures().items()])
-    both = left.join(right, keys, "full")
+    left = customers.groupBy(*by).agg(*[c.alias(n) for n, c in customer_measures().items()])
+    right = orders.groupBy(*by).agg(*[c.alias(n) for n, c in order_measures().items()])
+    both = _side_by_side(left, right, by)
     return both.withColumns(
         {
             "ticket_medio": safe_ratio("receita_total", "total_pedidos"),
@@ -90,7 +94,7 @@ def measures(
             "pct_compra_unica": safe_ratio("clientes_1_compra", "total_clientes"),
             "pct_receita_em_risco": safe_ratio("receita_em_risco", "receita_total"),
         }
-    ).drop("_all")
+    )
 
 
 def cluster_shares(customers: DataFrame) -> DataFrame:
@@ -317,15 +321,11 @@ def diagnostic(customers: DataFrame, cohort: DataFrame) -> DataFrame:
         F.try_divide(_count(F.col("Frequency") == 1), _count()).alias("pct_compra_unica"),
         F.coalesce(_revenue(_at_risk()), F.lit(0.0)).alias("receita_em_risco"),
         F.try_divide(_count(_at_risk()), _count()).alias("pct_em_risco"),
-    ).withColumn("_all", F.lit(1))
-    first_month = (
-        cohort.where(F.col("MesIndice") == 1)
-        .agg(
-            F.try_divide(F.sum("Clientes_Retidos"), F.sum("Tamanho_Safra")).alias("retencao_mes_1")
-        )
-        .withColumn("_all", F.lit(1))
     )
-    return figures.join(first_month, "_all").drop("_all")
+    first_month = cohort.where(F.col("MesIndice") == 1).agg(
+        F.try_divide(F.sum("Clientes_Retidos"), F.sum("Tamanho_Safra")).alias("retencao_mes_1")
+    )
+    return _side_by_side(figures, first_month)
 
 
 def funnel(customers: DataFrame) -> DataFrame:

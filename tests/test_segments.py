@@ -10,6 +10,7 @@ from clientela.functions import scalars as fn
 from clientela.operators import concentration as c
 from clientela.operators import ordering as o
 from clientela.operators import segments as s
+from clientela.session import scratch_root, settle
 from clientela.sources import dimensions as d
 from tests.fixtures import customers_frame, many_customers
 
@@ -74,6 +75,18 @@ def test_ranks_and_running_totals_with_a_hot_value(spark):
     assert set(got["r_total"]) == {len(want)}
 
 
+def test_a_hot_value_spreads_over_the_parts(spark):
+    df = hot_frame(spark, 4000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        laid_out, _ = o._lay_out(df, [F.col("x"), F.col("id")], {"r": F.lit(1)}, [])
+        sizes = [r["count"] for r in laid_out.groupBy(o.PART).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 4000 and len(sizes) >= 3
+    assert max(sizes) < 0.4 * 4000
+
+
 def test_ranks_within_groups(spark):
     df = hot_frame(spark).withColumn("g", F.when(F.col("x") == 1, "hot").otherwise("cold"))
     got = o.with_rank(df, [F.col("x"), F.col("id")], "r", by=["g"]).toPandas()
@@ -105,6 +118,13 @@ def test_sample_does_not_depend_on_layout(spark):
     assert o.sample_rows(df, "id", 10_000).count() == df.count()
 
 
+def test_settled_tables_lie_in_the_shared_folder(spark):
+    settled = settle(hot_frame(spark, 50).withColumn("m", F.col("x").cast("decimal(18,2)")))
+    assert settled.count() == 50 and dict(settled.dtypes)["m"] == "decimal(18,2)"
+    root = scratch_root(spark).rsplit("/", 1)[-1]
+    assert all(f"/{root}/" in f for f in settled.inputFiles())
+
+
 # ------------------------------------------------------------------ bins and scores
 
 
