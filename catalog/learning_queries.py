@@ -375,7 +375,7 @@ def _candidate_scores(spark: SparkSession, folder: str, name: str) -> DataFrame:
     train, test = _split(spark, folder)
     (candidate,) = _family(name)
     model = models.fit(candidate, train, REVIEW)
-    return models.scored(model, test).select("order_id", "y", "score")
+    return tidy(models.scored(model, test).select("order_id", "y", "score"))
 
 
 @query()
@@ -386,7 +386,17 @@ def preprocess(spark: SparkSession, folder: str) -> DataFrame:
     return ready.select("order_id", F.size(vector_to_array("features")).alias("width"))
 
 
-@query()
+_TEST_ROWS = """, parts AS (SELECT order_id, y, row_number() OVER (PARTITION BY y
+    ORDER BY md5('42:' || order_id), order_id) <= floor(count(*) OVER (PARTITION BY y)
+    * 0.2::DOUBLE + 0.5) AS is_test FROM review_f)"""
+
+
+@query(
+    _review_sql(
+        _TEST_ROWS + """ SELECT order_id, y, (SELECT CASE WHEN sum(y) * 2 > count(*) THEN 1.0::DOUBLE
+        ELSE 0.0::DOUBLE END FROM parts WHERE NOT is_test) AS score FROM parts WHERE is_test"""
+    )
+)
 def majority_baseline(spark: SparkSession, folder: str) -> DataFrame:
     return _candidate_scores(spark, folder, "baseline")
 
@@ -406,13 +416,17 @@ def gradient_boosting(spark: SparkSession, folder: str) -> DataFrame:
     return _candidate_scores(spark, folder, "boosting")
 
 
-@query()
+@query(
+    f"""WITH {BASE}, c AS (SELECT CAST(n >= 2 AS BIGINT) AS y, count(*) AS k FROM (
+      SELECT customer_unique_id, count(*) AS n FROM ob GROUP BY 1) GROUP BY 1)
+    SELECT y, (SELECT max(k) FROM c) AS n FROM c"""
+)
 def smote(spark: SparkSession, folder: str) -> DataFrame:
     rows = settle(features_.repeat_features(_order_mart(spark, folder)))
     preparation = models.fit_preprocessing(rows, REPEAT)
     prepared = settle(preparation.transform(rows).select(REPEAT.id_column, "y", "features"))
     more = oversampling.oversample(prepared, REPEAT.id_column)
-    return more.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    return tidy(more.groupBy("y").agg(F.count(F.lit(1)).alias("n")))
 
 
 @query()

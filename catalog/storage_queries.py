@@ -118,7 +118,39 @@ def parquet_mart(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
+_BIN = (
+    "CAST(greatest(1, ceil((row_number() OVER (ORDER BY {v}, customer_unique_id) - 1) * 5 "
+    "/ (count(*) OVER () - 1)::DOUBLE)) AS BIGINT)"
+)
+
+
+@query(
+    f"""WITH {LABELLED}, e AS (SELECT quantile_cont(Recency, [0.2, 0.4, 0.6, 0.8]) AS q FROM cust),
+    s AS (SELECT *, CAST(CASE WHEN Recency <= q[1] THEN 5 WHEN Recency <= q[2] THEN 4
+        WHEN Recency <= q[3] THEN 3 WHEN Recency <= q[4] THEN 2 ELSE 1 END AS BIGINT) AS R_score,
+      {_BIN.format(v="Frequency")} AS F_score, {_BIN.format(v="Monetary")} AS M_score,
+      CAST(sum(Monetary) OVER (ORDER BY Monetary DESC, customer_unique_id ROWS UNBOUNDED PRECEDING)
+        AS DOUBLE) / CAST(sum(Monetary) OVER () AS DOUBLE) AS cum_revenue_pct FROM cust, e)
+    SELECT customer_unique_id, Recency, Frequency, CAST(Monetary AS DOUBLE) AS Monetary,
+      Avg_Order_Value, Items, Avg_Review, CAST(Cluster AS BIGINT) AS Cluster, Freq_Mensal, CLV_12m,
+      Cluster_Name, R_score, F_score, M_score, concat(R_score, F_score, M_score) AS RFM_bucket,
+      R_score + F_score + M_score AS RFM_score, cum_revenue_pct,
+      CASE WHEN R_score >= 4 AND F_score >= 4 AND M_score >= 4 THEN 'Champions'
+        WHEN R_score >= 4 AND F_score >= 3 AND M_score >= 3 THEN 'Loyal Customers'
+        WHEN R_score >= 4 AND M_score >= 4 AND F_score <= 3 THEN 'Big Spenders (New/Occasional)'
+        WHEN R_score = 5 AND F_score <= 2 THEN 'New Customers'
+        WHEN R_score >= 3 AND F_score <= 2 AND M_score <= 2 THEN 'Potential Loyalists'
+        WHEN R_score <= 2 AND (F_score >= 4 OR M_score >= 4) THEN 'At Risk'
+        WHEN R_score = 1 AND F_score = 1 AND M_score = 1 THEN 'Lost' ELSE 'Others'
+      END AS RFM_segment,
+      CASE WHEN cum_revenue_pct <= 0.05::DOUBLE THEN 'Elite (Top 5%)'
+        WHEN cum_revenue_pct <= 0.15::DOUBLE THEN 'High Value (Next 10%)'
+        WHEN cum_revenue_pct <= 0.35::DOUBLE THEN 'Mid Value (Next 20%)' ELSE 'Base'
+      END AS Revenue_segment,
+      CASE WHEN Recency <= 30 THEN 'Ativo' WHEN Recency <= 90 THEN 'Recente'
+        WHEN Recency <= 180 THEN 'Morno' ELSE 'Em Risco' END AS Recency_segment,
+      Revenue_segment || ' - ' || Recency_segment AS Strategic_segment FROM s"""
+)
 def full_customer_mart(spark: SparkSession, folder: str) -> DataFrame:
     """Every column of the customer mart: scores, segments, named groups, lifetime value."""
     people = customer_mart(spark, folder)
