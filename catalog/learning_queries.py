@@ -150,7 +150,7 @@ def review_item_features(spark: SparkSession, folder: str) -> DataFrame:
     )
 )
 def payment_features(spark: SparkSession, folder: str) -> DataFrame:
-    return tidy(features_.payment_features(tables(spark, folder).payments))
+    return tidy(features_.payment_features(tables(spark, folder).payments).drop("payment_type"))
 
 
 @query(

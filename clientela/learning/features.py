@@ -15,13 +15,14 @@ from clientela.functions.scalars import (
     whole_days,
 )
 from clientela.operators.ordering import quantiles
-from clientela.operators.orders import dominant_payment_row, translated_category
+from clientela.operators.orders import largest_payment_type, translated_category
 from clientela.operators.quality import first_review
 from clientela.session import settle
 from clientela.sources.tables import Tables
 
 BAD_REVIEW = 2  # fixed value: highest score of a bad review
 
+# Feature names of the two models.
 REVIEW_NUMERIC = [
     "atraso_dias",
     "tempo_entrega_dias",
@@ -81,24 +82,31 @@ def delivery_time_features(orders: DataFrame, status: str = "delivered") -> Data
 
 
 def item_features(items: DataFrame) -> DataFrame:
-    """Value, freight, items, distinct sellers and products per order."""
+    """Value, freight, items, distinct sellers and products per order.
+
+    Two aggregates with one distinct count each, joined on the key they are partitioned by:
+    both counts in one aggregate would triple every item before the shuffle.
+    """
     zero = F.lit(0).cast("decimal(18,2)")
-    return items.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(
+    known = items.where(F.col("order_id").isNotNull())
+    sums = known.groupBy("order_id").agg(
         F.coalesce(F.sum(money("price")), zero).alias("price_total"),
         F.coalesce(F.sum(money("freight_value")), zero).alias("freight_total"),
         F.count("order_item_id").alias("n_items"),
         F.count_distinct("seller_id").alias("n_sellers"),
-        F.count_distinct("product_id").alias("n_products"),
     )
+    products = known.groupBy("order_id").agg(F.count_distinct("product_id").alias("n_products"))
+    return sums.join(products, "order_id")
 
 
 def payment_features(payments: DataFrame) -> DataFrame:
-    """Paid value, highest number of instalments and of payment steps per order."""
+    """Paid value, highest number of instalments and of payment steps, and main type per order."""
     zero = F.lit(0).cast("decimal(18,2)")
     return payments.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(
         F.coalesce(F.sum(money("payment_value")), zero).alias("payment_value"),
         F.max("payment_installments").alias("installments"),
         F.max("payment_sequential").alias("n_payment_methods"),
+        largest_payment_type().alias("payment_type"),
     )
 
 
@@ -115,7 +123,6 @@ def review_features(tables: Tables, status: str = "delivered") -> DataFrame:
             "left",
         )
         .join(payment_features(tables.payments), "order_id", "left")
-        .join(dominant_payment_row(tables.payments), "order_id", "left")
         .join(tables.customers.select("customer_id", "customer_state"), "customer_id", "left")
     )
     price = number("price_total")

@@ -331,6 +331,7 @@ def diagnostic(customers: DataFrame, cohort: DataFrame) -> DataFrame:
 def funnel(customers: DataFrame) -> DataFrame:
     """Customers with at least 1, 2, 3 and 5 purchases, and the step-to-step conversion."""
     f = F.col("Frequency")
+    # Stage names.
     stages = [
         (1, "Base (1+ compra)", f == 1),
         (2, "2+ compras", f == 2),

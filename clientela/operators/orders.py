@@ -98,16 +98,21 @@ def translated_category(
     )
 
 
-def dominant_payment_row(payments: DataFrame) -> DataFrame:
-    """Type of the single largest payment per order; ties go to the lowest step."""
+def largest_payment_type() -> Column:
+    """Aggregate: type of the single largest payment; ties go to the lowest step."""
     value = F.col("payment_value")
     order = F.struct(
         value.isNull(), -money(value), F.col("payment_sequential"), F.col("payment_type")
     )
+    return F.min_by("payment_type", order)
+
+
+def dominant_payment_row(payments: DataFrame) -> DataFrame:
+    """Type of the single largest payment per order."""
     return (
         payments.where(F.col("order_id").isNotNull())
         .groupBy("order_id")
-        .agg(F.min_by("payment_type", order).alias("payment_type"))
+        .agg(largest_payment_type().alias("payment_type"))
     )
 
 

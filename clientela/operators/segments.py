@@ -85,6 +85,7 @@ def rank_bins(df: DataFrame, value: str, id_column: str, q: int, name: str = "bi
 
 def rfm_segment(r: Column, f: Column, m: Column) -> Column:
     """Classic segment from the three scores; the first rule that holds decides."""
+    # Segment names and their score limits, in order.
     rules = [
         ("Champions", (r >= 4) & (f >= 4) & (m >= 4)),
         ("Loyal Customers", (r >= 4) & (f >= 3) & (m >= 3)),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Names of the four segments.
 CHAMPIONS = "Campeões"
 BIG_SPENDERS = "Big Spenders (Não-Recorrentes)"
 NEW_OCCASIONAL = "Novos / Ocasionais"

@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Marts that ad-hoc queries may name.
 QUERY_MARTS = ("fato_rfm_clientes", "fato_pedidos", "dim_segmentos", "dim_calendario")
 
 

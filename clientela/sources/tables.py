@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Columns that operators rely on, with their types. Other columns are kept as read.
+# Columns that operators rely on, with their types. Others are kept as read.
 TABLE_TYPES: dict[str, dict[str, str]] = {
     "orders": {
         "order_id": "string",
