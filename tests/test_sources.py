@@ -1,9 +1,11 @@
 import os
+import tempfile
 import warnings
 
 import pytest
 from pyspark.sql import functions as F
 
+from clientela.session import release, scratch_root, settle
 from clientela.sinks.marts import (
     customer_export,
     order_export,
@@ -128,3 +130,13 @@ def test_parquet_marts(spark, tmp_path):
         names = register_marts(spark, str(tmp_path), ["fato_rfm_clientes", "fato_pedidos"])
     assert names == ["fato_rfm_clientes"]
     assert spark.table("fato_rfm_clientes").count() == 4
+
+
+def test_release_deletes_settled_tables(spark):
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clientela-test-"))
+    settle(spark.range(3))
+    root = scratch_root(spark).split(":", 1)[-1]
+    assert os.listdir(root)
+    release(spark)
+    assert not os.path.exists(root)
+    assert settle(spark.range(4)).count() == 4
