@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton, packing
+from clientela.session import settle
+
+from . import automaton, fingerprints, packing, quality
 from .registry import query, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +22,23 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    known = settle(fingerprints.compare_edited(table(spark, folder, "documents")))
+    near = fingerprints.near_counts(known)
+    searched = known.join(near, list(fingerprints.WORDS64), "left")
+    return searched.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.as_text("f0", "f1").alias("fingerprint"),
+        fingerprints.as_text("e0", "e1").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        F.when(F.col("doc_id") % 100 == 0, F.col("n_near")).alias("n_near"),
+    )
+
+
 @query()
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ids = automaton.encode(table(spark, folder, "documents"), VOCABULARY)
@@ -30,3 +49,12 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query()
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return quality.judge(documents, labels).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
