@@ -179,16 +179,7 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 "edited_sha256": F.sha2("edited", 256),
             }
         )
-        .select(
-            *keys,
-            F.explode(
-                F.array(
-                    F.struct(F.lit(0).alias("which"), F.col("text")),
-                    F.struct(F.lit(1), F.col("edited")),
-                )
-            ).alias("__side"),
-        )
-        .select(*keys, F.col("__side.which").alias("__which"), F.col("__side.text").alias("text"))
+        .select(*keys, F.posexplode(F.array("text", "edited")).alias("__which", "text"))
     )
     # Sides are votes of the same rows, so they are brought together by key without a shuffle.
     prints = fingerprint(both, [*keys, "__which"], F.col("text"))
