@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from clientela.session import scratch_folder
 
-from . import warc
+from . import html_text, warc
 from .registry import query, table
 
 
+@query()
+def op3_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 @query()
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_folder(spark, "warc")
