@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clientela.session import settle
 
-from . import automaton, fingerprints, packing, quality
+from . import automaton, fingerprints, line_dedup, packing, quality
 from .registry import query, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,3 +58,9 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept",
     )
+
+
+@query()
+def op9_lines(spark: SparkSession, folder: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(table(spark, folder, "documents"))
+    return cut.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "n_cut")
