@@ -115,47 +115,47 @@ def within_radius(
     )
 
 
-def next_ids(df: DataFrame, id_col: str) -> DataFrame:
-    """``id_col``, ``__next``, ``__half``: each id, the next larger one (after the last the first)
-    and the most characters wanted from it. Null is the smallest id."""
-    ids = df.groupBy(id_col).agg(F.max(F.floor(F.length("text") / 2).cast("int")).alias("__half"))
-    ranked = settle(with_rank(ids, [F.col(id_col).asc()]))
-    following = ranked.select(F.col(id_col).alias("__next"), F.col("rank").alias("__rank"))
+# Rows are brought together by a struct that holds their id, as structs of nulls are equal. The
+# tables below are partitioned by it once, and what follows keeps that partitioning.
+KEY = "__key"
+
+
+def following(rows: DataFrame) -> DataFrame:
+    """``__key``, ``__next``, ``__half``: each key, the next larger one (after the last the first)
+    and how many characters of that one its texts want at most. Null is the smallest id."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    keys = settle(rows.groupBy(KEY).agg(F.max(half).alias("__half")))
+    ranked = settle(with_rank(keys, [F.col(KEY).asc()]))
+    after = ranked.select(F.col(KEY).alias("__next"), F.col("rank").alias("__rank"))
     wanted = (F.col("rank") % F.col("rank_total")) + 1
     return settle(
-        ranked.withColumn("__rank", wanted).join(following, "__rank").drop("__rank", "rank",
-                                                                           "rank_total")
+        ranked.withColumn("__rank", wanted).join(after, "__rank").select(KEY, "__next", "__half")
     )
 
 
-def edited_texts(rows: DataFrame, follows: DataFrame, id_col: str) -> DataFrame:
-    """Adds ``edited`` and ``__next`` to rows with ``text``: the second half replaced.
+def edited_texts(rows: DataFrame, follows: DataFrame) -> DataFrame:
+    """Adds ``edited`` and ``__next`` to rows with ``__key`` and ``text``.
 
     The last ``floor(n / 2)`` code points give way to the first as many of the document that
     ``follows`` names (or all, if it is shorter). Where rows share an id, the text with the least
     digest stands for it as the next one; each row has its own edited text.
     """
+    wanted = follows.select(F.col("__next").alias(KEY), F.col(KEY).alias("__of"), "__half")
+    head = F.struct(
+        F.sha2("text", 256).alias("sha256"),
+        F.substring("text", F.lit(1), F.col("__half")).alias("head"),
+    )
     heads = (
-        rows.join(
-            follows.select(
-                F.col("__next").alias(id_col), F.col(id_col).alias("__id"), "__half"
-            ).withColumnRenamed(id_col, "__of"),
-            F.col(id_col).eqNullSafe(F.col("__of")),
-        )
-        .groupBy("__id")
-        .agg(
-            F.min(
-                F.struct(F.sha2("text", 256), F.substring("text", F.lit(1), F.col("__half")))
-            )["col2"].alias("__head"),
-            F.first("__of").alias("__next"),
-        )
+        rows.join(wanted, KEY)
+        .groupBy(F.col("__of").alias(KEY), F.col(KEY).alias("__next"))
+        .agg(F.min(head)["head"].alias("__head"))
     )
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(
         F.substring("text", F.lit(1), F.length("text") - half),
-        F.substring(F.coalesce("__head", F.lit("")), F.lit(1), half),
+        F.substring("__head", F.lit(1), half),
     )
-    return rows.join(heads, F.col(id_col).eqNullSafe(F.col("__id"))).withColumn("edited", edited)
+    return rows.join(heads, KEY).withColumn("edited", edited)
 
 
 def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,12 +165,12 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Likeness is the share of equal bits. Null text is empty; repeated rows are compared each.
     """
     rows = df.select(
-        F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.struct(F.col(id_col).alias("id")).alias(KEY),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    follows = next_ids(rows, id_col)
-    keys = [id_col, "__next", "__row", "n_chars", "sha256", "edited_sha256"]
+    keys = [KEY, "__next", "__row", "n_chars", "sha256", "edited_sha256"]
     both = (
-        edited_texts(rows, follows, id_col)
+        edited_texts(rows, following(rows))
         .withColumns(
             {
                 "__row": F.monotonically_increasing_id(),
@@ -181,25 +181,27 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         )
         .select(*keys, F.posexplode(F.array("text", "edited")).alias("__which", "text"))
     )
-    # Sides are votes of the same rows, so they are brought together by key without a shuffle.
     prints = fingerprint(both, [*keys, "__which"], F.col("text"))
     sides = [
-        F.max(F.when(F.col("__which") == side, F.col(name))).alias(f"{to}{i}")
-        for side, to in ((0, "f"), (1, "e"))
-        for i, name in enumerate(WORDS64)
+        F.max(F.when(F.col("__which") == side, F.col(name))).alias(f"{to}{name}")
+        for side, to in ((0, ""), (1, "e"))
+        for name in WORDS64
     ]
     known = settle(prints.groupBy(*keys).agg(*sides))
-    of_next = known.groupBy(F.col(id_col).alias("__of")).agg(
-        F.min(F.struct("sha256", "f0", "f1")).alias("__first")
-    ).select("__of", F.col("__first.f0").alias("nf0"), F.col("__first.f1").alias("nf1"))
-    edited = known.withColumnsRenamed({"e0": "ef0", "e1": "ef1"})
+    of_next = known.groupBy(F.col(KEY).alias("__next")).agg(
+        F.min(F.struct("sha256", *WORDS64)).alias("__first")
+    )
+    of_next = of_next.select(
+        "__next", *[F.col(f"__first.{name}").alias(f"n{name}") for name in WORDS64]
+    )
     bits = 64 * len(WORDS64)
     return (
-        edited.join(of_next, F.col("__next").eqNullSafe(F.col("__of")))
+        known.join(of_next, "__next")
         .withColumn("near_edited", 1 - distance("", "e") / F.lit(bits))
         .withColumn("near_next", 1 - distance("", "n") / F.lit(bits))
-        .select(id_col, "n_chars", "edited_sha256", *WORDS64, F.col("ef0").alias("e0"),
-                F.col("ef1").alias("e1"), "near_edited", "near_next")
+        .select(F.col(f"{KEY}.id").alias(id_col), "n_chars", "edited_sha256", *WORDS64,
+                *[F.col(f"e{name}").alias(f"e{name[1]}") for name in WORDS64],
+                "near_edited", "near_next")
     )
 
 
