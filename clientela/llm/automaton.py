@@ -20,6 +20,7 @@ from .pieces import Packed, packed_ids, vocabulary
 from .shipping import ship
 
 NEVER = 1 << 30
+STEP = 2_000  # rows handed back at a time
 TABLE_ENTRIES = 500_000  # transitions kept; beyond that the table starts anew
 
 
@@ -139,26 +140,26 @@ class MergeAutomaton:
         return path
 
 
-class _Coder:
+class Coder:
     def __init__(self, content: bytes):
         self.automaton = MergeAutomaton(content)
         self.special = self.automaton.special
         self.words = Packed(lambda w: array("I", self.automaton.encode(w.encode())).tobytes())
-        self.label = self.automaton.label
 
     def ids(self, text: str | None) -> bytes:
         return packed_ids(text, self.words, self.special)
 
-    def text(self, packed: bytes | None) -> str:
-        ids = array("I")
-        ids.frombytes(packed or b"")
-        return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", "replace")
 
+def joined_labels(packed: bytes | None, label: dict[int, bytes]) -> str:
+    ids = array("I")
+    ids.frombytes(packed or b"")
+    return b"".join(map(label.__getitem__, ids)).decode("utf-8", "replace")
 
-@functools.lru_cache(maxsize=2)
-def coder(content: bytes) -> _Coder:
+
+@functools.lru_cache(maxsize=1)
+def coder(content: bytes) -> Coder:
     """One for each worker process; compiling the merges takes a second."""
-    return _Coder(content)
+    return Coder(content)
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -172,37 +173,52 @@ def vocabulary_everywhere(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(
+    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
+    round_trip: bool = False,
+) -> DataFrame:
     """``id_col`` and ``ids``: little-endian unsigned 32-bit ids of the whole text.
 
     A null text counts as empty and has no ids. Every row gives one row, repeated ids included;
-    other columns, whatever their names, are left out.
+    other columns, whatever their names, are left out. With ``round_trip`` the ids are decoded in
+    the same pass, as ``decoded``.
     """
     content = vocabulary_everywhere(df, path)
 
     def batches(frames):
+        import pandas as pd
+
         code = coder(content.value)
+        label = code.automaton.label
         for frame in frames:
-            frame["ids"] = [code.ids(t) for t in frame.pop("text")]
-            yield frame
+            for at in range(0, len(frame), STEP):
+                part = frame.iloc[at : at + STEP]
+                ids = [code.ids(t) for t in part["text"]]
+                out = {id_col: part[id_col].astype(object), "ids": ids}
+                if round_trip:
+                    out["decoded"] = [joined_labels(x, label) for x in ids]
+                yield pd.DataFrame(out, index=part.index)
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col), F.col(text_col).alias("text")).mapInPandas(
-        batches, f"`{id_col}` {kind}, ids binary"
+        batches, f"`{id_col}` {kind}, ids binary" + ", decoded string" * round_trip
     )
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Adds ``text``: the joined labels of ``ids``, read as UTF-8. Null ids give an empty text."""
+    """``id_col``, ``ids``, ``decoded``: the joined labels of ``ids``, read as UTF-8; null ids give
+    an empty text."""
     content = vocabulary_everywhere(df, path)
 
     def batches(frames):
-        code = coder(content.value)
+        ids, _, special = vocabulary(content.value)
+        label = {i: b for b, i in ids.items()} | {i: s.encode() for s, i in special.items()}
         for frame in frames:
-            frame["text"] = [code.text(x) for x in frame["ids"]]
+            frame[id_col] = frame[id_col].astype(object)
+            frame["decoded"] = [joined_labels(x, label) for x in frame["ids"]]
             yield frame
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, "ids").mapInPandas(
-        batches, f"`{id_col}` {kind}, ids binary, text string"
+        batches, f"`{id_col}` {kind}, ids binary, decoded string"
     )

@@ -112,7 +112,7 @@ def token_pieces(
                     for at in range(0, len(ids), step)
                 )
             out = pd.DataFrame(rows, columns=["key", "start", "length", "doc_tokens", "ids"])
-            yield out.astype({"key": frame["key"].dtype})
+            yield out.astype({"key": object})
 
     kind = df.schema[id_col].dataType.simpleString()
     return (
@@ -138,6 +138,8 @@ def pack(pieces: DataFrame, window: int = 2048, id_col: str = "doc_id") -> DataF
         frame = frame.sort_values(
             ["length", id_col, "start"], ascending=[False, True, True], na_position="first"
         )
+        texts = frame.select_dtypes(exclude="number").columns
+        frame = frame.astype({c: object for c in texts})
         placed = best_fit(frame["length"].tolist(), window)
         base = int(frame["__shard"].iloc[0]) << 32
         frame["sequence_id"] = [base + s for s, _ in placed]

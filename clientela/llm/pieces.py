@@ -22,7 +22,7 @@ ODD = re.compile("[^\x00-\x1b\x20-\x7fÀ-ɏ‐-‧]")
 LATIN_WORDS = re.compile(
     rf" ?[{LATIN}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+"
 )
-WORDS_KEPT = 500_000  # by a worker, twice that at most
+WORDS_KEPT = 350_000  # by a worker, twice that at most
 
 
 def byte_symbols() -> dict[str, int]:

@@ -41,13 +41,12 @@ def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    ids = automaton.encode(table(spark, folder, "documents"), VOCABULARY)
-    texts = automaton.decode(ids, VOCABULARY)
-    return texts.select(
+    coded = automaton.encode(table(spark, folder, "documents"), VOCABULARY, round_trip=True)
+    return coded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
