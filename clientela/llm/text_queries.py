@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clientela.session import settle
 
-from . import automaton, fingerprints, line_dedup, packing, quality
+from . import automaton, fingerprints, line_dedup, ngram_join, packing, quality
 from .registry import query, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,3 +63,8 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op9_lines(spark: SparkSession, folder: str) -> DataFrame:
     cut = line_dedup.dedup_lines(table(spark, folder, "documents"))
     return cut.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "n_cut")
+
+
+@query()
+def op10_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, folder, "documents"))
