@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clientela.session import settle
 
-from . import automaton, fingerprints, line_dedup, ngram_join, packing, quality
+from . import automaton, fingerprints, licenses, line_dedup, ngram_join, packing, quality
 from .registry import query, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +50,11 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query()
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
