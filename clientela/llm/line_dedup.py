@@ -1,11 +1,11 @@
 """Removes later copies of passages: winnowing over the hashes of lines.
 
 Texts are taken as lines, long ones cut further where a sentence ends. A gram is the shortest run of
-lines from a given line on that has ``GRAM_WORDS`` words. Of the grams that start within a window
-of words, the one with the least hash is selected as a fingerprint. A run of at least ``RUN_WORDS``
-words that occurs twice holds a whole window in both places, and so a fingerprint in both. Later
-places of a fingerprint are laid beside its first place and extended both ways; runs that are long
-enough are cut from the later document.
+lines from a given line on that has ``GRAM_BYTES`` bytes. Of the lines that start within a window of
+bytes, the one with the least hash is selected, and its gram is a fingerprint. A run of at least
+``RUN_BYTES`` bytes that occurs twice holds a whole window in both places, and so a fingerprint in
+both. Later places of a fingerprint are laid beside its first place and extended both ways; runs
+that are long enough are cut from the later document.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from clientela.session import settle
 
 from .expressions import bind
 
-GRAM_WORDS, RUN_WORDS = 16, 40
-WINDOW_WORDS = RUN_WORDS - GRAM_WORDS
+GRAM_BYTES, RUN_BYTES = 100, 240  # about 16 and 40 words
+WINDOW_BYTES = RUN_BYTES - GRAM_BYTES
+WINDOW_LINES = 4
 # A line starts after a line feed, or after a blank that follows the end of a sentence.
 LINE_START = r"(?<=\n)(?=\S)|(?<=[.!?] )(?=\S)"
 
@@ -29,95 +30,87 @@ def lines_of(text: Column) -> Column:
 
 
 def line_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``hashes`` and ``words`` of each line (white space around it doesn't count)."""
+    """``id``, ``hashes`` and ``bytes`` of each line; white space behind it counts as one byte."""
     bare = F.transform(lines_of(F.col(text_col)), lambda x: F.rtrim(x, F.lit(" \t\n\x0b\f\r")))
-    blanks = F.lit(" ")
-
-    def number(x: Column) -> Column:
-        return F.length(x) - F.length(F.replace(x, blanks, F.lit(""))) + 1
-
     return df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"),
         bind(
             bare,
             lambda lines: F.struct(
                 F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"),
-                F.transform(lines, number).alias("words"),
+                F.transform(lines, lambda x: F.octet_length(x) + 1).alias("bytes"),
             ),
         ).alias("__lines"),
     ).select("id", "__lines.*")
 
 
-def _reach(words: Column, start: Column) -> Column:
-    """From line ``start`` (from 1): ``length`` of its gram in lines, ``total`` words of it, and
-    how many lines start within the window."""
+def _gram_lines(sizes: Column, at: Column) -> Column:
+    """How many lines from ``at`` (from 1) on make a gram; null if too few follow."""
+    zero = F.struct(F.lit(0).alias("total"), F.lit(0).alias("lines"))
 
     def add(acc: Column, x: Column) -> Column:
-        return F.when(acc["total"] >= WINDOW_WORDS, acc).otherwise(
-            F.struct(
-                (acc["total"] + x).alias("total"),
-                (acc["length"] + (acc["total"] < GRAM_WORDS).cast("int")).alias("length"),
-                (acc["starts"] + 1).alias("starts"),
-            )
+        return F.when(acc["total"] >= GRAM_BYTES, acc).otherwise(
+            F.struct((acc["total"] + x).alias("total"), (acc["lines"] + 1).alias("lines"))
         )
 
-    def over(lines: int) -> Column:
-        zero = F.struct(
-            F.lit(0).alias("total"), F.lit(0).alias("length"), F.lit(0).alias("starts")
-        )
-        return F.aggregate(F.slice(words, start, lines), zero, add)
-
-    # A line has a word at least, so that as many lines as words always reach far enough.
-    return bind(
-        over(6),
-        lambda short: F.when(
-            (short["total"] >= WINDOW_WORDS) | (start + 6 > F.size(words)), short
-        ).otherwise(over(WINDOW_WORDS)),
+    # A line has two bytes at least, which bounds the lines that it can take.
+    out = F.aggregate(
+        F.slice(sizes, at, GRAM_BYTES // 2),
+        zero,
+        add,
+        lambda acc: F.when(acc["total"] >= GRAM_BYTES, acc["lines"]),
     )
+    for lines in (3, 2, 1):  # which is nearly always enough
+        out = F.when(_size_of(sizes, at - 1, lines) >= GRAM_BYTES, lines).otherwise(out)
+    return out
+
+
+def _size_of(sizes: Column, start: Column, lines: int) -> Column:
+    total = F.get(sizes, start)
+    for k in range(1, lines):
+        total = total + F.get(sizes, start + k)
+    return total
 
 
 def fingerprints(lines: DataFrame) -> DataFrame:
-    """``gram``, ``id``, ``at`` (line, from 1), ``length``: the selected grams of each document."""
-
-    def grams(row: Column) -> Column:
-        def one(n: Column, i: Column) -> Column:
-            return bind(
-                _reach(row["words"], i + 1),
-                lambda r: F.struct(
-                    F.when(
-                        r["total"] >= GRAM_WORDS,
-                        F.struct(
-                            F.xxhash64(F.slice(row["hashes"], i + 1, r["length"])).alias("gram"),
-                            (i + 1).alias("at"),
-                            r["length"].alias("length"),
-                        ),
-                    ).alias("gram"),
-                    r["starts"].alias("starts"),
-                ),
-            )
+    """``gram``, ``id``, ``at`` (line, from 1), ``length``: the selected grams of each document.
 
-        return F.transform(row["words"], one)
+    A gram is selected if its first line has the least hash (the first of equal ones) of the lines
+    that start within some window. Windows end after ``WINDOW_LINES`` lines, too: shorter ones only
+    select more.
+    """
+    hashes, sizes = F.col("hashes"), F.col("bytes")
+    placed = F.transform(hashes, lambda x, i: F.struct(x.alias("hash"), (i + 1).alias("at")))
+
+    def least(every: Column, i: Column) -> Column:
+        within = [
+            F.when(_size_of(sizes, i, k) < WINDOW_BYTES, F.get(every, i + k))
+            for k in range(1, WINDOW_LINES)
+        ]
+        return F.least(F.get(every, i), *within)["at"]
+
+    selected = bind(
+        placed, lambda every: F.array_distinct(F.transform(every, lambda x, i: least(every, i)))
+    )
 
-    def selected(found: Column) -> Column:
-        only = F.transform(found, lambda g: g["gram"])
+    def gram(at: Column) -> Column:
         return bind(
-            only,
-            lambda every: F.array_distinct(
-                F.transform(
-                    found, lambda g, i: F.array_min(F.slice(every, i + 1, g["starts"]))["at"]
-                )
+            _gram_lines(sizes, at),
+            lambda length: F.when(
+                length.isNotNull(),
+                F.struct(
+                    F.xxhash64(F.slice(hashes, at, length)).alias("gram"),
+                    at.alias("at"),
+                    length.alias("length"),
+                ),
             ),
         )
 
-    chosen = bind(
-        grams(F.struct("hashes", "words")),
-        lambda found: F.transform(
-            F.filter(selected(found), lambda at: at.isNotNull()),
-            lambda at: F.element_at(found, at)["gram"],
-        ),
+    return (
+        lines.select("id", F.explode(F.transform(selected, gram)).alias("__g"))
+        .where("__g is not null")
+        .select("__g.gram", "id", "__g.at", "__g.length")
     )
-    return lines.select("id", F.explode(chosen).alias("__g")).select("__g.gram", "id", "__g.at",
-                                                                      "__g.length")
 
 
 def _place(order: Column) -> Column:
@@ -126,35 +119,35 @@ def _place(order: Column) -> Column:
 
 
 def _around(lines: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Adds hashes and words of the lines around each seed, as far as the window of words."""
+    """Adds hashes and bytes of the lines around each seed, as far as the window."""
 
-    def near(side: Column, words: Column) -> Column:
+    def near(side: Column, sizes: Column) -> Column:
         def add(acc: Column, x: Column) -> Column:
             return F.struct(
                 (acc["total"] + x).alias("total"),
-                (acc["lines"] + (acc["total"] < WINDOW_WORDS).cast("int")).alias("lines"),
+                (acc["lines"] + (acc["total"] < WINDOW_BYTES).cast("int")).alias("lines"),
             )
 
         zero = F.struct(F.lit(0).alias("total"), F.lit(0).alias("lines"))
-        return F.slice(side, F.lit(1), F.aggregate(words, zero, add, lambda a: a["lines"]))
+        return F.slice(side, F.lit(1), F.aggregate(sizes, zero, add, lambda a: a["lines"]))
 
-    first = F.greatest(F.col("at") - WINDOW_WORDS, F.lit(1))
+    first = F.greatest(F.col("at") - WINDOW_BYTES // 2, F.lit(1))
     after = F.col("at") + F.col("length")
 
     def before(name: str) -> Column:
         return F.reverse(F.slice(name, first, F.col("at") - first))
 
     def behind(name: str) -> Column:
-        return F.slice(name, after, F.lit(WINDOW_WORDS))
+        return F.slice(name, after, F.lit(WINDOW_BYTES // 2))
 
     return seeds.join(lines, "id").select(
         *seeds.columns,
-        near(before("hashes"), before("words")).alias("before"),
-        near(before("words"), before("words")).alias("before_words"),
-        near(behind("hashes"), behind("words")).alias("behind"),
-        near(behind("words"), behind("words")).alias("behind_words"),
-        F.aggregate(F.slice("words", F.col("at"), F.col("length")), F.lit(0), lambda a, x: a + x)
-        .alias("gram_words"),
+        near(before("hashes"), before("bytes")).alias("before"),
+        near(before("bytes"), before("bytes")).alias("before_bytes"),
+        near(behind("hashes"), behind("bytes")).alias("behind"),
+        near(behind("bytes"), behind("bytes")).alias("behind_bytes"),
+        F.aggregate(F.slice("bytes", F.col("at"), F.col("length")), F.lit(0), lambda a, x: a + x)
+        .alias("gram_bytes"),
     )
 
 
@@ -200,17 +193,17 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .withColumn("right", _agreeing("behind", "behind0"))
     )
 
-    def words(name: str, upto: str) -> Column:
+    def size(name: str, upto: str) -> Column:
         return F.aggregate(F.slice(name, F.lit(1), F.col(upto)), F.lit(0), lambda a, x: a + x)
 
-    total = F.col("gram_words") + words("before_words", "left") + words("behind_words", "right")
+    total = F.col("gram_bytes") + size("before_bytes", "left") + size("behind_bytes", "right")
     start = F.col("at") - F.col("left")
     # Within a document a run must not reach into its own first place.
     clear = F.when(
         F.col("id") == F.col("id0"), F.greatest(start, F.col("at0") + F.col("length"))
     ).otherwise(start)
     runs = (
-        sides.where(total >= RUN_WORDS)
+        sides.where(total >= RUN_BYTES)
         .select(
             "id",
             clear.alias("first"),
