@@ -54,14 +54,19 @@ def infer_wrappers(
                 held[host] = wrappers.align(held[host], node) if host in held else node
                 if len(held) >= HOSTS_HELD:
                     yield hand_on()
-        yield hand_on()
+        if held:  # a frame without rows has no types
+            yield hand_on()
 
     def joined(frame):
+        import pandas as pd
+
         found = [pickle.loads(w) for w in sorted(frame["wrapper"], key=lambda w: (len(w), w))]
-        return frame.head(1).assign(wrapper=pickle.dumps(functools.reduce(wrappers.align, found)))
+        whole = pickle.dumps(functools.reduce(wrappers.align, found))
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [whole], "salt": [0]})
 
     def described(frames):
         for frame in frames:
+            frame["host"] = frame["host"].astype(object)
             frame["expression"] = [pickle.loads(w).expression() for w in frame["wrapper"]]
             yield frame
 
@@ -95,6 +100,7 @@ def extract(
             return found, wrappers.template_texts(wrapper, found)
 
         for frame in frames:
+            frame["url"], frame["id"] = frame["url"].astype(object), frame["id"].astype(object)
             frame["text"] = [
                 wrappers.main_text(page, of_host(bytes(packed)))
                 for page, packed in zip(frame.pop("html"), frame.pop("wrapper"))
