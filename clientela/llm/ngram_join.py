@@ -2,7 +2,8 @@
 
 All n-grams have one global order, rare ones first, which is cut into fragments. A document's set is
 cut with it; overlaps are counted fragment by fragment and summed for each pair. Two sets that are
-similar enough must share one of their first n-grams, so pairs to count come from these alone.
+similar enough must share one of their first n-grams, so pairs to count come from these alone, less
+those that marks of a few bits rule out.
 
 What is asked for is which documents hang together. A gram that many documents start with therefore
 does not make all pairs of them: each is compared with a pivot of the gram, and what is not yet
@@ -26,8 +27,16 @@ COUNTERS = 1 << 20  # of the sketch of frequencies: 4 MB, whatever the corpus
 BLOCK = 1 << 14
 BITS = 1 << 24  # of the filter for documents that need full sets: 2 MB
 FRAGMENTS = 8
-KNOWN_WORDS = 400_000
-FIRST_PIVOTS = 1
+MARK = 512  # bits
+KNOWN_WORDS = 200_000
+FIRST_PIVOTS, MORE_PIVOTS = 4, 4
+STEP = 1_000  # rows worked on at a time
+
+
+def _steps(frames):
+    for frame in frames:
+        for at in range(0, len(frame), STEP):
+            yield frame.iloc[at : at + STEP]
 
 
 class _WordHashes(dict):
@@ -73,33 +82,37 @@ def _slots(grams):
 
 
 def facts_and_frequencies(df: DataFrame, width: int) -> DataFrame:
-    """Rows (doc, n, text key) of all documents, and rows (block, counters) of the sketch."""
+    """Rows (doc, n, text key, parity marks) of all documents, and rows (block, counters) of the
+    sketch. A mark has a bit for each class of grams: whether the set has an odd number of them."""
 
     def batches(frames):
         import numpy as np
         import pandas as pd
         import xxhash
 
-        counters = np.zeros(COUNTERS, np.int64)
-        for frame in frames:
-            rows = []
+        counters, names = np.zeros(COUNTERS, np.int64), ["doc", "n", "key", "mark", "block", "counters"]
+        for frame in _steps(frames):
+            rows, slots = [], []
             for doc, text in zip(frame["doc"], frame["text"]):
                 found = words(text)
                 grams = gram_hashes(found, width)
-                counters += np.bincount(_slots(grams), minlength=COUNTERS) if len(grams) > 4096 else 0
-                if 0 < len(grams) <= 4096:
-                    np.add.at(counters, _slots(grams), 1)
-                rows.append((doc, len(grams), xxhash.xxh3_128_digest(b" ".join(found)), -1, None))
-            yield pd.DataFrame(rows, columns=["doc", "n", "key", "block", "counters"])
+                slots.append(_slots(grams))
+                odd = np.bincount((grams >> np.uint64(32)).astype(np.int64) % MARK, minlength=MARK) & 1
+                mark = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                rows.append((doc, len(grams), xxhash.xxh3_128_digest(b" ".join(found)), mark, -1, None))
+            counters += np.bincount(np.concatenate(slots), minlength=COUNTERS)
+            yield pd.DataFrame(rows, columns=names)
         rows = [
-            (-1, 0, b"", b, zlib.compress(counters[b * BLOCK : (b + 1) * BLOCK].tobytes(), 1))
+            (-1, 0, b"", None, b, zlib.compress(counters[b * BLOCK : (b + 1) * BLOCK].tobytes(), 1))
             for b in range(COUNTERS // BLOCK)
             if counters[b * BLOCK : (b + 1) * BLOCK].any()
         ]
         if rows:
-            yield pd.DataFrame(rows, columns=["doc", "n", "key", "block", "counters"])
+            yield pd.DataFrame(rows, columns=names)
 
-    return df.mapInPandas(batches, "doc long, n long, key binary, block int, counters binary")
+    return df.mapInPandas(
+        batches, "doc long, n long, key binary, mark array<long>, block int, counters binary"
+    )
 
 
 def frequencies(rows: DataFrame):
@@ -139,13 +152,16 @@ def first_grams(df: DataFrame, width: int, percent: int, order) -> DataFrame:
         import pandas as pd
 
         counts = order.value
-        for frame in frames:
+        for frame in _steps(frames):
             rows = []
             for doc, text in zip(frame["doc"], frame["text"]):
                 grams = gram_hashes(words(text), width)
                 if len(grams):
-                    place = np.lexsort((grams, counts[_slots(grams)]))
-                    chosen = grams[place[: prefix_length(len(grams), percent)]]
+                    # Grams that tie on the upper bits of their hash are all taken.
+                    rank = counts[_slots(grams)].astype(np.uint64) << np.uint64(32)
+                    rank |= grams >> np.uint64(32)
+                    last = prefix_length(len(grams), percent) - 1
+                    chosen = grams[rank <= np.partition(rank, last)[last]]
                     rows.append((doc, len(grams), chosen.view(np.int64)))
             if rows:
                 yield pd.DataFrame(rows, columns=["doc", "n", "grams"])
@@ -166,12 +182,12 @@ def fragments(df: DataFrame, width: int, order, wanted) -> DataFrame:
         shares = np.bincount(np.minimum(counts, 1 << 16), weights=counts.astype(float))
         upto = np.cumsum(shares) / max(shares.sum(), 1)
         edges = np.unique(np.searchsorted(upto, np.arange(1, FRAGMENTS) / FRAGMENTS))
-        for frame in frames:
+        for frame in _steps(frames):
             docs = frame["doc"].to_numpy(np.int64)
             slots = _bit_slots(docs)
-            keep = (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1
+            keep = (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
             rows = []
-            for doc, text in zip(docs[keep == 1], frame["text"][keep == 1]):
+            for doc, text in zip(docs[keep], frame["text"].array[keep]):
                 grams = gram_hashes(words(text), width)
                 place = np.searchsorted(edges, np.minimum(counts[_slots(grams)], 1 << 16), "left")
                 for fragment in np.unique(place):
@@ -209,7 +225,24 @@ def passing_filter(docs: DataFrame):
     return out.view(np.uint8)
 
 
-def links(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def may_be_similar(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Without pairs whose marks already differ in more bits than similar sets have grams apart."""
+    left = marks.select(F.col("doc").alias("a"), F.col("mark").alias("mine"))
+    right = marks.select(F.col("doc").alias("b"), F.col("mark").alias("other"))
+    differing = F.aggregate(
+        F.zip_with("mine", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.lit(0),
+        lambda total, n: total + n,
+    )
+    # |A| + |B| - 2 |A and B| is least when the similarity is.
+    apart = (100 - percent) * (F.col("na") + F.col("nb"))
+    return (
+        pairs.join(left, "a").join(right, "b").where((100 + percent) * differing <= apart)
+        .select("a", "b", "na", "nb")
+    )
+
+
+def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b) those that are similar: overlaps are counted in each fragment apart and
     summed."""
     left = sets.select(F.col("doc").alias("a"), "fragment", F.col("grams").alias("mine"))
@@ -260,8 +293,7 @@ def similar_groups(
     Two documents are linked if their sets of distinct word n-grams have a Jaccard similarity of at
     least ``percent`` / 100; the component is named by its least id. A text with fewer words is one
     n-gram of all its words; one without words (null too) has none and is linked with nothing. Ids
-    are integers; rows without one come back alone, with a null component. Rows that share an id
-    are one document as to links, with a row each.
+    are unique integers; rows without one come back alone, with a null component.
     """
     spark = df.sparkSession
     ship(spark)
@@ -279,12 +311,11 @@ def similar_groups(
     several = postings.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
     nodes = classes.select(F.col("node").alias("doc"))
     live = settle(postings.join(several, "gram").join(nodes, "doc", "left_semi"))
-    wanted = spark.sparkContext.broadcast(passing_filter(live.select("doc").distinct()))
-    sets = settle(fragments(texts, width, order, wanted))
+    marks = facts.where("block < 0").select("doc", "mark").join(nodes, "doc", "left_semi")
+    marks = settle(marks.dropDuplicates(["doc"]))
 
     label = spark.createDataFrame([], "doc long, label long")
     edges, pivots = None, FIRST_PIVOTS
-    sizes = classes.select(F.col("node").alias("doc"), "n")
     while True:
         named = live.join(label, "doc", "left").select(
             "gram", "doc", "n", F.coalesce("label", "doc").alias("label")
@@ -316,13 +347,16 @@ def similar_groups(
             )
             .distinct()
         )
-        found = settle(links(pairs, sets, sizes, percent))
+        likely = settle(may_be_similar(pairs, marks, percent))
+        named_in = likely.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+        wanted = spark.sparkContext.broadcast(passing_filter(named_in))
+        found = settle(links(likely, settle(fragments(texts, width, order, wanted)), percent))
         edges = found if edges is None else edges.union(found)
         label = components(edges)
         # A pivot has met all documents of its gram.
         met = chosen.select("gram", F.col("pivot.doc").alias("doc"))
         live = settle(still.select("gram", "doc", "n").join(met, ["gram", "doc"], "left_anti"))
-        pivots *= 2
+        pivots *= MORE_PIVOTS
     class_of = known.where("n > 0").select("doc", "key").distinct().join(
         classes.select("key", "node"), "key"
     )
