@@ -36,11 +36,11 @@ class Rule:
 
 # Grids are fixed beforehand, so that the labelled documents serve for the test alone.
 RULES = (
-    Rule("symbols", "n_symbols / n_words", (2.0, 1.0, 0.5, 0.3, 0.2, 0.1, 0.05)),
-    Rule("long_words", "word_chars / n_words", (20.0, 15.0, 12.0, 10.0, 9.0, 8.0, 7.5, 7.0)),
-    Rule("short_words", "word_chars / n_words", (1.5, 2.0, 2.5, 3.0, 3.5, 4.0), above=False),
-    Rule("lines", "n_dup_lines / n_lines", (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3)),
-    Rule("repeats", "n_repeat_words / n_words", (0.28, 0.25, 0.2, 0.15, 0.1)),
+    Rule("symbols", "try_divide(n_symbols, n_words)", (2.0, 1.0, 0.5, 0.3, 0.2, 0.1, 0.05)),
+    Rule("long_words", "try_divide(word_chars, n_words)", (20.0, 15.0, 12.0, 10.0, 9.0, 8.0, 7.5, 7.0)),
+    Rule("short_words", "try_divide(word_chars, n_words)", (1.5, 2.0, 2.5, 3.0, 3.5, 4.0), above=False),
+    Rule("lines", "try_divide(n_dup_lines, n_lines)", (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3)),
+    Rule("repeats", "try_divide(n_repeat_words, n_words)", (0.28, 0.25, 0.2, 0.15, 0.1)),
 )
 
 
