@@ -169,7 +169,8 @@ def test_cutoffs_keep_good_documents(spark):
 def test_line_copies_are_cut(spark, empty):
     passage = "The first sentence of a passage that comes again has quite some words in it. " \
               "The second sentence of that passage has as many words or even a few more. " \
-              "And the third one makes it long enough to be taken for a copy, surely so, as it must."
+              "And the third one makes it long enough to be taken for a copy, surely so, as it must. " \
+              "A fourth sentence then leaves no doubt at all about what the copy is."
     short = "Only a short line."
     texts = [f"Alpha start.\n{passage}", f"Beta start.\n{short}\n{passage} Beta end.", short, None,
              passage, ""]
