@@ -138,3 +138,16 @@ def test_bands_of_repeaters_leave_out_day_zero(spark):
 def test_overlapping_groups(people):
     rows = {r["Grupo"]: r["Qtd_Clientes"] for r in ds.threshold_summary(people).collect()}
     assert rows == {"1 compra": 1, "2+ compras": 3, "3+ compras": 2}
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.dir')",
+        "SELECT * FROM text.`/etc/hostname`",
+        "SELECT 1 / (id - id) FROM range(3)",
+    ],
+)
+def test_guarded_sql_neither_calls_out_nor_raises(spark, text):
+    rows, why = k.guarded_sql(spark, text)
+    assert rows is None and why
