@@ -2,13 +2,15 @@
 
 All n-grams have one global order, rare ones first, which is cut into fragments. A document's set is
 cut with it; overlaps are counted fragment by fragment and summed for each pair. Two sets that are
-similar enough must share one of their first n-grams, so pairs to count come from these alone, less
-those that marks of a few bits rule out.
+similar enough must share one of their first n-grams, and the first that they share must leave enough
+n-grams after it in both. Pairs to count come from these alone, less those that marks of a few bits
+rule out.
 
 What is asked for is which documents hang together. A gram that many documents start with therefore
 does not make all pairs of them: each is compared with a pivot of the gram, and what is not yet
-known to hang together goes on to the next round with more pivots. Every pair that shares a first
-gram is either compared or already connected in the end, so that no link between components is lost.
+known to hang together goes on to the next round with more pivots. Of two similar sets the smaller one
+has the gram so early that it can be a pivot. Every pair that may be similar is either compared or
+already connected in the end, so that no link between components is lost.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ BITS = 1 << 24  # of the filter for documents that need full sets: 2 MB
 FRAGMENTS = 8
 MARK = 512  # bits
 KNOWN_WORDS = 200_000
+FEW_DOCS = 500_000  # ids that may be broadcast: 4 MB
 FIRST_PIVOTS, MORE_PIVOTS = 4, 4
 STEP = 1_000  # rows worked on at a time
 
@@ -145,7 +148,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def first_grams(df: DataFrame, width: int, percent: int, order) -> DataFrame:
-    """``gram``, ``doc``, ``n``: the first grams of every document in the global order."""
+    """``gram``, ``doc``, ``n``, ``rest``: the first grams of every document in the global order, and
+    how many of its grams come no earlier than this one."""
 
     def batches(frames):
         import numpy as np
@@ -161,13 +165,34 @@ def first_grams(df: DataFrame, width: int, percent: int, order) -> DataFrame:
                     rank = counts[_slots(grams)].astype(np.uint64) << np.uint64(32)
                     rank |= grams >> np.uint64(32)
                     last = prefix_length(len(grams), percent) - 1
-                    chosen = grams[rank <= np.partition(rank, last)[last]]
-                    rows.append((doc, len(grams), chosen.view(np.int64)))
+                    first = rank <= np.partition(rank, last)[last]
+                    chosen, rank = grams[first], rank[first]
+                    rest = len(grams) - np.searchsorted(np.sort(rank), rank, "left")
+                    rows.append((doc, len(grams), chosen.view(np.int64), rest))
             if rows:
-                yield pd.DataFrame(rows, columns=["doc", "n", "grams"])
+                yield pd.DataFrame(rows, columns=["doc", "n", "grams", "rest"])
+
+    found = df.mapInPandas(batches, "doc long, n int, grams array<long>, rest array<int>")
+    return found.select("doc", "n", F.explode(F.arrays_zip("grams", "rest")).alias("at")).select(
+        F.col("at.grams").alias("gram"), "doc", "n", F.col("at.rest").alias("rest")
+    )
 
-    found = df.mapInPandas(batches, "doc long, n int, grams array<long>")
-    return found.select(F.explode("grams").alias("gram"), "doc", "n")
+
+def may_lead(percent: int):
+    """Whether the gram comes early enough to be the first one shared with a set as large or larger."""
+    return (100 + percent) * F.col("rest") >= 2 * percent * F.col("n")
+
+
+def with_partners(postings: DataFrame, percent: int, more: str = "true") -> DataFrame:
+    """Without grams that no two sets can share first (or that fail ``more``, on the gram's rows) and
+    without sets too large for the smallest one that may lead."""
+    grams = postings.groupBy("gram").agg(
+        F.count("*").alias("m"), F.min(F.when(may_lead(percent), F.col("n"))).alias("least"),
+        F.expr(more).alias("more"),
+    )
+    grams = grams.where("m > 1 and least is not null and more").select("gram", "least")
+    enough = (100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("least"))
+    return postings.join(grams, "gram").where(may_lead(percent) | enough).drop("least")
 
 
 def fragments(df: DataFrame, width: int, order, wanted) -> DataFrame:
@@ -308,9 +333,8 @@ def similar_groups(
         known.where("n > 0").groupBy("key").agg(F.min("doc").alias("node"), F.max("n").alias("n"))
     )
     postings = settle(first_grams(texts, width, percent, order))
-    several = postings.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
     nodes = classes.select(F.col("node").alias("doc"))
-    live = settle(postings.join(several, "gram").join(nodes, "doc", "left_semi"))
+    live = settle(with_partners(postings, percent).join(nodes, "doc", "left_semi"))
     marks = facts.where("block < 0").select("doc", "mark").join(nodes, "doc", "left_semi")
     marks = settle(marks.dropDuplicates(["doc"]))
 
@@ -318,28 +342,25 @@ def similar_groups(
     edges, pivots = None, FIRST_PIVOTS
     while True:
         named = live.join(label, "doc", "left").select(
-            "gram", "doc", "n", F.coalesce("label", "doc").alias("label")
-        )
-        open_grams = (
-            named.groupBy("gram")
-            .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-            .where("low < high")
-            .select("gram")
+            "gram", "doc", "n", "rest", F.coalesce("label", "doc").alias("label")
         )
-        still = settle(named.join(open_grams, "gram"))
+        still = settle(with_partners(named, percent, "min(label) < max(label)"))
         if not still.limit(1).count():
             break
         part = F.pmod(F.xxhash64("doc", F.lit(pivots)), F.lit(pivots))
         chosen = (
-            still.groupBy("gram", part.alias("part"))
-            .agg(F.min(F.struct("doc", "n", "label")).alias("pivot"))
+            still.where(may_lead(percent))
+            .groupBy("gram", part.alias("part"))
+            .agg(F.min(F.struct("doc", "n", "rest", "label")).alias("pivot"))
             .select("gram", "pivot")
         )
-        x, y = F.col("pivot"), F.struct("doc", "n", "label")
+        x, y = F.col("pivot"), F.struct("doc", "n", "rest", "label")
+        # As many can be shared as come from the first shared gram on, in the smaller rest.
+        enough = (100 + percent) * F.least(x["rest"], "rest") >= percent * (x["n"] + F.col("n"))
         pairs = (
             still.join(chosen, "gram")
             .where(x["label"] != F.col("label"))
-            .where((100 * x["n"] >= percent * F.col("n")) & (100 * F.col("n") >= percent * x["n"]))
+            .where(enough)
             .select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
             .select(
                 F.col("u.doc").alias("a"), F.col("v.doc").alias("b"), F.col("u.n").alias("na"),
@@ -348,14 +369,18 @@ def similar_groups(
             .distinct()
         )
         likely = settle(may_be_similar(pairs, marks, percent))
-        named_in = likely.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-        wanted = spark.sparkContext.broadcast(passing_filter(named_in))
-        found = settle(links(likely, settle(fragments(texts, width, order, wanted)), percent))
-        edges = found if edges is None else edges.union(found)
-        label = components(edges)
+        if not likely.isEmpty():
+            named_in = settle(likely.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+            wanted = spark.sparkContext.broadcast(passing_filter(named_in))
+            few = named_in.count() <= FEW_DOCS  # else the filter alone has to do
+            asked = texts.join(F.broadcast(named_in), "doc", "left_semi") if few else texts
+            found = settle(links(likely, settle(fragments(asked, width, order, wanted)), percent))
+            if not found.isEmpty():
+                edges = found if edges is None else edges.union(found)
+                label = components(edges)
         # A pivot has met all documents of its gram.
         met = chosen.select("gram", F.col("pivot.doc").alias("doc"))
-        live = settle(still.select("gram", "doc", "n").join(met, ["gram", "doc"], "left_anti"))
+        live = settle(still.select("gram", "doc", "n", "rest").join(met, ["gram", "doc"], "left_anti"))
         pivots *= MORE_PIVOTS
     class_of = known.where("n > 0").select("doc", "key").distinct().join(
         classes.select("key", "node"), "key"
