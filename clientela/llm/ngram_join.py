@@ -18,7 +18,7 @@ from __future__ import annotations
 import functools
 import zlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientela.session import settle
@@ -32,6 +32,8 @@ FRAGMENTS = 8
 MARK = 512  # bits
 KNOWN_WORDS = 200_000
 FEW_DOCS = 500_000  # ids that may be broadcast: 4 MB
+HOT_GRAMS = 10_000  # listed at most, if seen so often in one document of so many:
+HOT_SEEN, HOT_SHARE = 32, 64
 FIRST_PIVOTS, MORE_PIVOTS = 4, 4
 STEP = 1_000  # rows worked on at a time
 
@@ -191,8 +193,34 @@ def with_partners(postings: DataFrame, percent: int, more: str = "true") -> Data
         F.expr(more).alias("more"),
     )
     grams = grams.where("m > 1 and least is not null and more").select("gram", "least")
+    return postings.join(grams, "gram").where(_reachable(percent)).drop("least")
+
+
+def _reachable(percent: int):
     enough = (100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("least"))
-    return postings.join(grams, "gram").where(may_lead(percent) | enough).drop("least")
+    return may_lead(percent) | enough
+
+
+def in_one_shuffle(postings: DataFrame, percent: int) -> DataFrame:
+    """As ``with_partners``, with most rows shuffled once and none twice.
+
+    Grams that are frequent among a share of the documents are counted before the shuffle and their
+    counts broadcast (a list of bounded length); the others have few rows each and are counted in a
+    window. Which way a gram goes does not change the result.
+    """
+    sample = postings.where(F.pmod(F.xxhash64("doc"), F.lit(HOT_SHARE)) == 0)
+    seen = sample.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") >= HOT_SEEN)
+    hot = settle(seen.orderBy(F.desc("m"), "gram").limit(HOT_GRAMS).select("gram"))
+    often = postings.join(F.broadcast(hot), "gram")
+    own = Window.partitionBy("gram")
+    seldom = (
+        postings.join(F.broadcast(hot), "gram", "left_anti")
+        .withColumn("m", F.count("*").over(own))
+        .withColumn("least", F.min(F.when(may_lead(percent), F.col("n"))).over(own))
+        .where("m > 1 and least is not null").where(_reachable(percent))
+        .drop("m", "least")
+    )
+    return with_partners(often, percent).unionByName(seldom)
 
 
 def fragments(df: DataFrame, width: int, order, wanted) -> DataFrame:
@@ -334,7 +362,7 @@ def similar_groups(
     )
     postings = settle(first_grams(texts, width, percent, order))
     nodes = classes.select(F.col("node").alias("doc"))
-    live = settle(with_partners(postings, percent).join(nodes, "doc", "left_semi"))
+    live = settle(in_one_shuffle(postings, percent).join(nodes, "doc", "left_semi"))
     marks = facts.where("block < 0").select("doc", "mark").join(nodes, "doc", "left_semi")
     marks = settle(marks.dropDuplicates(["doc"]))
 
