@@ -31,7 +31,7 @@ BITS = 1 << 24  # of the filter for documents that need full sets: 2 MB
 FRAGMENTS = 8
 MARK = 512  # bits
 KNOWN_WORDS = 200_000
-FEW_DOCS = 500_000  # ids that may be broadcast: 4 MB
+FEW_DOCS, FEW_PAIRS = 500_000, 250_000  # that may be broadcast: 4 MB of ids, 6 MB of pairs
 HOT_GRAMS = 10_000  # listed at most, if seen so often in one document of so many:
 HOT_SEEN, HOT_SHARE = 32, 64
 FIRST_PIVOTS, MORE_PIVOTS = 4, 4
@@ -362,7 +362,9 @@ def similar_groups(
     )
     postings = settle(first_grams(texts, width, percent, order))
     nodes = classes.select(F.col("node").alias("doc"))
-    live = settle(in_one_shuffle(postings, percent).join(nodes, "doc", "left_semi"))
+    # Settled first: the semi join would be pushed below, and shuffle all postings by document.
+    shared = settle(in_one_shuffle(postings, percent))
+    live = settle(shared.join(nodes, "doc", "left_semi"))
     marks = facts.where("block < 0").select("doc", "mark").join(nodes, "doc", "left_semi")
     marks = settle(marks.dropDuplicates(["doc"]))
 
@@ -402,6 +404,8 @@ def similar_groups(
             wanted = spark.sparkContext.broadcast(passing_filter(named_in))
             few = named_in.count() <= FEW_DOCS  # else the filter alone has to do
             asked = texts.join(F.broadcast(named_in), "doc", "left_semi") if few else texts
+            if likely.count() <= FEW_PAIRS:
+                likely = F.broadcast(likely)
             found = settle(links(likely, settle(fragments(asked, width, order, wanted)), percent))
             if not found.isEmpty():
                 edges = found if edges is None else edges.union(found)
