@@ -1,11 +1,9 @@
-"""Removes later copies of passages: winnowing over the hashes of lines.
-
-Texts are taken as lines, long ones cut further where a sentence ends. A gram is the shortest run of
-lines from a given line on that has ``GRAM_BYTES`` bytes. Of the lines that start within a window of
-bytes, the one with the least hash is selected, and its gram is a fingerprint. A run of at least
-``RUN_BYTES`` bytes that occurs twice holds a whole window in both places, and so a fingerprint in
-both. Later places of a fingerprint are laid beside its first place and extended both ways; runs
-that are long enough are cut from the later document.
+"""Removes later copies of passages, wherever they start: winnowing over the hashes of words.
+
+Of the words that start within a window, the one with the least hash is selected, and the
+``GRAM_WORDS`` words from it on are a seed. Window and seed fit into ``RUN_WORDS`` words, so that any
+equal ``RUN_WORDS`` words hold the same seed. Around seeds that occur more than once, all runs of
+``RUN_WORDS`` words are compared by hash; each one that occurred earlier is cut.
 """
 
 from __future__ import annotations
@@ -17,198 +15,114 @@ from clientela.session import settle
 
 from .expressions import bind
 
-GRAM_BYTES, RUN_BYTES = 100, 240  # about 16 and 40 words
-WINDOW_BYTES = RUN_BYTES - GRAM_BYTES
-WINDOW_LINES = 4
-# A line starts after a line feed, or after a blank that follows the end of a sentence.
-LINE_START = r"(?<=\n)(?=\S)|(?<=[.!?] )(?=\S)"
-
-
-def lines_of(text: Column) -> Column:
-    """Lines with all their white space; joined they are the text again."""
-    return F.split(text, LINE_START)
+RUN_WORDS = 36
+REACH = 3  # the least of this many, taken three times over, spans a window
+WINDOW_WORDS = REACH**3
+GRAM_WORDS = RUN_WORDS - WINDOW_WORDS + 1
+AT_BITS = (1 << 31) - 1
+# A word of over 20 characters counts as several, and a character of a script without blanks as one.
+WIDE = r"\x{2E80}-\x{FFEF}\x{20000}-\x{3FFFF}"
+NARROW = rf"[^\s{WIDE}]"
+WORD = rf"(?:[{WIDE}]|{NARROW}{{6}}(?={NARROW}{{14}})|{NARROW}{{1,20}})"
 
 
-def line_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``hashes`` and ``bytes`` of each line; white space behind it counts as one byte."""
-    bare = F.transform(lines_of(F.col(text_col)), lambda x: F.rtrim(x, F.lit(" \t\n\x0b\f\r")))
-    return df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"),
-        bind(
-            bare,
-            lambda lines: F.struct(
-                F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"),
-                F.transform(lines, lambda x: F.octet_length(x) + 1).alias("bytes"),
-            ),
-        ).alias("__lines"),
-    ).select("id", "__lines.*")
+def words_with_space(text: Column) -> Column:
+    """Words with the white space behind them; joined they are the text again."""
+    return F.regexp_extract_all(text, F.lit(rf"^\s+|{WORD}\s*"), F.lit(0))
 
 
-def _gram_lines(sizes: Column, at: Column) -> Column:
-    """How many lines from ``at`` (from 1) on make a gram; null if too few follow."""
-    zero = F.struct(F.lit(0).alias("total"), F.lit(0).alias("lines"))
+def word_hashes(text: Column) -> Column:
+    """A hash for each of ``words_with_space``; white space does not count."""
+    words = F.regexp_extract_all(text, F.lit(rf"^(?=\s)|{WORD}"), F.lit(0))
+    return F.transform(words, lambda x: F.xxhash64(x))
 
-    def add(acc: Column, x: Column) -> Column:
-        return F.when(acc["total"] >= GRAM_BYTES, acc).otherwise(
-            F.struct((acc["total"] + x).alias("total"), (acc["lines"] + 1).alias("lines"))
-        )
 
-    # A line has two bytes at least, which bounds the lines that it can take.
-    out = F.aggregate(
-        F.slice(sizes, at, GRAM_BYTES // 2),
-        zero,
-        add,
-        lambda acc: F.when(acc["total"] >= GRAM_BYTES, acc["lines"]),
+def _runs_of(hashes: Column, starts: Column, width: int) -> Column:
+    return F.transform(
+        starts,
+        lambda at: F.struct(
+            F.xxhash64(F.slice(hashes, at, width)).alias("gram"), at.alias("at")
+        ),
     )
-    for lines in (3, 2, 1):  # which is nearly always enough
-        out = F.when(_size_of(sizes, at - 1, lines) >= GRAM_BYTES, lines).otherwise(out)
-    return out
-
 
-def _size_of(sizes: Column, start: Column, lines: int) -> Column:
-    total = F.get(sizes, start)
-    for k in range(1, lines):
-        total = total + F.get(sizes, start + k)
-    return total
 
+def fingerprints(df: DataFrame) -> DataFrame:
+    """``gram``, ``id``, ``at`` (word, from 1): the selected seeds of each document."""
 
-def fingerprints(lines: DataFrame) -> DataFrame:
-    """``gram``, ``id``, ``at`` (line, from 1), ``length``: the selected grams of each document.
+    def least(values: Column, step: int) -> Column:
+        def of(x: Column, i: Column) -> Column:
+            return F.least(x, *[F.get(values, i + k * step) for k in range(1, REACH)])
 
-    A gram is selected if its first line has the least hash (the first of equal ones) of the lines
-    that start within some window. Windows end after ``WINDOW_LINES`` lines, too: shorter ones only
-    select more.
-    """
-    hashes, sizes = F.col("hashes"), F.col("bytes")
-    placed = F.transform(hashes, lambda x, i: F.struct(x.alias("hash"), (i + 1).alias("at")))
-
-    def least(every: Column, i: Column) -> Column:
-        within = [
-            F.when(_size_of(sizes, i, k) < WINDOW_BYTES, F.get(every, i + k))
-            for k in range(1, WINDOW_LINES)
-        ]
-        return F.least(F.get(every, i), *within)["at"]
-
-    selected = bind(
-        placed, lambda every: F.array_distinct(F.transform(every, lambda x, i: least(every, i)))
-    )
+        return F.transform(values, of)
 
-    def gram(at: Column) -> Column:
-        return bind(
-            _gram_lines(sizes, at),
-            lambda length: F.when(
-                length.isNotNull(),
-                F.struct(
-                    F.xxhash64(F.slice(hashes, at, length)).alias("gram"),
-                    at.alias("at"),
-                    length.alias("length"),
-                ),
-            ),
+    def selected(hashes: Column) -> Column:
+        # The place is in the lower bits, so that the first of equal hashes is the least.
+        placed = F.transform(
+            hashes, lambda x, i: x.bitwiseAND(F.lit(~AT_BITS)).bitwiseOR((i + 1).cast("long"))
+        )
+        spans = bind(placed, lambda p: bind(least(p, 1), lambda q: bind(
+            least(q, REACH), lambda r: least(r, REACH * REACH))))
+        full = F.slice(spans, F.lit(1), F.greatest(F.size(hashes) - (RUN_WORDS - 1), F.lit(0)))
+        starts = F.transform(
+            F.array_distinct(full), lambda x: x.bitwiseAND(F.lit(AT_BITS)).cast("int")
         )
+        return _runs_of(hashes, starts, GRAM_WORDS)
 
-    return (
-        lines.select("id", F.explode(F.transform(selected, gram)).alias("__g"))
-        .where("__g is not null")
-        .select("__g.gram", "id", "__g.at", "__g.length")
+    return df.select("id", F.explode(bind(word_hashes(F.col("text")), selected)).alias("__g")).select(
+        "__g.gram", "id", "__g.at"
     )
 
 
 def _place(order: Column) -> Column:
-    """Document and line as one number, for a minimum that is kept in place."""
+    """Document and word as one number, for a minimum that is kept in place."""
     return order.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("at")
 
 
-def _around(lines: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Adds hashes and bytes of the lines around each seed, as far as the window."""
-
-    def near(side: Column, sizes: Column) -> Column:
-        def add(acc: Column, x: Column) -> Column:
-            return F.struct(
-                (acc["total"] + x).alias("total"),
-                (acc["lines"] + (acc["total"] < WINDOW_BYTES).cast("int")).alias("lines"),
-            )
-
-        zero = F.struct(F.lit(0).alias("total"), F.lit(0).alias("lines"))
-        return F.slice(side, F.lit(1), F.aggregate(sizes, zero, add, lambda a: a["lines"]))
+def _runs_around(df: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``gram``, ``id``, ``at``: all runs of ``RUN_WORDS`` words that hold one of the seeds."""
+    places = seeds.groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("ats"))
 
-    first = F.greatest(F.col("at") - WINDOW_BYTES // 2, F.lit(1))
-    after = F.col("at") + F.col("length")
+    def around(hashes: Column) -> Column:
+        last = F.size(hashes) - (RUN_WORDS - 1)
 
-    def before(name: str) -> Column:
-        return F.reverse(F.slice(name, first, F.col("at") - first))
-
-    def behind(name: str) -> Column:
-        return F.slice(name, after, F.lit(WINDOW_BYTES // 2))
-
-    return seeds.join(lines, "id").select(
-        *seeds.columns,
-        near(before("hashes"), before("bytes")).alias("before"),
-        near(before("bytes"), before("bytes")).alias("before_bytes"),
-        near(behind("hashes"), behind("bytes")).alias("behind"),
-        near(behind("bytes"), behind("bytes")).alias("behind_bytes"),
-        F.aggregate(F.slice("bytes", F.col("at"), F.col("length")), F.lit(0), lambda a, x: a + x)
-        .alias("gram_bytes"),
-    )
+        def starts(at: Column, i: Column) -> Column:
+            # Those of the seed before are not repeated.
+            first = F.greatest(at - (WINDOW_WORDS - 1), F.coalesce(F.get("ats", i - 1), F.lit(0)) + 1)
+            end = F.least(at, last)
+            return F.when(first <= end, F.sequence(first, end)).otherwise(
+                F.array().cast("array<int>")
+            )
 
+        return _runs_of(hashes, F.flatten(F.transform("ats", starts)), RUN_WORDS)
 
-def _agreeing(mine: str, other: str) -> Column:
-    """How many lines at the start of both are equal."""
-    same = F.zip_with(mine, other, lambda a, b: a.eqNullSafe(b))
-    return bind(
-        same,
-        lambda flags: F.when(
-            F.array_contains(flags, False), F.array_position(flags, F.lit(False)).cast("int") - 1
-        ).otherwise(F.size(flags)),
+    found = bind(word_hashes(F.col("text")), around)
+    return df.join(places, "id").select("id", F.explode(found).alias("__g")).select(
+        "__g.gram", "id", "__g.at"
     )
 
 
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``cut``: for documents with later copies of passages, the runs of lines to cut, as
-    sorted and separate structs (``first``, ``last``), lines from 1."""
-    lines = settle(line_table(df, id_col, text_col))
-    seeds = settle(fingerprints(lines))
+    """``id``, ``cut``: for documents with later copies of passages, the runs of words to cut, as
+    sorted and separate structs (``first``, ``last``), words from 1."""
+    texts = df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text")
+    )
+    seeds = settle(fingerprints(texts))
+    several = seeds.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    found = settle(_runs_around(texts, seeds.join(several, "gram", "left_semi")))
     first = (
-        seeds.groupBy("gram")
-        .agg(F.min(_place(F.col("id"))).alias("first"), F.count("*").alias("n"))
+        found.groupBy("gram")
+        .agg(F.min(_place(F.col("id"))).alias("__first"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("gram", "first")
-    )
-    shared = (
-        seeds.join(first, "gram")
-        .withColumn("is_first", _place(F.col("id")) == F.col("first"))
-        .drop("first")
+        .select("gram", "__first")
     )
-    placed = settle(_around(lines, shared))
-    anchors = placed.where("is_first").select(
-        "gram",
-        F.col("id").alias("id0"),
-        F.col("at").alias("at0"),
-        F.col("before").alias("before0"),
-        F.col("behind").alias("behind0"),
-    )
-    sides = (
-        placed.where("not is_first")
-        .join(anchors, "gram")
-        .withColumn("left", _agreeing("before", "before0"))
-        .withColumn("right", _agreeing("behind", "behind0"))
-    )
-
-    def size(name: str, upto: str) -> Column:
-        return F.aggregate(F.slice(name, F.lit(1), F.col(upto)), F.lit(0), lambda a, x: a + x)
-
-    total = F.col("gram_bytes") + size("before_bytes", "left") + size("behind_bytes", "right")
-    start = F.col("at") - F.col("left")
+    ahead = F.col("__first") + RUN_WORDS - _place(F.col("id"))
     # Within a document a run must not reach into its own first place.
-    clear = F.when(
-        F.col("id") == F.col("id0"), F.greatest(start, F.col("at0") + F.col("length"))
-    ).otherwise(start)
+    clear = F.col("at") + F.when(ahead.between(1, RUN_WORDS), ahead.cast("int")).otherwise(0)
     runs = (
-        sides.where(total >= RUN_BYTES)
-        .select(
-            "id",
-            clear.alias("first"),
-            (F.col("at") + F.col("length") - 1 + F.col("right")).alias("last"),
-        )
+        found.join(first, "gram")
+        .where(_place(F.col("id")) > F.col("__first"))
+        .select("id", clear.alias("first"), (F.col("at") + (RUN_WORDS - 1)).alias("last"))
         .where("first <= last")
     )
     so_far = Window.partitionBy("id").orderBy("first", "last")
@@ -225,29 +139,30 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def without_runs(text: Column, cut: Column) -> Column:
-    """The text without the given runs of lines."""
+    """The text without the given runs of words."""
 
-    def joined(lines: Column) -> Column:
+    def joined(words: Column) -> Column:
         def stretch(k: Column) -> Column:
             start = F.coalesce(F.get(cut, k - 1)["last"] + 1, F.lit(1))
-            end = F.coalesce(F.get(cut, k)["first"] - 1, F.size(lines))
-            return F.slice(lines, start, F.greatest(end - start + 1, F.lit(0)))
+            end = F.coalesce(F.get(cut, k)["first"] - 1, F.size(words))
+            return F.slice(words, start, F.greatest(end - start + 1, F.lit(0)))
 
         kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(cut)), stretch))
         return F.array_join(kept, "")
 
-    return F.when(cut.isNull(), text).otherwise(bind(lines_of(text), joined))
+    return F.when(cut.isNull(), text).otherwise(bind(words_with_space(text), joined))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns, later copies of passages cut from ``text_col``; adds ``n_cut``, the
     characters cut.
 
-    Documents come in the order of their integer ids, lines in the order of the text; a passage
-    stays where it first occurs, in another document or the same. Texts without such a copy are
-    unchanged, null texts too. Rows without an id are not cut, nor are others cut for them. Rows
-    that share an id count as one place: they are cut where any of them would be, if their text
-    has these lines. An empty table gives an empty table.
+    A passage is ``RUN_WORDS`` words or more, wherever it starts and ends. Documents come in the
+    order of their integer ids, words in the order of the text; a passage stays where it first
+    occurs, in another document or the same. Texts without such a copy are unchanged, null texts
+    too. Rows without an id are not cut, nor are others cut for them. Rows that share an id count
+    as one place: they are cut where any of them would be, if their text has these words. An empty
+    table gives an empty table.
     """
     runs = repeated_runs(df, id_col, text_col).withColumnsRenamed(
         {"id": "__id", "cut": "__cut"}

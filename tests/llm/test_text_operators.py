@@ -185,6 +185,42 @@ def test_line_copies_are_cut(spark, empty):
     assert line_dedup.dedup_lines(empty).collect() == []
 
 
+def test_passages_inside_sentences_are_cut(spark):
+    import random
+
+    random.seed(9)
+
+    def some(n):
+        return [f"w{random.randrange(300)}" for _ in range(n)]
+
+    passage, other = some(50), some(70)
+    period = some(7) * 20
+    texts = [
+        some(30) + passage + some(20),
+        some(11) + passage + some(40),  # without any end of a sentence
+        [*some(5), "End.", *some(3), *other, *some(4)],
+        passage[:35] + some(90) + other[20:] + passage + other[:40],
+        period,
+        some(3) + period[3:60],
+    ]
+    texts = [" ".join(x) for x in texts] + [" ".join(passage).replace(" ", "\n  ")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    width, seen, n_cut = line_dedup.RUN_WORDS, {}, 0
+    assert width <= 50
+    for i, text in enumerate(texts):
+        words = text.split()
+        keep = [True] * len(words)
+        for k in range(len(words) - width + 1):
+            doc, first = seen.setdefault(tuple(words[k : k + width]), (i, k))
+            start = k if doc != i else max(k, first + width if first < k else k + width)
+            keep[start : k + width] = [False] * (k + width - start)
+        assert out[i]["text"].split() == [w for w, kept in zip(words, keep) if kept]
+        assert len(text) - len(out[i]["text"]) == out[i]["n_cut"]
+        n_cut += keep.count(False)
+    assert n_cut > 300
+
+
 def test_similar_groups(spark, empty):
     base = [f"w{i}" for i in range(200)]
     near = [*base[:100], "other", *base[101:]]
