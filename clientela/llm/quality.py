@@ -6,6 +6,11 @@ lie beyond it that, were the true rate of rejection above the rule's share of th
 would be seen with a probability of at most the test's share of the error. That is the exact
 binomial test. Shares are corrected for the number of rules and strata; within a sequence, testing
 stops at the first cutoff that fails, which needs no correction.
+
+Where a stratum has too few labelled documents for any rule to stand by its share, the rules are
+tested together along one sequence: rule after rule, from mild to strict, each step with the
+cutoffs before it in force. What all of them reject is held against the whole risk, and the error
+is shared by the strata only. Which of the two applies depends on the number of labels alone.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientela.session import settle
@@ -155,35 +160,48 @@ def cutoffs(
     ``holdout``: figures of labelled good documents that pass the base rules. ``risk`` bounds the
     rate at which all rules together reject good documents of a stratum, with probability
     ``1 - error`` over all strata. A rule without a cutoff that stands has no row. The result has
-    one row for each stratum and rule.
+    one row for each stratum and rule. No cutoff stands in a stratum of fewer than
+    ``log(error / strata) / log(1 - risk)`` documents.
     """
-    tried = F.explode(
-        F.array(
-            *[
+    steps, before = [], F.lit(False)
+    for at, rule in enumerate(rules):
+        for i, cutoff in enumerate(rule.cutoffs):
+            alone = F.coalesce(_beyond(rule, F.lit(cutoff)), F.lit(False))
+            steps.append(
                 F.struct(
                     F.lit(rule.name).alias("rule"),
+                    F.lit(at).alias("at"),
                     F.lit(i).alias("strictness"),
                     F.lit(cutoff).alias("cutoff"),
-                    _beyond(rule, F.lit(cutoff)).cast("long").alias("rejected"),
+                    alone.cast("long").alias("rejected"),
+                    (before | alone).cast("long").alias("rejected_by_all"),
                 )
-                for rule in rules
-                for i, cutoff in enumerate(rule.cutoffs)
-            ]
-        )
-    )
+            )
+        before = before | alone  # a rule's strictest cutoff rejects what the others do
     counts = (
-        holdout.select(strata.alias("stratum"), tried.alias("t"))
-        .groupBy("stratum", "t.rule", "t.strictness", "t.cutoff")
-        .agg(F.count("*").alias("n"), F.sum("t.rejected").alias("k"))
+        holdout.select(strata.alias("stratum"), F.explode(F.array(*steps)).alias("t"))
+        .groupBy("stratum", "t.rule", "t.at", "t.strictness", "t.cutoff")
+        .agg(
+            F.count("*").alias("n"),
+            F.sum("t.rejected").alias("k"),
+            F.sum("t.rejected_by_all").alias("k_all"),
+        )
     )
     share = risk / len(rules)
-    number = holdout.select(strata.alias("stratum")).distinct().count()
-    level = error / len(rules) / max(number, 1)
-    passes = (F.col("k") <= F.col("n") * share) & (
-        F.when(F.col("k") <= F.col("n") * share, lower_tail(F.col("n"), F.col("k"), share)) <= level
-    )
+    number = max(holdout.select(strata.alias("stratum")).distinct().count(), 1)
+    level = error / len(rules) / number
+
+    def stands(k: Column, rate: float, at_most: float) -> Column:
+        likely = k <= F.col("n") * rate
+        return likely & (F.when(likely, lower_tail(F.col("n"), k, rate)) <= at_most)
+
+    so_far = Window.partitionBy("stratum").orderBy("at", "strictness")
+    together = F.min(stands(F.col("k_all"), risk, error / number)).over(so_far)
+    enough = F.col("n") * F.lit(math.log1p(-share)) <= math.log(level)
+    passes = F.when(enough, stands(F.col("k"), share, level)).otherwise(F.col("together"))
     return (
-        counts.withColumn("passes", passes)
+        counts.withColumn("together", together)
+        .withColumn("passes", passes)
         .groupBy("stratum", "rule")
         .agg(
             F.collect_list(F.struct("strictness", "cutoff", "passes")).alias("tried"),

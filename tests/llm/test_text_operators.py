@@ -166,6 +166,24 @@ def test_cutoffs_keep_good_documents(spark):
     assert found["lines"] == 0.3
 
 
+def test_cutoffs_stand_for_rare_languages(spark):
+    from pyspark.sql import functions as F
+
+    sizes = {"en": 2013, "de": 488, "fr": 490, "es": 311, "it": 225}
+    rows = [(lang, 100, 500, 6 if lang == "fr" and i < 30 else 0, 10, 0, 0)
+            for lang, n in sizes.items() for i in range(n)]
+    names = "lang string, n_words long, word_chars long, n_symbols long, n_lines long, " \
+            "n_dup_lines long, n_repeat_words long"
+    good = spark.createDataFrame(rows, names)
+    found = {(r["stratum"], r["rule"]): r["cutoff"]
+             for r in quality.cutoffs(good, F.col("lang")).collect()}
+    assert {lang for lang, _ in found} == {"en", "de", "fr", "es"}  # 228 would do for "it"
+    assert found["de", "symbols"] == found["es", "symbols"] == 0.05
+    assert found["de", "repeats"] == found["es", "repeats"] == 0.1
+    # 30 of 490 are beyond 0.05, and what comes after that step is not tried.
+    assert {k: c for k, c in found.items() if k[0] == "fr"} == {("fr", "symbols"): 0.1}
+
+
 def test_line_copies_are_cut(spark, empty):
     passage = "The first sentence of a passage that comes again has quite some words in it. " \
               "The second sentence of that passage has as many words or even a few more. " \
