@@ -106,6 +106,30 @@ def test_every_print_within_the_radius_is_found(spark):
     assert got == {tuple(map(signed, x)) for x in near}
 
 
+def test_near_copies_are_counted(spark):
+    import random
+
+    random.seed(5)
+    base = [f"w{random.randrange(10_000)}" for _ in range(400)]
+    texts = [base]
+    for n in range(1, 9):  # n words of 400 replaced, 5 shingles each: Jaccard 0.82 or more
+        texts.append([f"x{n}-{i}" if i % 50 == 7 and i // 50 < n else w for i, w in enumerate(base)])
+    texts += [[f"w{random.randrange(10_000)}" for _ in range(400)] for _ in range(20)]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)],
+                               "doc_id long, text string")
+    known = fingerprints.compare_edited(df)
+    shingles = [{tuple(x[k : k + 5]) for k in range(396)} for x in texts]
+    near = [s for s in shingles if len(s & shingles[0]) >= 0.8 * len(s | shingles[0])]
+    assert len(near) == 9
+    assert [r["n_near"] for r in fingerprints.near_counts(known).collect()] == [len(near)]
+    pairs = fingerprints.within_radius(known, known, 28).collect()
+    prints = [(r["f0"], r["f1"]) for r in known.collect()]
+    mask = (1 << 64) - 1
+    apart = [((a ^ c) & mask).bit_count() + ((b ^ d) & mask).bit_count()
+             for a, b in prints for c, d in prints]
+    assert sorted(r["distance"] for r in pairs) == sorted(x for x in apart if x <= 28)
+
+
 def test_license_notices(docs, empty, spark):
     texts = ["Foo.\nReleased under the MIT License.", "all RIGHTS  reserved", "the mit license", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
