@@ -137,8 +137,10 @@ def tree(page: str | None) -> Node:
             names.pop()
         node = Node(label_of(name, token["rest"] or ""))
         stack[-1].children.append(node)
-        if not (token["rest"] or "").endswith("/") and len(stack) < DEEPEST:
-            stack.append(node)
+        if not (token["rest"] or "").endswith("/"):
+            # All names are kept, so that closing tags match; what stands around the article, too.
+            own = len(stack) < DEEPEST or (node.around() and not stack[-1].around())
+            stack.append(node if own else stack[-1])
             names.append(name)
     end_text()
     return root

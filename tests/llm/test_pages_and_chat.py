@@ -35,6 +35,23 @@ def test_damaged_archives_are_refused():
         warc.read_record(warc.record_bytes("1", None, b"payload", None).replace(b"payl", b"PAYL"))
 
 
+def test_deep_blocks_close_what_they_opened():
+    from clientela.llm import wrappers
+
+    inner = "<div>" * 200 + "<p>deep</p><aside><div><p>advert</p></div></aside>" + "</div>" * 200
+    page = f"<html><body><div><article><p>before</p>{inner}<p>behind</p></article></div></body></html>"
+    said = wrappers.main_text(page, None)
+    assert "before" in said and "deep" in said and "behind" in said
+    assert "advert" not in said
+
+    def holders(node, name):
+        found = [node] if node.name == name else []
+        return found + [x for c in node.children for x in holders(c, name)]
+
+    (article,) = holders(wrappers.tree(page), "article")
+    assert [c.children[0].text for c in article.children if c.name == "p"] == ["before", "behind"]
+
+
 def test_main_texts(spark):
     page = (
         "<html><head><title>t</title><script>var a='<p>no</p>'</script></head><body><nav><ul>"
