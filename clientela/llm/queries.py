@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from . import chat_queries, page_queries, text_queries  # noqa: F401
+from . import chat_queries, page_queries, text_queries, vector_queries  # noqa: F401
 from .registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
