@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat
+from . import chat, prefix_trie
 from .registry import query, table
 
 
@@ -60,3 +60,65 @@ def op1_preference(spark: SparkSession, folder: str) -> DataFrame:
         _trained("chosen").alias("chosen_trained"),
         _trained("rejected").alias("rejected_trained"),
     )
+
+
+_CRC = """
+    crc_table AS (
+      SELECT list_transform(range(256), lambda i: list_reduce(
+               [i, 0, 0, 0, 0, 0, 0, 0, 0],
+               lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    heads AS (
+      SELECT conv_id, xor(list_reduce(
+               list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+                                                        lambda ch: CAST(ascii(ch) AS BIGINT))),
+               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 9 AS h
+      FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), crc_table)"""
+
+
+@query(
+    f"""
+    WITH {_CRC},
+    said AS (
+      SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+             coalesce(role, '') AS role, coalesce(text, '') AS text
+      FROM conversations WHERE conv_id IS NOT NULL),
+    plan AS (
+      SELECT conv_id, h, conv_id - conv_id % 5 AS base,
+             least(h, (SELECT count(*) FROM said s WHERE s.conv_id = k.conv_id - k.conv_id % 5))
+               AS shared
+      FROM heads k),
+    turns AS (
+      SELECT p.conv_id, s.pos AS depth, s.role, s.text
+      FROM plan p JOIN said s ON s.conv_id = p.base AND s.pos <= p.h
+      UNION ALL
+      SELECT p.conv_id, s.pos - p.h + p.shared, s.role, s.text
+      FROM plan p JOIN said s ON s.conv_id = p.conv_id AND s.pos > p.h),
+    paths AS (
+      SELECT conv_id, depth, strlen(text) AS bytes, md5(string_agg(
+               md5(strlen(role) || ':' || role || text), '') OVER w) AS node
+      FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY depth)
+      UNION ALL SELECT conv_id, 0, 0, 'root' FROM heads),
+    linked AS (
+      SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent,
+             depth = max(depth) OVER (PARTITION BY conv_id) AS is_end FROM paths),
+    nodes AS (
+      SELECT node, any_value(depth) AS depth, any_value(parent) AS parent, min(conv_id) AS conv_id,
+             count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+                               FILTER (WHERE is_end), '')) AS ends_sha256
+      FROM linked GROUP BY node),
+    children AS (SELECT parent AS node, count(*) AS n FROM nodes GROUP BY parent),
+    under AS (
+      SELECT top.node, sum(n.saved) AS saved, count(*) FILTER (WHERE c.n IS NULL) AS leaves
+      FROM nodes n JOIN paths top ON top.conv_id = n.conv_id AND top.depth <= n.depth
+      LEFT JOIN children c ON c.node = n.node GROUP BY top.node)
+    SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id,
+           CAST(n.n_convs AS BIGINT) AS n_convs, CAST(coalesce(c.n, 0) AS BIGINT) AS n_children,
+           CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens,
+           n.ends_sha256
+    FROM nodes n JOIN under u USING (node) LEFT JOIN nodes up ON up.node = n.parent
+    LEFT JOIN children c ON c.node = n.node
+    """
+)
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
