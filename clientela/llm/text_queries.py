@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 
 from clientela.session import settle
 
-from . import automaton, fingerprints, licenses, line_dedup, ngram_join, packing, quality
+from . import (
+    automaton,
+    fingerprints,
+    licenses,
+    line_dedup,
+    ngram_join,
+    packing,
+    quality,
+    word_coding,
+)
 from .registry import query, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 @query()
@@ -73,3 +83,14 @@ def op9_lines(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, folder, "documents"))
+
+
+@query()
+def op13_words(spark: SparkSession, folder: str) -> DataFrame:
+    coded = word_coding.encode(table(spark, folder, "documents"), RANKS)
+    return coded.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
