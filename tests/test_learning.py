@@ -235,41 +235,29 @@ def test_balanced_weights(spark):
     assert sums[0] == pytest.approx(sums[1]) == pytest.approx(120)
 
 
-def vectors(spark, n, seed=5):
-    rng = np.random.default_rng(seed)
-    rows = [(i, [float(v) for v in rng.normal(size=4)]) for i in range(n)]
-    return spark.createDataFrame(rows, "id int, p array<double>")
-
-
-def test_exact_neighbours_by_brute_force(spark):
-    df = vectors(spark, 60)
-    local = df.toPandas()
-    x = np.array(local["p"].tolist())
-    for r in oversampling.neighbours(df).collect():
-        d = ((x - np.array(r["p"])) ** 2).sum(1)
-        want = np.sort(d)[1:6]
-        got = ((np.array(r["near"]) - np.array(r["p"])) ** 2).sum(1)
-        assert np.allclose(np.sort(got), want)
-
-
-def test_projected_neighbours_are_close(spark):
-    df = vectors(spark, 120)
-    x = np.array(df.toPandas()["p"].tolist())
-    ratio = []
-    for r in oversampling.neighbours(df, exact_rows=0).collect():
-        assert 1 <= len(r["near"]) <= 5
-        mine = ((np.array(r["near"]) - np.array(r["p"])) ** 2).sum(1).mean()
-        ratio.append(mine / ((x - np.array(r["p"])) ** 2).sum(1).mean())
-    assert np.mean(ratio) < 0.5
+def test_oversampling_balances(spark):
+    df = labelled(spark)
+    prepared = models.fit_preprocessing(df, FEATURES).transform(df).select("id", "y", "features")
+    more = oversampling.oversample(prepared, "id").cache()
+    sizes = {r["y"]: r["count"] for r in more.groupBy("y").count().collect()}
+    assert sizes[0] == sizes[1] == df.where("y = 0").count()
 
 
-def test_oversampling_balances(spark):
+def test_new_rows_lie_between_neighbours(spark):
     df = labelled(spark)
     prepared = models.fit_preprocessing(df, FEATURES).transform(df).select("id", "y", "features")
-    for limit in (oversampling.EXACT_ROWS, 0):
-        more = oversampling.oversample(prepared, "id", exact_rows=limit)
-        sizes = {r["y"]: r["count"] for r in more.groupBy("y").count().collect()}
-        assert sizes[0] == sizes[1] == df.where("y = 0").count()
+    old = np.array([r["p"] for r in oversampling.minority_points(prepared, "id", 1).collect()])
+    d = np.sqrt(((old[:, None] - old[None]) ** 2).sum(-1))
+    nearest = np.argsort(d, axis=1)[:, 1:6]
+    more = oversampling.oversample(prepared, "id").where("y = 1")
+    points = [r["p"] for r in more.select(vector_to_array("features").alias("p")).collect()]
+    made = [p for p in np.array(points) if np.abs(old - p).sum(axis=1).min() > 1e-12]
+    for p in made:
+        a = old[:, None, :].repeat(5, axis=1)
+        b = old[nearest]
+        length = np.sqrt(((b - a) ** 2).sum(-1))
+        around = np.sqrt(((a - p) ** 2).sum(-1)) + np.sqrt(((b - p) ** 2).sum(-1))
+        assert np.abs(around - length).min() < 1e-9
 
 
 def test_selection_rule(spark):
