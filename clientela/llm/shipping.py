@@ -1,28 +1,5 @@
-"""Makes this package importable in the Python workers of every executor."""
+"""Makes the package importable in the Python workers of every executor."""
 
-from __future__ import annotations
+from clientela.shipping import ship
 
-import os
-import tempfile
-import zipfile
-
-from pyspark.sql import SparkSession
-
-PACKAGE = os.path.dirname(os.path.abspath(__file__))
-
-
-def ship(spark: SparkSession) -> None:
-    """Send the source files of this package along with the session's tasks, once a session."""
-    context = spark.sparkContext
-    if getattr(context, "_llm_package_sent", None):
-        return
-    target = os.path.join(tempfile.mkdtemp(), "clientela_llm.zip")
-    with zipfile.ZipFile(target, "w") as archive:
-        root = os.path.dirname(PACKAGE)
-        archive.write(os.path.join(root, "__init__.py"), "clientela/__init__.py")
-        archive.write(os.path.join(root, "session.py"), "clientela/session.py")
-        for name in sorted(os.listdir(PACKAGE)):
-            if name.endswith(".py"):
-                archive.write(os.path.join(PACKAGE, name), f"clientela/llm/{name}")
-    context.addPyFile(target)
-    context._llm_package_sent = True
+__all__ = ["ship"]
