@@ -12,6 +12,7 @@ from catalog.registry import query
 from clientela.learning import features as features_
 from clientela.learning import metrics, models, oversampling, splits, training
 from clientela.operators import clusters
+from clientela.operators.neighbours import nearest
 from clientela.operators.segments import assign_cluster_names as name_them
 from clientela.session import scratch_folder, settle
 from clientela.sources.star_schema import SNAPSHOT, STATUS, model_tables
@@ -429,6 +430,40 @@ def smote(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(more.groupBy("y").agg(F.count(F.lit(1)).alias("n")))
 
 
+# Columns of the repeat model without nulls of their own, brought to similar widths.
+_POINT = {"first_items_value": 100_000.0, "n_items": 1.0, "month": 6.0, "dow": 7.0, "year": 2.0}
+
+
+@query(
+    f"""WITH rows_ AS ({_repeat_sql("column")}),
+    minor AS (SELECT y FROM rows_ GROUP BY y ORDER BY count(*), y LIMIT 1),
+    p AS (SELECT customer_unique_id AS id, {", ".join(f"coalesce({c}, 0) / {w}::DOUBLE AS {c}" for c, w in _POINT.items())}
+      FROM rows_ WHERE y = (SELECT y FROM minor)),
+    d AS (SELECT a.id, b.id AS neighbour, round(sqrt({" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _POINT)}), 9)
+      AS distance FROM p a JOIN p b ON a.id <> b.id)
+    SELECT id, place, neighbour, {half_even("distance", 6)} AS distance FROM (SELECT *, row_number()
+      OVER (PARTITION BY id ORDER BY distance, neighbour) AS place FROM d) WHERE place <= 5"""
+)
+def minority_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The neighbours between which oversampling places new rows, for a few plain columns."""
+    rows = settle(features_.repeat_features(_order_mart(spark, folder)))
+    sizes = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    minor = sizes.orderBy("n", "y").limit(1).select("y")
+    point = F.array(*[F.coalesce(c, F.lit(0.0)).cast("double") / w for c, w in _POINT.items()])
+    points = rows.join(F.broadcast(minor), "y").select(
+        F.col("customer_unique_id").alias("id"), point.alias("p")
+    )
+    near = nearest(settle(points), oversampling.NEIGHBOURS)
+    found = near.select("id", F.posexplode("near").alias("place", "n"))
+    return tidy(
+        found.select(
+            "id", (F.col("place") + 1).alias("place"), F.col("n.id").alias("neighbour"),
+            F.col("n.distance").alias("distance"),
+        ),
+        6,
+    )
+
+
 @query()
 def cross_validate(spark: SparkSession, folder: str) -> DataFrame:
     train, _ = _split(spark, folder)
