@@ -359,7 +359,6 @@ REPEAT = models.Features(
     "customer_unique_id", features_.REPEAT_NUMERIC, features_.REPEAT_CATEGORIES
 )
 SMALL_FOREST = {"numTrees": 20, "maxDepth": 6, "minInstancesPerNode": 20}
-SMALL_BOOSTING = {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1}
 
 
 def _split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -368,7 +367,7 @@ def _split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _family(name: str | None = None) -> list[models.Candidate]:
-    family = models.review_candidates(SMALL_FOREST, SMALL_BOOSTING)
+    family = models.review_candidates(SMALL_FOREST)
     return [c for c in family if name in (None, c.name)]
 
 

@@ -7,11 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.base import Estimator
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
     Imputer,
     OneHotEncoder,
@@ -24,6 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clientela.learning.boosting import HistogramBoosting, Settings
 from clientela.learning.oversampling import oversample
 from clientela.operators.ordering import hash_order
 
@@ -137,8 +134,8 @@ def candidates(
 ) -> list[Candidate]:
     """The model family, in order of preference among equals.
 
-    ``forest``: numTrees, maxDepth, minInstancesPerNode. ``boosting``: maxIter, maxDepth,
-    stepSize; 15 % of its rows decide when to stop.
+    ``forest``: numTrees, maxDepth, minInstancesPerNode. ``boosting``: the fields of
+    ``boosting.Settings``; 15 % of its rows decide when to stop.
     """
 
     def held_back(train: DataFrame) -> DataFrame:
@@ -159,13 +156,7 @@ def candidates(
         ),
         Candidate(
             "boosting",
-            lambda _: GBTClassifier(
-                labelCol="y",
-                weightCol="weight",
-                validationIndicatorCol="validation",
-                seed=SEED,
-                **boosting,
-            ),
+            lambda _: HistogramBoosting(Settings(**boosting)),
             held_back,
         ),
     ]
@@ -182,9 +173,9 @@ def candidates(
 
 # Settings of the two models' candidates.
 REVIEW_FOREST = {"numTrees": 400, "maxDepth": 14, "minInstancesPerNode": 20}
-REVIEW_BOOSTING = {"maxIter": 500, "maxDepth": 5, "stepSize": 0.07}
+REVIEW_BOOSTING = {"iterations": 500, "depth": 5, "step": 0.07, "penalty": 1.0}
 REPEAT_FOREST = {"numTrees": 300, "maxDepth": 12, "minInstancesPerNode": 30}
-REPEAT_BOOSTING = {"maxIter": 400, "maxDepth": 4, "stepSize": 0.06}
+REPEAT_BOOSTING = {"iterations": 400, "depth": 4, "step": 0.06, "penalty": 1.0}
 
 
 def review_candidates(forest: dict | None = None, boosting: dict | None = None) -> list[Candidate]:

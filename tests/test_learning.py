@@ -21,7 +21,7 @@ FEATURES = models.Features("id", ["x1", "x2"], ["g"])
 FAMILY = models.candidates(
     "id",
     {"numTrees": 5, "maxDepth": 3, "minInstancesPerNode": 3},
-    {"maxIter": 3, "maxDepth": 2, "stepSize": 0.1},
+    {"iterations": 3, "depth": 2, "step": 0.1},
     with_oversampling=True,
 )
 
