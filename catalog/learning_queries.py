@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from catalog.model import base, customers, stored_customers, tables, tidy
 from catalog.prelude import BASE, RFM, days, half_even
 from catalog.registry import query
+from clientela.learning import boosting
 from clientela.learning import features as features_
 from clientela.learning import metrics, models, oversampling, splits, training
 from clientela.operators import clusters
@@ -416,6 +419,95 @@ def gradient_boosting(spark: SparkSession, folder: str) -> DataFrame:
     return _candidate_scores(spark, folder, "boosting")
 
 
+# Columns and edges for which the first trees are grown in SQL as well.
+_EDGES = {
+    "tempo_entrega_dias": [20.0, 40.0, 60.0, 80.0, 100.0],
+    "valor_por_item": [15_000.0, 25_000.0, 35_000.0, 45_000.0],
+    "n_items": [1.0, 2.0, 3.0, 4.0, 5.0, 6.0],
+    "dow": [0.0, 1.0, 2.0, 3.0, 4.0, 5.0],
+}
+_STEP, _LEAST = 0.3, boosting.LEAST_ROWS
+
+
+def _tree_sql(t: int) -> str:
+    """One tree of two levels on the raw scores ``s{t}``, to those after it."""
+    sums = "sum(s.w * (s.p - s.y)) AS g, sum(s.w * s.p * (1 - s.p)) AS h, count(*) AS n"
+
+    def cuts(source: str) -> str:
+        running = ", ".join(
+            f"sum({c}) OVER (PARTITION BY node, feature ORDER BY bin) AS {c}l, "
+            f"sum({c}) OVER (PARTITION BY node, feature) AS {c}a" for c in "ghn"
+        )
+        gain = "gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1)"
+        return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node
+          ORDER BY gain DESC, feature, bin) AS rn FROM (SELECT *, round({gain}, 9) AS gain
+          FROM (SELECT node, feature, bin, {running} FROM {source})
+          WHERE nl >= {_LEAST} AND na - nl >= {_LEAST} AND hl >= 0.001 AND ha - hl >= 0.001)
+          WHERE gain > 0) WHERE rn = 1"""
+
+    return f"""s{t} AS (SELECT order_id, y, w, 1 / (1 + exp(-raw)) AS p, raw FROM r{t}),
+    h{t}_0 AS (SELECT 0 AS node, feature, bin, {sums} FROM s{t} s JOIN bl USING (order_id)
+      GROUP BY feature, bin),
+    c{t}_0 AS ({cuts(f"h{t}_0")}),
+    n{t} AS (SELECT s.*, CASE WHEN bl.bin <= c.bin THEN 1 ELSE 2 END AS node FROM s{t} s
+      JOIN bl USING (order_id) JOIN c{t}_0 c ON c.feature = bl.feature),
+    h{t}_1 AS (SELECT node, feature, bin, {sums} FROM n{t} s JOIN bl USING (order_id)
+      GROUP BY node, feature, bin),
+    c{t}_1 AS ({cuts(f"h{t}_1")}),
+    l{t} AS (SELECT s.*, CASE WHEN c.node IS NULL THEN 0 WHEN bl.bin <= c.bin THEN 1 ELSE 2 END AS side
+      FROM n{t} s LEFT JOIN c{t}_1 c USING (node)
+      LEFT JOIN bl ON bl.order_id = s.order_id AND bl.feature = c.feature),
+    v{t} AS (SELECT node, side, -{_STEP}::DOUBLE * sum(w * (p - y)) / (sum(w * p * (1 - p)) + 1) AS v
+      FROM l{t} GROUP BY node, side),
+    r{t + 1} AS (SELECT order_id, y, w, raw + v AS raw FROM l{t} JOIN v{t} USING (node, side))"""
+
+
+_BINNED = " UNION ALL ".join(
+    f"SELECT order_id, {i} AS feature, " + " + ".join(
+        f"CASE WHEN coalesce({c}, 0) > {e} THEN 1 ELSE 0 END" for e in edges
+    ) + " AS bin FROM review_f"
+    for i, (c, edges) in enumerate(_EDGES.items())
+)
+
+
+@query(
+    _review_sql(
+        f""", bl AS ({_BINNED}),
+        one AS (SELECT avg(CAST(y AS DOUBLE)) AS p FROM review_f),
+        r0 AS (SELECT order_id, CAST(y AS DOUBLE) AS y, 1.0::DOUBLE AS w, ln(p / (1 - p)) AS raw
+          FROM review_f, one), {_tree_sql(0)}, {_tree_sql(1)}
+        """ + " UNION ALL ".join(
+            f"SELECT CAST({t} AS BIGINT) AS tree, CAST(node AS BIGINT) AS node, "
+            f"CAST(feature AS BIGINT) AS feature, CAST(bin AS BIGINT) AS bin, "
+            f"{half_even('g', 6)} AS g, {half_even('h', 6)} AS h, n FROM h{t}_{d}"
+            for t in (0, 1) for d in (0, 1)
+        )
+    )
+)
+def boosting_histograms(spark: SparkSession, folder: str) -> DataFrame:
+    """The sums from which the first two trees are grown, on a few columns with given edges."""
+    values = F.array(*[F.coalesce(c, F.lit(0.0)).cast("double") for c in _EDGES])
+    edges = list(_EDGES.values())
+    rows = settle(
+        _review_features(spark, folder).select(
+            boosting.binned(values, edges).alias("bins"),
+            F.col("y").cast("double").alias("y"),
+            F.lit(1.0).alias("weight"),
+            F.lit(False).alias("validation"),
+        )
+    )
+    settings = boosting.Settings(iterations=2, depth=2, step=_STEP, least_rows=_LEAST)
+    model = boosting.fit_boosting(rows, edges, settings)
+    raw, parts = F.lit(model.start), []
+    for t, tree in enumerate(model.trees):
+        current, stump = rows.withColumn("raw", raw), boosting.Tree()
+        parts.append(boosting.histograms(current, stump, [0]).withColumn("tree", F.lit(t)))
+        stump.split(0, tree.feature[0], tree.cut[0], (0.0, 0.0))
+        parts.append(boosting.histograms(current, stump, [1, 2]).withColumn("tree", F.lit(t)))
+        raw = raw + tree.column(tree.value)
+    return tidy(reduce(DataFrame.unionByName, parts), 6)
+
+
 @query(
     f"""WITH {BASE}, c AS (SELECT CAST(n >= 2 AS BIGINT) AS y, count(*) AS k FROM (
       SELECT customer_unique_id, count(*) AS n FROM ob GROUP BY 1) GROUP BY 1)
