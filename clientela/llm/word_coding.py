@@ -201,8 +201,8 @@ def _encoded(frames: Iterator[pd.DataFrame], content: bytes) -> Iterator[pd.Data
 def _reassembled(chunks: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
     """Each document's ids from those of its words, and its bytes from those of its ids."""
     (row,) = chunks.to_dict("records")  # both sides have every chunk
-    of_packets = replies[replies["bucket"] >= 0].sort_values("bucket")["ids"]
-    ids = [ids for packet in of_packets for ids in unpacked_strings(packet)]
+    of_packets = sorted((p["bucket"], p["ids"]) for r in replies["replies"] if r is not None for p in r)
+    ids = [ids for _, packet in of_packets for ids in unpacked_strings(packet)]
     by_bucket = unpacked_numbers(row["sorted"]).tolist()
     if len(ids) != len(by_bucket):
         raise RuntimeError(f"{len(ids)} of {len(by_bucket)} words came back to a chunk")
@@ -259,7 +259,17 @@ def encode(
         )
         .repartition("chunk")
     )
-    asked = replies.select("chunk", "bucket", "ids", F.explode_outer("tokens").alias("token"))
+    # For each chunk a row with all its replies, and one for each token it has used.
+    gathered = replies.groupBy("chunk").agg(
+        F.collect_list(F.when(F.col("bucket") >= 0, F.struct("bucket", "ids"))).alias("replies"),
+        F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"),
+    )
+    nothing = F.lit(None).cast("array<struct<bucket:int,ids:binary>>")
+    rows = F.concat(
+        F.array(F.struct(F.lit(None).cast("int").alias("token"), F.col("replies"))),
+        F.transform("tokens", lambda t: F.struct(t.alias("token"), nothing.alias("replies"))),
+    )
+    asked = gathered.select("chunk", F.explode(rows).alias("row")).select("chunk", "row.*")
     answered = asked.join(F.broadcast(token_table(df, path)), "token", "left")
     done = (
         chunks.groupBy("chunk")

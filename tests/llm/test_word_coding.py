@@ -93,6 +93,6 @@ def test_a_chunk_without_a_reply_fails(spark):
     import pandas as pd
 
     chunk = word_coding._chunk(0, [1], [1], [np.zeros(1, "<u4")], word_coding.Dictionary(a=0), 8)
-    replies = pd.DataFrame({"bucket": [], "ids": [], "token": [], "bytes": []})
+    replies = pd.DataFrame({"replies": [], "token": [], "bytes": []})
     with pytest.raises(RuntimeError):
         word_coding._reassembled(chunk, replies)
