@@ -361,7 +361,6 @@ REVIEW = models.Features(
 REPEAT = models.Features(
     "customer_unique_id", features_.REPEAT_NUMERIC, features_.REPEAT_CATEGORIES
 )
-SMALL_FOREST = {"numTrees": 20, "maxDepth": 6, "minInstancesPerNode": 20}
 
 
 def _split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -370,7 +369,7 @@ def _split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _family(name: str | None = None) -> list[models.Candidate]:
-    family = models.review_candidates(SMALL_FOREST)
+    family = models.review_candidates()
     return [c for c in family if name in (None, c.name)]
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.base import Estimator
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
     Imputer,
     OneHotEncoder,
@@ -20,7 +20,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientela.learning.boosting import HistogramBoosting, Settings
+from clientela.learning.boosting import HistogramBoosting
+from clientela.learning.boosting import Settings as BoostingSettings
+from clientela.learning.forest import BalancedForest
+from clientela.learning.forest import Settings as ForestSettings
 from clientela.learning.oversampling import oversample
 from clientela.operators.ordering import hash_order
 
@@ -134,8 +137,8 @@ def candidates(
 ) -> list[Candidate]:
     """The model family, in order of preference among equals.
 
-    ``forest``: numTrees, maxDepth, minInstancesPerNode. ``boosting``: the fields of
-    ``boosting.Settings``; 15 % of its rows decide when to stop.
+    ``forest`` and ``boosting``: the fields of their ``Settings``; 15 % of the rows decide when
+    boosting stops.
     """
 
     def held_back(train: DataFrame) -> DataFrame:
@@ -149,14 +152,11 @@ def candidates(
         Candidate("logistic", _logistic(weighted=True), balanced),
         Candidate(
             "forest",
-            lambda _: RandomForestClassifier(
-                labelCol="y", weightCol="weight", seed=SEED, **forest
-            ),
-            balanced,
+            lambda _: BalancedForest(id_column, ForestSettings(seed=SEED, **forest)),
         ),
         Candidate(
             "boosting",
-            lambda _: HistogramBoosting(Settings(**boosting)),
+            lambda _: HistogramBoosting(BoostingSettings(**boosting)),
             held_back,
         ),
     ]
@@ -172,9 +172,9 @@ def candidates(
 
 
 # Settings of the two models' candidates.
-REVIEW_FOREST = {"numTrees": 400, "maxDepth": 14, "minInstancesPerNode": 20}
+REVIEW_FOREST = {"trees": 400, "depth": 14, "least_rows": 20}
 REVIEW_BOOSTING = {"iterations": 500, "depth": 5, "step": 0.07, "penalty": 1.0}
-REPEAT_FOREST = {"numTrees": 300, "maxDepth": 12, "minInstancesPerNode": 30}
+REPEAT_FOREST = {"trees": 300, "depth": 12, "least_rows": 30}
 REPEAT_BOOSTING = {"iterations": 400, "depth": 4, "step": 0.06, "penalty": 1.0}
 
 

@@ -20,7 +20,7 @@ def labelled(spark, n=240, seed=0):
 FEATURES = models.Features("id", ["x1", "x2"], ["g"])
 FAMILY = models.candidates(
     "id",
-    {"numTrees": 5, "maxDepth": 3, "minInstancesPerNode": 3},
+    {"trees": 5, "depth": 3, "least_rows": 3},
     {"iterations": 3, "depth": 2, "step": 0.1},
     with_oversampling=True,
 )
