@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from catalog.model import base, customers, stored_customers, tables, tidy
 from catalog.prelude import BASE, RFM, days, half_even
 from catalog.registry import query
-from clientela.learning import boosting
+from clientela.learning import boosting, forest
 from clientela.learning import features as features_
 from clientela.learning import metrics, models, oversampling, splits, training
 from clientela.operators import clusters
@@ -413,6 +413,28 @@ def random_forest(spark: SparkSession, folder: str) -> DataFrame:
     return _candidate_scores(spark, folder, "forest")
 
 
+_DRAWS = 50
+
+
+def _draws_sql() -> str:
+    drawn = " + ".join(
+        f"CASE WHEN substr(md5('{models.SEED}:' || tree || ':' || order_id), 1, {forest.HASH_DIGITS}) "
+        f">= '{b}' THEN 1 ELSE 0 END" for b in forest.draw_bounds()
+    )
+    return f"""SELECT CAST(tree AS BIGINT) AS tree, y, CAST(drawn AS BIGINT) AS drawn,
+      sum(drawn) OVER (PARTITION BY tree) / (2.0::DOUBLE * drawn) AS weight FROM (
+      SELECT tree, y, sum({drawn}) AS drawn FROM review_f,
+      (SELECT unnest(range({_DRAWS})) AS tree) GROUP BY tree, y)"""
+
+
+@query(_review_sql(_draws_sql()))
+def forest_draws(spark: SparkSession, folder: str) -> DataFrame:
+    """What the first trees draw of either class, and the weights that balance it."""
+    rows = settle(_review_features(spark, folder).select("order_id", "y"))
+    pairs = forest.drawn(rows, "order_id", range(_DRAWS), models.SEED)
+    return tidy(forest.class_weights(pairs))
+
+
 @query()
 def gradient_boosting(spark: SparkSession, folder: str) -> DataFrame:
     return _candidate_scores(spark, folder, "boosting")
