@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .automaton import vocabulary_everywhere
 from .pieces import LATIN_WORDS, ODD, WORDS
 
-CHUNK_BYTES, CHUNK_ROWS = 16 << 20, 100_000  # a chunk ends at either; a text is never cut
+CHUNK_BYTES, CHUNK_ROWS = 10 << 20, 100_000  # a chunk ends at either; a text is never cut
 LEAST_BUCKETS = 1024  # packets of a chunk; more if there are more shuffle partitions
 WORDS_KEPT = 1_000_000  # by an encoding task, of at most WORD_BYTES; the rest are encoded again
 WORD_BYTES = 64
