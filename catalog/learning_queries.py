@@ -8,13 +8,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.model import base, customers, stored_customers, tables, tidy
+from catalog.model import base, customers, rule_cluster, stored_customers, tables, tidy
 from catalog.prelude import BASE, RFM, days, half_even
 from catalog.registry import query
 from clientela.learning import boosting, forest
 from clientela.learning import features as features_
 from clientela.learning import metrics, models, oversampling, splits, training
-from clientela.operators import clusters
+from clientela.operators import clusters, kmeans
 from clientela.operators.neighbours import nearest
 from clientela.operators.segments import assign_cluster_names as name_them
 from clientela.session import scratch_folder, settle
@@ -43,7 +43,7 @@ def fit_clusters(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def predict_clusters(spark: SparkSession, folder: str) -> DataFrame:
     people = stored_customers(spark, folder)
-    model = clusters.fit_clusters(people, restarts=2)
+    model = clusters.fit_clusters(people)
     named = name_them(settle(clusters.predict_clusters(people, model)))
     return named.select("customer_unique_id", "Cluster", "Cluster_Name")
 
@@ -52,8 +52,8 @@ def predict_clusters(spark: SparkSession, folder: str) -> DataFrame:
 def stored_model(spark: SparkSession, folder: str) -> DataFrame:
     """A fitted model stored with its metadata, loaded again and applied."""
     people = stored_customers(spark, folder)
-    model = clusters.fit_clusters(people, restarts=1)
-    metadata = clusters.clustering_metadata(people, model, SNAPSHOT, SNAPSHOT, restarts=1)
+    model = clusters.fit_clusters(people)
+    metadata = clusters.clustering_metadata(people, model, SNAPSHOT, SNAPSHOT)
     path = scratch_folder(spark, "model")
     clusters.save_model(model, metadata, path)
     again, _ = clusters.load_model(spark, path)
@@ -63,13 +63,110 @@ def stored_model(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def elbow(spark: SparkSession, folder: str) -> DataFrame:
-    return clusters.elbow(stored_customers(spark, folder), ks=range(2, 6), restarts=2)
+    return clusters.elbow(stored_customers(spark, folder))
 
 
-@query()
+# Points in plain units, and centres from which one pass is made in SQL as well.
+_PLAIN = ["Recency / 100.0::DOUBLE", "ln(1 + Frequency)", "ln(1 + CAST(Monetary AS DOUBLE))"]
+_STARTS = {
+    0: [[1.0, 2.0, 13.0], [5.0, 1.5, 12.0], [10.0, 1.0, 11.0], [15.0, 0.7, 12.5]],
+    1: [[0.5, 3.0, 14.0], [0.5, 1.0, 12.0], [30.0, 1.0, 12.0], [31.0, 1.0, 12.0]],
+    2: [[8.0, 2.0, 12.5], [8.0, 2.0, 12.5], [20.0, 0.7, 10.0], [4.0, 2.5, 13.5]],
+}
+
+
+def _plain_points(spark: SparkSession, folder: str) -> DataFrame:
+    people = customers(spark, folder)
+    return people.withColumn(
+        "p",
+        F.array(
+            F.col("Recency") / 100.0,
+            F.log(1 + F.col("Frequency").cast("double")),
+            F.log(1 + F.col("Monetary").cast("double")),
+        ),
+    )
+
+
+def _square_sql(centre: list[float]) -> str:
+    return " + ".join(f"(x{i} - {c}::DOUBLE) * (x{i} - {c}::DOUBLE)" for i, c in enumerate(centre))
+
+
+_POINTS_SQL = f"{RFM}, pts AS (SELECT customer_unique_id, Recency, Frequency, Monetary, " + ", ".join(
+    f"{x} AS x{i}" for i, x in enumerate(_PLAIN)
+) + " FROM rfm)"
+_NEAREST_SQL = " UNION ALL ".join(
+    f"SELECT customer_unique_id, {s} AS start, {j} AS cluster, {_square_sql(c)} AS cost, x0, x1, x2 FROM pts"
+    for s, centres in _STARTS.items() for j, c in enumerate(centres)
+)
+
+
+@query(
+    f"""WITH {_POINTS_SQL}, best AS (SELECT *, row_number() OVER (PARTITION BY customer_unique_id, start
+      ORDER BY cost, cluster) AS rn FROM ({_NEAREST_SQL}))
+    SELECT CAST(start AS BIGINT) AS start, CAST(cluster AS BIGINT) AS cluster, count(*) AS n,
+      {half_even("sum(cost)", 6)} AS cost, {half_even("sum(x0)", 6)} AS x0,
+      {half_even("sum(x1)", 6)} AS x1, {half_even("sum(x2)", 6)} AS x2
+    FROM best WHERE rn = 1 GROUP BY start, cluster"""
+)
+def kmeans_pass(spark: SparkSession, folder: str) -> DataFrame:
+    """One pass of k-means for several sets of given centres at once."""
+    points = kmeans.as_columns(_plain_points(spark, folder).select("p"), "p", len(_PLAIN))
+    return tidy(kmeans.passes(points, _STARTS), 6)
+
+
+_LABEL_SQL = "CASE WHEN Recency > 365 THEN 2 WHEN Frequency >= 5 THEN 0 WHEN Monetary >= 500000 THEN 3 ELSE 1 END"
+
+
+@query(
+    f"""WITH {_POINTS_SQL}, l AS (SELECT *, {_LABEL_SQL} AS label FROM pts),
+    sums AS (SELECT a.customer_unique_id, a.label, b.label AS other, count(*) AS n, sum(sqrt(
+        (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2)))
+        AS total FROM l a, l b GROUP BY ALL),
+    ab AS (SELECT customer_unique_id, label, max(n) FILTER (label = other) AS size,
+        max(total / greatest(n - 1, 1)) FILTER (label = other) AS a,
+        min(total / n) FILTER (label <> other) AS b FROM sums GROUP BY ALL)
+    SELECT CAST(label AS BIGINT) AS label, count(*) AS n, {half_even(
+        "avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END)", 6)} AS silhouette
+    FROM ab GROUP BY label"""
+)
+def silhouette(spark: SparkSession, folder: str) -> DataFrame:
+    """The silhouette of all customers in fixed groups, by group."""
+    rows = _plain_points(spark, folder).withColumn("label", rule_cluster())
+    found = clusters.silhouettes(rows, "customer_unique_id", "p", "label")
+    means = found.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("silhouette").alias("silhouette")
+    )
+    return tidy(means, 6)
+
+
+# Three scaled features have their correlations as covariances; the eigenvalues of such a
+# matrix have a closed form, and an eigenvector is the cross product of two rows.
+_PCA_SQL = f"""WITH {RFM}, x AS (SELECT customer_unique_id, CAST(Recency AS DOUBLE) AS r,
+      ln(1 + Frequency) AS f, ln(1 + CAST(Monetary AS DOUBLE)) AS m FROM rfm),
+    z AS (SELECT customer_unique_id, (r - avg(r) OVER ()) / stddev_samp(r) OVER () AS r,
+      (f - avg(f) OVER ()) / stddev_samp(f) OVER () AS f,
+      (m - avg(m) OVER ()) / stddev_samp(m) OVER () AS m FROM x),
+    c AS (SELECT corr(r, f) AS a, corr(r, m) AS b, corr(f, m) AS c FROM x),
+    p AS (SELECT *, sqrt((a * a + b * b + c * c) / 3) AS p FROM c),
+    ph AS (SELECT *, acos(a * b * c / (p * p * p)) / 3 AS phi FROM p),
+    e AS (SELECT *, 1 + 2 * p * cos(phi) AS e1, 1 + 2 * p * cos(phi + 2 * pi() / 3) AS e3 FROM ph),
+    ev AS (SELECT a, b, c, 1 AS k, e1 AS e FROM e UNION ALL SELECT a, b, c, 2, 3 - e1 - e3 FROM e),
+    v AS (SELECT k, e, a * c - b * (1 - e) AS v0, b * a - (1 - e) * c AS v1, (1 - e) * (1 - e) - a * a AS v2
+      FROM ev),
+    u AS (SELECT k, e, CASE WHEN v2 < 0 THEN -1 ELSE 1 END / sqrt(v0 * v0 + v1 * v1 + v2 * v2) AS s,
+      v0, v1, v2 FROM v)"""
+
+
+@query(
+    _PCA_SQL + f""" SELECT customer_unique_id, {half_even("max(pc) FILTER (k = 1)", 6)} AS PC1,
+      {half_even("max(pc) FILTER (k = 2)", 6)} AS PC2, {half_even("max(e) FILTER (k = 1) / 3", 9)} AS share1,
+      {half_even("max(e) FILTER (k = 2) / 3", 9)} AS share2
+    FROM (SELECT customer_unique_id, k, e, s * (r * v0 + f * v1 + m * v2) AS pc FROM z, u) GROUP BY 1"""
+)
 def pca_2d(spark: SparkSession, folder: str) -> DataFrame:
-    projected, _ = clusters.pca_2d(stored_customers(spark, folder))
-    return projected
+    projected, shares = clusters.pca_2d(stored_customers(spark, folder))
+    found = tidy(projected, 6)
+    return found.withColumns({f"share{i + 1}": F.lit(round(s, 9)) for i, s in enumerate(shares)})
 
 
 # ---------------------------------------------------------------- features
