@@ -1,27 +1,25 @@
 """Tests of differences between groups.
 
-Each test reduces the table to a few sums per group in Spark; the remaining arithmetic and
-the tail probability concern one row per metric, pair or table.
+Each test reduces the table to a few sums per group, for any number of groups; statistics and
+tail probabilities are columns of the same plan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clientela.functions.probability import (
+from clientela.functions.tails import (
     chi2_tail,
     f_tail,
-    studentized_range_critical,
+    studentized_range_quantile,
     studentized_range_tail,
 )
 from clientela.operators.distributions import long_form
 from clientela.operators.ordering import ranked_values
-
-MAX_GROUPS = 1000  # a group list longer than this is not a segmentation
+from clientela.shipping import ship
 
 
 def group_moments(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
@@ -67,95 +65,98 @@ def anova_statistic(df: DataFrame, group: str, columns: Sequence[str]) -> DataFr
 
 def anova(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """Analysis of variance with p-values."""
-    rows = [
-        (r["metric"], r["f_stat"], r["df_between"], r["df_within"],
-         None if r["f_stat"] is None else f_tail(r["f_stat"], r["df_between"], r["df_within"]))
-        for r in anova_statistic(df, group, columns).collect()
-    ]
-    return df.sparkSession.createDataFrame(
-        rows, "metric string, f_stat double, df_between bigint, df_within bigint, p_value double"
-    )
+    p = f_tail(F.col("f_stat"), F.col("df_between"), F.col("df_within"))
+    return anova_statistic(df, group, columns).withColumn("p_value", p)
 
 
 def kruskal_statistic(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """Kruskal–Wallis H, corrected for ties, and its degrees of freedom per metric.
 
-    Ranks come from counts per distinct value, with one count per group next to them.
+    Ranks belong to distinct values; the rows of a group are counted per value, so a group's
+    rank sum is over its values.
     """
     long = long_form(df.where(F.col(group).isNotNull()), columns, [group])
-    groups = [r[0] for r in df.where(F.col(group).isNotNull()).select(group).distinct()
-              .limit(MAX_GROUPS + 1).collect()]
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"{group} has more than {MAX_GROUPS} groups")
-    in_group = {
-        f"g{i}": (F.col(group) == F.lit(g)).cast("bigint") for i, g in enumerate(groups)
-    }
-    ranked = ranked_values(long, "value", by=["metric"], **in_group)
-    n = F.col("n").cast("decimal(20,0)")
-    twice_rank = (2 * F.col("upto") - F.col("n") + 1).cast("decimal(20,0)")
-    ties = F.col("n").cast("double")
-    sums = ranked.groupBy("metric").agg(
-        F.max("upto_total").cast("double").alias("size"),
-        F.sum(ties * ties * ties - ties).alias("ties"),
-        *[
-            F.sum((twice_rank * F.col(f"g{i}")).cast("decimal(38,0)")).cast("double").alias(f"r{i}")
-            for i in range(len(groups))
-        ],
-        *[F.max(f"g{i}_upto_total").cast("double").alias(f"n{i}") for i in range(len(groups))],
+    ranked = ranked_values(long, "value", by=["metric"])
+    doubled = (2 * F.col("upto") - F.col("n") + 1).cast("decimal(20,0)")
+    ranks = ranked.select("metric", "value", doubled.alias("twice_rank"))
+    counts = (
+        long.where(F.col("value").isNotNull())
+        .groupBy("metric", "value", group)
+        .agg(F.count(F.lit(1)).alias("k"))
+    )
+    sums = (
+        counts.join(ranks, ["metric", "value"])
+        .groupBy("metric", group)
+        .agg(
+            F.sum((F.col("twice_rank") * F.col("k").cast("decimal(18,0)")).cast("decimal(38,0)"))
+            .cast("double").alias("r"),
+            F.sum("k").cast("double").alias("k"),
+        )
+        .groupBy("metric")
+        .agg(F.sum((F.col("r") / 2) * (F.col("r") / 2) / F.col("k")).alias("spread"),
+             F.count(F.lit(1)).alias("groups"))
+    )
+    n = F.col("n").cast("double")
+    whole = ranked.groupBy("metric").agg(
+        F.max("upto_total").cast("double").alias("size"), F.sum(n * n * n - n).alias("ties")
     )
     size = F.col("size")
-    spread = F.lit(0.0)
-    used = F.lit(0).cast("bigint")
-    for i in range(len(groups)):
-        share = F.try_divide((F.col(f"r{i}") / 2) * (F.col(f"r{i}") / 2), F.col(f"n{i}"))
-        spread = spread + F.coalesce(share, F.lit(0.0))
-        used = used + (F.col(f"n{i}") > 0).cast("bigint")
-    h = 12.0 / (size * (size + 1)) * spread - 3 * (size + 1)
-    correction = 1 - F.col("ties") / (size * size * size - size)
-    return sums.select(
-        "metric", F.try_divide(h, correction).alias("h_stat"), (used - 1).alias("df")
+    h = 12.0 / (size * (size + 1)) * F.col("spread") - 3 * (size + 1)
+    correction = 1 - F.try_divide(F.col("ties"), size * size * size - size)
+    return whole.join(sums, "metric").select(
+        "metric", F.try_divide(h, correction).alias("h_stat"), (F.col("groups") - 1).alias("df")
     )
 
 
 def kruskal(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """Kruskal–Wallis test with p-values."""
-    rows = [
-        (r["metric"], r["h_stat"], r["df"],
-         None if r["h_stat"] is None else chi2_tail(r["h_stat"], r["df"]))
-        for r in kruskal_statistic(df, group, columns).collect()
-    ]
-    return df.sparkSession.createDataFrame(
-        rows, "metric string, h_stat double, df bigint, p_value double"
-    )
+    p = chi2_tail(F.col("h_stat"), F.col("df"))
+    return kruskal_statistic(df, group, columns).withColumn("p_value", p)
 
 
 def tukey(
     df: DataFrame, group: str, columns: Sequence[str], alpha: float = 0.05
 ) -> DataFrame:
     """Tukey's pairwise comparison of group means: one row per metric and pair."""
-    moments: dict[str, list] = {}
-    for r in group_moments(df, group, columns).collect():  # one row per metric and group
-        moments.setdefault(r["metric"], []).append(r)
-    rows = []
-    for metric, groups in moments.items():
-        groups.sort(key=lambda r: r[group])
-        k = len(groups)
-        free = sum(r["n"] for r in groups) - k
-        mse = sum(r["ss"] for r in groups) / free
-        critical = studentized_range_critical(alpha, k, float(free))
-        for a, b in combinations(groups, 2):
-            error = (mse / 2.0 * (1.0 / a["n"] + 1.0 / b["n"])) ** 0.5
-            diff = b["mean"] - a["mean"]
-            p = studentized_range_tail(abs(diff) / error, k, float(free)) if error else None
-            half = critical * error
-            rows.append(
-                (metric, str(a[group]), str(b[group]), diff, p, diff - half, diff + half,
-                 abs(diff) > half)
-            )
-    return df.sparkSession.createDataFrame(
-        rows,
-        "metric string, group1 string, group2 string, meandiff double, p_adj double, "
-        "lower double, upper double, reject boolean",
+    ship(df.sparkSession)
+    moments = group_moments(df, group, columns)
+    whole = moments.groupBy("metric").agg(
+        F.count(F.lit(1)).alias("groups"),
+        (F.sum("n") - F.count(F.lit(1))).alias("free"),
+        F.sum("ss").alias("within"),
+    )
+    critical = studentized_range_quantile(alpha)(F.col("groups"), F.col("free"))
+    per_metric = whole.select(
+        "metric", "groups", "free",
+        F.try_divide("within", "free").alias("mse"),
+        critical.alias("critical"),
+    )
+    first, second = (
+        moments.select(
+            "metric", F.col(group).alias(f"group{i}"), F.col("n").alias(f"n{i}"),
+            F.col("mean").alias(f"mean{i}"),
+        )
+        for i in (1, 2)
+    )
+    error = F.sqrt(F.col("mse") / 2 * (1 / F.col("n1") + 1 / F.col("n2")))
+    pairs = (
+        first.join(second, "metric")
+        .where(F.col("group1") < F.col("group2"))
+        .join(F.broadcast(per_metric), "metric")  # one row per metric
+        .withColumn("meandiff", F.col("mean2") - F.col("mean1"))
+        .withColumn("error", F.when(error > 0, error))
+    )
+    tail = studentized_range_tail()(F.abs("meandiff") / F.col("error"), F.col("groups"), F.col("free"))
+    half = F.col("critical") * F.coalesce("error", F.lit(0.0))
+    return pairs.withColumn("p_adj", F.nanvl(tail, F.lit(None).cast("double"))).select(
+        "metric",
+        F.col("group1").cast("string").alias("group1"),
+        F.col("group2").cast("string").alias("group2"),
+        "meandiff",
+        "p_adj",
+        (F.col("meandiff") - half).alias("lower"),
+        (F.col("meandiff") + half).alias("upper"),
+        (F.abs("meandiff") > half).alias("reject"),
     )
 
 
@@ -198,8 +199,6 @@ def chi_square_statistic(df: DataFrame, rows: str, columns: str) -> DataFrame:
 
 def chi_square(df: DataFrame, rows: str, columns: str) -> DataFrame:
     """Chi-square test of independence with p-value."""
-    r = chi_square_statistic(df, rows, columns).first()
-    p = chi2_tail(r["chi2"], r["df"]) if r["df"] else 1.0
-    return df.sparkSession.createDataFrame(
-        [(r["chi2"], r["df"], p)], "chi2 double, df bigint, p_value double"
-    )
+    p = chi2_tail(F.col("chi2"), F.col("df"))
+    found = chi_square_statistic(df, rows, columns)
+    return found.withColumn("p_value", F.when(F.col("df") == 0, F.lit(1.0)).otherwise(p))
