@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from catalog.prelude import base as sql_base
 from catalog.prelude import half_even, half_up, labelled, mean
 from catalog.prelude import rfm as sql_rfm
 from catalog.registry import query
+from clientela.functions import probability
 from clientela.functions.scalars import half_year
 from clientela.operators import concentration, distributions, hypothesis, kpis, ordering, segments
 from clientela.operators import rfm as rfm_
@@ -272,6 +274,34 @@ def cohort_weighted_retention(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(rfm_.retention_heatmap(cohort, from_half_year="1996-S1"))
 
 
+_DENSE = labelled(
+    f""", seen AS (SELECT max(CAST(Safra || '-01' AS DATE) + to_months(CAST(MesIndice AS INTEGER))) AS m FROM cohort),
+    grid AS (SELECT Safra, Clientes_Retidos AS Tamanho_Safra, CAST(unnest(range(CAST(
+      (year(m) - CAST(left(Safra, 4) AS INTEGER)) * 12 + month(m) - CAST(right(Safra, 2) AS INTEGER) + 1 AS BIGINT)))
+      AS BIGINT) AS MesIndice FROM cohort, seen WHERE MesIndice = 0),
+    dense AS (SELECT g.Safra, g.MesIndice, coalesce(c.Clientes_Retidos, 0) AS Clientes_Retidos, g.Tamanho_Safra,
+      {half_even("coalesce(c.Clientes_Retidos, 0) / g.Tamanho_Safra::DOUBLE", 4)} AS Pct_Retencao
+      FROM grid g LEFT JOIN cohort c USING (Safra, MesIndice))"""
+)
+
+
+@query(_DENSE + " SELECT * FROM dense")
+def cohort_retention_dense(spark: SparkSession, folder: str) -> DataFrame:
+    cohort = settle(rfm_.cohort_retention(base(spark, folder)))
+    return tidy(rfm_.dense_retention(cohort))
+
+
+@query(
+    _DENSE + """ SELECT MesIndice, CAST(sum(Clientes_Retidos) AS BIGINT) AS Clientes_Retidos,
+    CAST(sum(Tamanho_Safra) AS BIGINT) AS Tamanho_Safra,
+    sum(Clientes_Retidos)::DOUBLE / sum(Tamanho_Safra)::DOUBLE AS Retencao FROM dense GROUP BY 1"""
+)
+def cohort_weighted_retention_dense(spark: SparkSession, folder: str) -> DataFrame:
+    """Retention by month, where cohorts from which nobody returned count as well."""
+    cohort = settle(rfm_.cohort_retention(base(spark, folder)))
+    return tidy(rfm_.weighted_retention(rfm_.dense_retention(cohort), "MesIndice"))
+
+
 @query(labelled(f"SELECT Safra, MesIndice, {_HALF_YEAR} AS Semestre FROM cohort"))
 def cohort_semester(spark: SparkSession, folder: str) -> DataFrame:
     cohort = rfm_.cohort_retention(base(spark, folder))
@@ -802,7 +832,7 @@ def monetary_quintiles(spark: SparkSession, folder: str) -> DataFrame:
 )
 def crosstab(spark: SparkSession, folder: str) -> DataFrame:
     _, orders = marts(spark, folder, payments=True)
-    return distributions.crosstab(orders, "Cluster_Name", "payment_type", ["A", "N", "R"])
+    return distributions.crosstab(orders, "Cluster_Name", "payment_type")
 
 
 @query(
@@ -817,6 +847,18 @@ def share_within_group(spark: SparkSession, folder: str) -> DataFrame:
     return payment_mix(orders)
 
 
+@query(
+    labelled(
+        "SELECT Cluster_Name, " + ", ".join(
+            f"count(*) FILTER (payment_type = '{t}') / count(*)::DOUBLE AS {t}" for t in "ANR"
+        ) + " FROM ord WHERE payment_type IS NOT NULL GROUP BY 1"
+    )
+)
+def share_pivot(spark: SparkSession, folder: str) -> DataFrame:
+    _, orders = marts(spark, folder, payments=True)
+    return distributions.share_pivot(payment_mix(orders), "Cluster_Name", "payment_type", "pct")
+
+
 _DESCRIBE = " UNION ALL ".join(
     f"""SELECT '{c}' AS metric, count(v) AS count, {half_even("avg(v)", 6)} AS mean,
     {half_even("quantile_cont(v, 0.5)", 6)} AS median, {half_even("stddev_samp(v)", 6)} AS std,
@@ -864,7 +906,9 @@ def outlier_cap_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 def _histogram(x: str, bins: int) -> str:
     return sql_rfm(
-        f"""SELECT b AS bin, coalesce(n, 0) AS n FROM range({bins}) AS r(b) LEFT JOIN (
+        f"""SELECT b AS bin, coalesce(n, 0) AS n, {half_even(f"lo + b * ((hi - lo) / {bins})", 6)} AS low,
+        {half_even(f"lo + (b + 1) * ((hi - lo) / {bins})", 6)} AS high
+        FROM (SELECT min({x}) AS lo, max({x}) AS hi FROM rfm), range({bins}) AS r(b) LEFT JOIN (
         SELECT least(CAST(floor((v - lo) / (hi - lo) * {bins}) AS BIGINT), {bins - 1}) AS b,
         count(*) AS n FROM (SELECT {x} AS v, min({x}) OVER () AS lo, max({x}) OVER () AS hi
         FROM rfm) GROUP BY 1) USING (b)"""
@@ -874,14 +918,14 @@ def _histogram(x: str, bins: int) -> str:
 @query(_histogram("CAST(Recency AS DOUBLE)", 35))
 def histogram(spark: SparkSession, folder: str) -> DataFrame:
     bars = distributions.histogram(stored_customers(spark, folder), "Recency", 35)
-    return tidy(bars.select("bin", "n"))
+    return tidy(bars, 6)
 
 
 @query(_histogram("ln(1 + CAST(Monetary AS DOUBLE))", 50))
 def histogram_log(spark: SparkSession, folder: str) -> DataFrame:
     value = F.log1p(F.col("Monetary").cast("double"))
     bars = distributions.histogram(stored_customers(spark, folder), value, 50)
-    return tidy(bars.select("bin", "n"))
+    return tidy(bars, 6)
 
 
 @query(
@@ -967,30 +1011,102 @@ def anova(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(found, 4)
 
 
-@query(
-    labelled(
-        _per_metric(
-            """SELECT '{c}' AS metric, round_even((12.0 / (n * (n + 1.0)) * s - 3 * (n + 1))
-            / (1 - t / (n * n * n - n)) * 1e4, 0) / 1e4 AS h_stat, k - 1 AS df FROM (
-            SELECT sum(rs * rs / g) AS s, sum(g)::DOUBLE AS n, count(*) AS k, any_value(t) AS t FROM (
-              SELECT Cluster, sum(rk) AS rs, count(*)::DOUBLE AS g, any_value(t) AS t FROM (
-                SELECT Cluster, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1)
-                / 2.0::DOUBLE AS rk, (SELECT sum(x * x * x - x) FROM (SELECT count(*)::DOUBLE AS x
-                FROM cust WHERE {c} IS NOT NULL GROUP BY {c})) AS t
-                FROM cust WHERE {c} IS NOT NULL) GROUP BY Cluster))"""
-        )
+_CHI2_TAIL = """CASE WHEN x > 1400 THEN 0.0 ELSE (SELECT greatest(0, round(1 - sum(exp(-x / 2
+    + (k / 2.0::DOUBLE + i) * ln(x / 2) - lgamma(k / 2.0::DOUBLE + i + 1))), 6)) FROM range(3000) AS r(i)) END"""
+
+
+def _kruskal_sql(metrics: list[str], table: str, group: str) -> str:
+    """H with the correction for ties and its tail, for columns of a table."""
+    stats = " UNION ALL ".join(
+        f"""SELECT '{c}' AS metric, (12.0 / (n * (n + 1.0)) * s - 3 * (n + 1)) / (1 - t / (n * n * n - n)) AS x,
+        k - 1 AS k FROM (SELECT sum(rs * rs / g) AS s, sum(g)::DOUBLE AS n, count(*) AS k, any_value(t) AS t
+          FROM (SELECT {group}, sum(rk) AS rs, count(*)::DOUBLE AS g, any_value(t) AS t FROM (
+            SELECT {group}, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1)
+            / 2.0::DOUBLE AS rk, (SELECT sum(x * x * x - x) FROM (SELECT count(*)::DOUBLE AS x
+            FROM {table} WHERE {c} IS NOT NULL GROUP BY {c})) AS t
+            FROM {table} WHERE {c} IS NOT NULL) GROUP BY {group}))"""
+        for c in metrics
     )
-)
+    return labelled(
+        f""", stat AS ({stats}) SELECT metric, {half_even("x", 4)} AS h_stat, k AS df,
+        {_CHI2_TAIL} AS p_value FROM stat"""
+    )
+
+
+def _p_to_six(found: DataFrame, digits: int) -> DataFrame:
+    return tidy(found.withColumn("p_value", F.round("p_value", 6)).withColumn(
+        found.columns[1 if "metric" in found.columns else 0],
+        F.rint(F.col(found.columns[1 if "metric" in found.columns else 0]) * 10**digits) / 10**digits,
+    ))
+
+
+@query(_kruskal_sql(_METRICS, "cust", "Cluster"))
 def kruskal(spark: SparkSession, folder: str) -> DataFrame:
-    found = hypothesis.kruskal(_grouped(spark, folder), "Cluster", _METRICS)
-    return tidy(found.drop("p_value"), 4)
+    return _p_to_six(hypothesis.kruskal(_grouped(spark, folder), "Cluster", _METRICS), 4)
+
+
+_TUKEY = ["Monetary", "Frequency", "Recency"]
+
+
+def _tukey_sql() -> str:
+    """Mean differences, and the tail of the studentized range by the same quadrature."""
+    def nodes(n: int) -> str:
+        x, w = np.polynomial.legendre.leggauss(n)
+        pairs = ", ".join(f"({float(a)!r}::DOUBLE, {float(b)!r}::DOUBLE)" for a, b in zip(x, w, strict=True))
+        return f"(VALUES {pairs})"
+
+    def normal(z: str) -> str:
+        def poly(coefficients: tuple) -> str:
+            text = repr(float(coefficients[0])) + "::DOUBLE"
+            for c in coefficients[1:]:
+                text = f"({text} * abs({z}) + {float(c)!r}::DOUBLE)"
+            return text
+
+        far = f"(abs({z}) + 0.65)"
+        for i in (4, 3, 2, 1):
+            far = f"(abs({z}) + {i}.0::DOUBLE / {far})"
+        density = f"exp(-{z} * {z} / 2)"
+        tail = (f"CASE WHEN abs({z}) > 37 THEN 0 WHEN abs({z}) < {probability.NORMAL_FAR}::DOUBLE THEN "
+                f"{density} * {poly(probability.NORMAL_TOP)} / {poly(probability.NORMAL_BOTTOM)} "
+                f"ELSE {density} / ({far} * sqrt(2 * pi())) END")
+        return f"(CASE WHEN {z} > 0 THEN 1 - ({tail}) ELSE ({tail}) END)"
+
+    groups = " UNION ALL ".join(
+        f"""SELECT '{c}' AS metric, Cluster, count(*)::DOUBLE AS n, avg(CAST({c} AS DOUBLE)) AS mean,
+        var_pop(CAST({c} AS DOUBLE)) * count(*) AS ss FROM cust WHERE {c} IS NOT NULL GROUP BY Cluster"""
+        for c in _TUKEY
+    )
+    return labelled(
+        f""", g AS ({groups}),
+        w AS (SELECT metric, count(*)::DOUBLE AS k, sum(n) - count(*) AS v, sum(ss) / (sum(n) - count(*)) AS mse
+          FROM g GROUP BY metric),
+        pairs AS (SELECT metric, a.Cluster AS g1, b.Cluster AS g2, b.mean - a.mean AS meandiff, k, v,
+          abs(b.mean - a.mean) / sqrt(mse / 2 * (1 / a.n + 1 / b.n)) AS q
+          FROM g a JOIN g b USING (metric) JOIN w USING (metric) WHERE a.Cluster < b.Cluster),
+        outer_ AS (SELECT metric, g1, g2, k, q, v, 9 / sqrt(2 * v) AS half, x, wt FROM pairs,
+          {nodes(48)} AS t(x, wt)),
+        mid AS (SELECT metric, g1, g2, k, q, 1 + half * x AS s, half * wt * exp(v / 2 * ln(v) - lgamma(v / 2)
+          - (v / 2 - 1) * ln(2) + (v - 1) * ln(1 + half * x) - v * (1 + half * x) * (1 + half * x) / 2) AS d
+          FROM outer_),
+        inner_ AS (SELECT metric, g1, g2, k, d, wt, 8.5::DOUBLE * x AS z, 8.5::DOUBLE * x - q * s AS y
+          FROM mid, {nodes(96)} AS t(x, wt)),
+        p AS (SELECT metric, g1, g2, 1 - sum(d * 8.5::DOUBLE * k * wt * exp(-z * z / 2) / sqrt(2 * pi())
+          * pow(least(1, greatest(0, {normal("z")} - {normal("y")})), k - 1)) AS p FROM inner_ GROUP BY ALL)
+        SELECT metric, CAST(g1 AS VARCHAR) AS group1, CAST(g2 AS VARCHAR) AS group2,
+          {half_even("meandiff", 6)} AS meandiff, abs(round(least(1, greatest(0, p)), 6)) AS p_adj,
+          p < 0.05 AS reject FROM pairs JOIN p USING (metric, g1, g2)"""
+    )
 
 
-@query()
+@query(_tukey_sql())
 def tukey(spark: SparkSession, folder: str) -> DataFrame:
-    return hypothesis.tukey(
-        _grouped(spark, folder), "Cluster", ["Monetary", "Frequency", "Recency"]
-    )
+    found = hypothesis.tukey(_grouped(spark, folder), "Cluster", _TUKEY).drop("lower", "upper")
+    return tidy(found.withColumn("p_adj", F.abs(F.round("p_adj", 6))), 6)
+
+
+@query()
+def tukey_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    return hypothesis.tukey(_grouped(spark, folder), "Cluster", _TUKEY)
 
 
 @query(
@@ -998,17 +1114,17 @@ def tukey(spark: SparkSession, folder: str) -> DataFrame:
         """, o AS (SELECT Cluster_Name, payment_type, count(*)::DOUBLE AS o FROM ord
         WHERE payment_type IS NOT NULL GROUP BY ALL), r AS (SELECT Cluster_Name, sum(o) AS r FROM o
         GROUP BY 1), c AS (SELECT payment_type, sum(o) AS c FROM o GROUP BY 1)
-        SELECT round_even(sum((coalesce(o.o, 0) - r.r * c.c / n) * (coalesce(o.o, 0) - r.r * c.c / n)
-        / (r.r * c.c / n)) * 1e6, 0) / 1e6 AS chi2, (count(DISTINCT r.Cluster_Name) - 1)
-        * (count(DISTINCT c.payment_type) - 1) AS df
+        SELECT round_even(x * 1e6, 0) / 1e6 AS chi2, k AS df, """ + _CHI2_TAIL + """ AS p_value FROM (
+        SELECT sum((coalesce(o.o, 0) - r.r * c.c / n) * (coalesce(o.o, 0) - r.r * c.c / n)
+        / (r.r * c.c / n)) AS x, (count(DISTINCT r.Cluster_Name) - 1)
+        * (count(DISTINCT c.payment_type) - 1) AS k
         FROM r CROSS JOIN c CROSS JOIN (SELECT sum(o) AS n FROM o)
-        LEFT JOIN o ON o.Cluster_Name = r.Cluster_Name AND o.payment_type = c.payment_type"""
+        LEFT JOIN o ON o.Cluster_Name = r.Cluster_Name AND o.payment_type = c.payment_type)"""
     )
 )
 def chi_square(spark: SparkSession, folder: str) -> DataFrame:
     _, orders = marts(spark, folder, payments=True)
-    found = hypothesis.chi_square(orders, "Cluster_Name", "payment_type")
-    return tidy(found.drop("p_value"), 6)
+    return _p_to_six(hypothesis.chi_square(orders, "Cluster_Name", "payment_type"), 6)
 
 
 @query(
@@ -1024,20 +1140,7 @@ def review_five_numbers(spark: SparkSession, folder: str) -> DataFrame:
     return distributions.five_numbers(orders, "review_score", "Cluster_Name")
 
 
-@query(
-    labelled(
-        """SELECT 'review_score' AS metric, round_even((12.0 / (n * (n + 1.0)) * s - 3 * (n + 1))
-        / (1 - t / (n * n * n - n)) * 1e6, 0) / 1e6 AS h_stat, k - 1 AS df FROM (
-        SELECT sum(rs * rs / g) AS s, sum(g)::DOUBLE AS n, count(*) AS k, any_value(t) AS t FROM (
-        SELECT Cluster_Name, sum(rk) AS rs, count(*)::DOUBLE AS g, any_value(t) AS t FROM (
-        SELECT Cluster_Name, rank() OVER (ORDER BY review_score) + (count(*) OVER
-        (PARTITION BY review_score) - 1) / 2.0::DOUBLE AS rk, (SELECT sum(x * x * x - x) FROM
-        (SELECT count(*)::DOUBLE AS x FROM ord WHERE review_score IS NOT NULL
-        GROUP BY review_score)) AS t FROM ord WHERE review_score IS NOT NULL)
-        GROUP BY Cluster_Name))"""
-    )
-)
+@query(_kruskal_sql(["review_score"], "ord", "Cluster_Name"))
 def kruskal_reviews(spark: SparkSession, folder: str) -> DataFrame:
     _, orders = marts(spark, folder)
-    found = hypothesis.kruskal_statistic(orders, "Cluster_Name", ["review_score"])
-    return tidy(found, 6)
+    return _p_to_six(hypothesis.kruskal(orders, "Cluster_Name", ["review_score"]), 4)

@@ -247,11 +247,12 @@ def review_item_features(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     _review_sql(
         "SELECT order_id, CAST(payment_value AS DOUBLE) AS payment_value, installments, "
-        "CAST(n_payment_methods AS BIGINT) AS n_payment_methods FROM pays_f"
+        "CAST(n_payment_methods AS BIGINT) AS n_payment_methods, payment_type "
+        "FROM pays_f LEFT JOIN types USING (order_id)"
     )
 )
 def payment_features(spark: SparkSession, folder: str) -> DataFrame:
-    return tidy(features_.payment_features(tables(spark, folder).payments).drop("payment_type"))
+    return tidy(features_.payment_features(tables(spark, folder).payments))
 
 
 @query(
@@ -303,7 +304,7 @@ def _repeat_sql(mode: str) -> str:
 
 
 def _order_mart(spark: SparkSession, folder: str) -> DataFrame:
-    return settle(base(spark, folder).select("customer_unique_id", *_ORDER_MART))
+    return settle(base(spark, folder, category=True).select("customer_unique_id", *_ORDER_MART))
 
 
 @query(_repeat_sql("column"))
@@ -335,11 +336,8 @@ def first_order_per_customer(spark: SparkSession, folder: str) -> DataFrame:
     FROM m_customers c LEFT JOIN n USING (customer_unique_id)"""
 )
 def target_reindex(spark: SparkSession, folder: str) -> DataFrame:
-    counts = base(spark, folder).groupBy("customer_unique_id").agg(F.count(F.lit(1)).alias("n"))
-    people = tables(spark, folder).customers.select("customer_unique_id")
-    repeat = (F.coalesce("n", F.lit(0)) >= 2).cast("int").alias("repeat")
-    return tidy(people.join(counts, "customer_unique_id", "left").select(
-        "customer_unique_id", repeat))
+    people = tables(spark, folder).customers
+    return tidy(features_.repeat_targets(people, base(spark, folder)))
 
 
 # ---------------------------------------------------------------- splits and metrics

@@ -38,8 +38,9 @@ def tables(spark: SparkSession, folder: str, with_delivery: bool = False) -> Tab
     return found.with_(reviews=latest_review(found.reviews))
 
 
-def base(spark: SparkSession, folder: str) -> DataFrame:
-    return orders_base(tables(spark, folder), STATUS)
+def base(spark: SparkSession, folder: str, category: bool = False) -> DataFrame:
+    """The order base; its category is looked up only for those who read it."""
+    return orders_base(tables(spark, folder), STATUS, with_category=category)
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,10 +61,13 @@ def rule_cluster() -> Column:
     )
 
 
-def marts(spark: SparkSession, folder: str, payments: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The customer mart with named groups and lifetime value, and the order mart."""
+def marts(
+    spark: SparkSession, folder: str, payments: bool = False, category: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The customer mart with named groups and lifetime value, and the order mart, whose category is
+    looked up only for those who read it."""
     found = tables(spark, folder)
-    orders = settle(orders_base(found, STATUS))
+    orders = settle(orders_base(found, STATUS, with_category=category))
     people = settle(
         lifetime_value(rfm(orders, SNAPSHOT).withColumn("Cluster", rule_cluster()))
     )

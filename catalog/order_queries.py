@@ -90,7 +90,9 @@ def validate_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     sql_model(
-        "SELECT 'reviews' AS tabela, coluna, nulos, linhas FROM (SELECT count(*) AS linhas, "
+        "SELECT 'reviews' AS tabela, coluna, nulos, linhas, CASE coluna WHEN 'review_score' THEN 'int' "
+        "WHEN 'order_id' THEN 'bigint' WHEN 'review_id' THEN 'string' ELSE 'timestamp_ntz' END AS tipo "
+        "FROM (SELECT count(*) AS linhas, "
         "count(*) - count(review_id) AS review_id, count(*) - count(order_id) AS order_id, "
         "count(*) - count(review_score) AS review_score, "
         "count(*) - count(review_creation_date) AS review_creation_date FROM m_all_reviews) "
@@ -98,8 +100,7 @@ def validate_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     )
 )
 def quality_report(spark: SparkSession, folder: str) -> DataFrame:
-    report = quality.quality_report(model_tables(spark, folder).reviews, "reviews")
-    return report.drop("tipo")
+    return quality.quality_report(model_tables(spark, folder).reviews, "reviews")
 
 
 @query(sql_rfm("SELECT count(*) AS n, count(Recency) AS n_recency FROM rfm"))
@@ -153,7 +154,7 @@ def payment_fallback(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(sql_base("SELECT product_category, count(*) AS n FROM ob GROUP BY product_category"))
 def literal_fill(spark: SparkSession, folder: str) -> DataFrame:
-    return base(spark, folder).groupBy("product_category").agg(F.count(F.lit(1)).alias("n"))
+    return base(spark, folder, category=True).groupBy("product_category").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -212,15 +213,48 @@ def date_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "SELECT doc_id, try_cast(left(text, 10) AS TIMESTAMP) IS NOT NULL AS is_date, "
-    "try_cast(regexp_extract(text, '[0-9]+') AS DOUBLE) AS first_number FROM documents"
+    """SELECT doc_id, count(n) AS n_numbers, CAST(coalesce(sum(n), 0) AS DOUBLE) AS total FROM (
+    SELECT doc_id, CASE WHEN regexp_full_match(w, '[0-9]{1,9}') THEN try_cast(w AS DOUBLE) END AS n FROM (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS w FROM documents)) GROUP BY doc_id"""
 )
 def coerce_text(spark: SparkSession, folder: str) -> DataFrame:
-    digits = F.regexp_extract("text", "([0-9]+)", 1)
+    """Numbers among the words of every whole text; a word that is none becomes null."""
+    words = F.transform(
+        F.split(F.coalesce("text", F.lit("")), " "),
+        lambda w: F.when(w.rlike("^[0-9]{1,9}$"), fn.to_number(w)),
+    )
+    numbers = F.filter(words, lambda n: n.isNotNull())
     return read(spark, folder, "documents").select(
         "doc_id",
-        fn.to_moment(F.substring("text", 1, 10)).isNotNull().alias("is_date"),
-        fn.to_number(digits).alias("first_number"),
+        F.size(numbers).cast("bigint").alias("n_numbers"),
+        F.aggregate(numbers, F.lit(0.0), lambda total, n: total + n).alias("total"),
+    )
+
+
+_DATE_TEXT = """CASE o_orderkey % 6 WHEN 0 THEN o_orderpriority WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 25:61:00'
+    WHEN 2 THEN strftime(o_orderdate, '%Y') || '-02-30' WHEN 3 THEN NULL
+    WHEN 4 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') ELSE strftime(o_orderdate, '%Y-%m-%d') END"""
+
+
+@query(
+    f"""SELECT o_orderkey AS order_id, strftime(try_cast(t AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS moment
+    FROM (SELECT o_orderkey, {_DATE_TEXT} AS t FROM orders)"""
+)
+def parse_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Dates written as text, a third of them no dates: those become null."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    kind = F.pmod(F.col("o_orderkey"), F.lit(6))
+    text = (
+        F.when(kind == 0, F.col("o_orderpriority"))
+        .when(kind == 1, F.concat(day, F.lit(" 25:61:00")))
+        .when(kind == 2, F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("-02-30")))
+        .when(kind == 4, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+        .when(kind == 5, day)
+    )
+    orders = read(spark, folder, "orders")
+    return orders.select(
+        F.col("o_orderkey").alias("order_id"),
+        F.date_format(fn.to_moment(text), "yyyy-MM-dd HH:mm:ss").alias("moment"),
     )
 
 
@@ -428,7 +462,7 @@ def dominant_payment_sum(spark: SparkSession, folder: str) -> DataFrame:
     )
 )
 def orders_base(spark: SparkSession, folder: str) -> DataFrame:
-    return tidy(base(spark, folder))
+    return tidy(base(spark, folder, category=True))
 
 
 # ---------------------------------------------------------------- customer grain

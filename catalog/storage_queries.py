@@ -74,7 +74,7 @@ def export_customers(spark: SparkSession, folder: str) -> DataFrame:
     product_category FROM ord"""
 )
 def export_orders(spark: SparkSession, folder: str) -> DataFrame:
-    _, orders = marts(spark, folder, payments=True)
+    _, orders = marts(spark, folder, payments=True, category=True)
     mart = sinks.order_export(orders)
     return tidy(
         mart.select(
@@ -108,7 +108,7 @@ def locale_csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 def parquet_mart(spark: SparkSession, folder: str) -> DataFrame:
     """Both marts stored as Parquet, registered by name and queried with SQL."""
     path = scratch_folder(spark, "marts")
-    people, orders = marts(spark, folder)
+    people, orders = marts(spark, folder, category=True)
     sinks.write_parquet_mart(people, path, "fato_rfm_clientes")
     sinks.write_parquet_mart(orders.drop("Cluster", "Cluster_Name"), path, "fato_pedidos")
     register_marts(spark, path, ["fato_rfm_clientes", "fato_pedidos"])

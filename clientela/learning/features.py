@@ -15,7 +15,12 @@ from clientela.functions.scalars import (
     whole_days,
 )
 from clientela.operators.ordering import quantiles
-from clientela.operators.orders import largest_payment_type, translated_category
+from clientela.operators.orders import (
+    UNTRANSLATED,
+    dearest_product,
+    largest_payment_type,
+    translated_names,
+)
 from clientela.operators.quality import first_review
 from clientela.session import settle
 from clientela.sources.tables import Tables
@@ -81,22 +86,19 @@ def delivery_time_features(orders: DataFrame, status: str = "delivered") -> Data
     ).withColumn("atrasou", (F.col("atraso_dias") > 0).cast("int"))
 
 
-def item_features(items: DataFrame) -> DataFrame:
-    """Value, freight, items, distinct sellers and products per order.
-
-    Two aggregates with one distinct count each, joined on the key they are partitioned by:
-    both counts in one aggregate would triple every item before the shuffle.
-    """
+def item_features(items: DataFrame, with_product: bool = False) -> DataFrame:
+    """Value, freight, items, distinct sellers and products per order, in one pass over the items;
+    with the dearest item's product on request."""
     zero = F.lit(0).cast("decimal(18,2)")
-    known = items.where(F.col("order_id").isNotNull())
-    sums = known.groupBy("order_id").agg(
+    extra = [dearest_product().alias("product_id")] if with_product else []
+    return items.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(
         F.coalesce(F.sum(money("price")), zero).alias("price_total"),
         F.coalesce(F.sum(money("freight_value")), zero).alias("freight_total"),
         F.count("order_item_id").alias("n_items"),
         F.count_distinct("seller_id").alias("n_sellers"),
+        F.count_distinct("product_id").alias("n_products"),
+        *extra,
     )
-    products = known.groupBy("order_id").agg(F.count_distinct("product_id").alias("n_products"))
-    return sums.join(products, "order_id")
 
 
 def payment_features(payments: DataFrame) -> DataFrame:
@@ -113,15 +115,13 @@ def payment_features(payments: DataFrame) -> DataFrame:
 def review_features(tables: Tables, status: str = "delivered") -> DataFrame:
     """Order id, features known at delivery, and the target ``y``: a first review of 2 or less."""
     label = first_review(tables.reviews).select("order_id", "review_score")
+    items = item_features(tables.order_items, with_product=True)
     joined = (
         delivery_time_features(tables.orders, status)
-        .join(item_features(tables.order_items), "order_id")
+        .join(items, "order_id")
         .join(label, "order_id")
-        .join(
-            translated_category(tables.order_items, tables.products, tables.category_translation),
-            "order_id",
-            "left",
-        )
+        .join(translated_names(tables.products, tables.category_translation), "product_id", "left")
+        .withColumn("cat", F.coalesce("product_category_name_english", F.lit(UNTRANSLATED)))
         .join(payment_features(tables.payments), "order_id", "left")
         .join(tables.customers.select("customer_id", "customer_state"), "customer_id", "left")
     )
@@ -201,3 +201,13 @@ def repeat_features(orders: DataFrame, mode: str = "column") -> DataFrame:
         text_or_nan("product_category").alias("category"),
         (F.col("n_orders") >= 2).cast("int").alias("y"),
     )
+
+
+def repeat_targets(customers: DataFrame, orders: DataFrame) -> DataFrame:
+    """For every customer whether two or more orders are known; customers without any have 0."""
+    counts = orders.groupBy("customer_unique_id").agg(F.count(F.lit(1)).alias("n"))
+    people = customers.select("customer_unique_id")
+    repeat = (F.coalesce("n", F.lit(0)) >= 2).cast("int")
+    return people.join(counts, "customer_unique_id", "left").select(
+        "customer_unique_id", repeat.alias("repeat")
+    )

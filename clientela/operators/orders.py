@@ -22,7 +22,8 @@ def _zero_if_empty(total: Column) -> Column:
     return F.coalesce(total, F.lit(0).cast("decimal(18,2)"))
 
 
-def _dearest_product() -> Column:
+def dearest_product() -> Column:
+    """Aggregate: product of the dearest item."""
     price = F.col("price")
     order = F.struct(price.isNull(), -money(price), F.col("order_item_id"), F.col("product_id"))
     return F.min_by(F.col("product_id"), order)
@@ -30,7 +31,7 @@ def _dearest_product() -> Column:
 
 def order_item_totals(items: DataFrame, with_product: bool = False) -> DataFrame:
     """Item value and item count per order; with the dearest item's product on request."""
-    extra = [_dearest_product().alias("product_id")] if with_product else []
+    extra = [dearest_product().alias("product_id")] if with_product else []
     return items.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(
         _zero_if_empty(F.sum(money("price"))).alias("total_items_value"),
         F.count("order_item_id").alias("n_items"),
@@ -62,7 +63,7 @@ def dearest_item_product(items: DataFrame) -> DataFrame:
     return (
         items.where(F.col("order_id").isNotNull())
         .groupBy("order_id")
-        .agg(_dearest_product().alias("product_id"))
+        .agg(dearest_product().alias("product_id"))
     )
 
 
@@ -81,16 +82,20 @@ def _with_category(per_order: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
+def translated_names(products: DataFrame, translation: DataFrame) -> DataFrame:
+    """The translated category of every product that has one."""
+    return products.select("product_id", "product_category_name").join(
+        translation, "product_category_name", "left"
+    ).drop("product_category_name")
+
+
 def translated_category(
     items: DataFrame, products: DataFrame, translation: DataFrame
 ) -> DataFrame:
     """Translated category of the dearest item per order."""
-    names = products.select("product_id", "product_category_name").join(
-        translation, "product_category_name", "left"
-    )
     return (
         dearest_item_product(items)
-        .join(names, "product_id", "left")
+        .join(translated_names(products, translation), "product_id", "left")
         .select(
             "order_id",
             F.coalesce("product_category_name_english", F.lit(UNTRANSLATED)).alias("cat"),

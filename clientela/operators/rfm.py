@@ -106,6 +106,33 @@ def weighted_retention(cohort: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def dense_retention(cohort: DataFrame) -> DataFrame:
+    """The retention grid with a row for every month that a cohort could have been seen.
+
+    A cohort from which nobody returned in a month has 0 there, and so counts in
+    :func:`weighted_retention`. The last month is the last one in which anybody bought.
+    """
+    month = F.to_date(F.concat("Safra", F.lit("-01")))
+    seen = F.add_months(month, F.col("MesIndice").cast("int"))
+    last = cohort.agg(F.max(seen).alias("last"), F.lit(1).alias("one"))
+    sizes = cohort.where(F.col("MesIndice") == 0).select(
+        "Safra", F.col("Clientes_Retidos").alias("Tamanho_Safra"), F.lit(1).alias("one")
+    )
+    months = F.months_between("last", month).cast("int")
+    grid = sizes.join(F.broadcast(last), "one").select(  # one row per cohort
+        "Safra", "Tamanho_Safra", F.explode(F.sequence(F.lit(0), months)).alias("MesIndice")
+    )
+    found = cohort.select("Safra", F.col("MesIndice").cast("int").alias("MesIndice"), "Clientes_Retidos")
+    kept = F.coalesce("Clientes_Retidos", F.lit(0))
+    return grid.join(found, ["Safra", "MesIndice"], "left").select(
+        "Safra",
+        "MesIndice",
+        kept.alias("Clientes_Retidos"),
+        "Tamanho_Safra",
+        half_even(kept / F.col("Tamanho_Safra"), 4).alias("Pct_Retencao"),
+    )
+
+
 def retention_heatmap(cohort: DataFrame, from_half_year: str = "2017-S1", months: int = 6) -> DataFrame:
     """Weighted retention per half-year and month index 1 to ``months``."""
     cells = cohort.where(

@@ -275,3 +275,20 @@ def test_top_shares(spark):
     assert (cut["n_clientes_no_top"], cut["receita_no_top"]) == (2, 70.0)
     assert cut["pct_receita_concentrada"] == 0.7
     assert c.top_share_with_ties(df, "x", 0.4).first()["receita_top"] == 90.0
+
+
+def test_dense_retention_has_empty_months(spark):
+    from clientela.operators import rfm
+
+    cohort = spark.createDataFrame(
+        [("2018-01", 0, 10, 10), ("2018-01", 2, 3, 10), ("2018-03", 0, 5, 5), ("2018-02", 0, 4, 4)],
+        "Safra string, MesIndice int, Clientes_Retidos bigint, Tamanho_Safra bigint",
+    )
+    dense = rfm.dense_retention(cohort)
+    cells = {(r["Safra"], r["MesIndice"]): r["Clientes_Retidos"] for r in dense.collect()}
+    assert cells == {
+        ("2018-01", 0): 10, ("2018-01", 1): 0, ("2018-01", 2): 3,
+        ("2018-02", 0): 4, ("2018-02", 1): 0, ("2018-03", 0): 5,
+    }
+    by = {r["MesIndice"]: r["Retencao"] for r in rfm.weighted_retention(dense, "MesIndice").collect()}
+    assert by == {0: 1.0, 1: 0.0, 2: 0.3}
