@@ -527,7 +527,7 @@ def forest_draws(spark: SparkSession, folder: str) -> DataFrame:
     """What the first trees draw of either class, and the weights that balance it."""
     rows = settle(_review_features(spark, folder).select("order_id", "y"))
     pairs = forest.drawn(rows, "order_id", range(_DRAWS), models.SEED)
-    return tidy(forest.class_weights(pairs))
+    return tidy(forest.class_weights(pairs).drop("rows"))
 
 
 @query()
