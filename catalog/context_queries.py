@@ -73,10 +73,10 @@ def measures_by_year_of_cluster(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     labelled(
-        f"""SELECT *, {_DERIVED} FROM (SELECT CASE Cluster_Name WHEN 'Novos / Ocasionais' THEN 3
-        WHEN 'Em Risco / Hibernando' THEN 2 ELSE 1 END AS Prioridade, {_BASE_MEASURES} FROM cust
-        GROUP BY 1) LEFT JOIN (SELECT CASE Cluster_Name WHEN 'Novos / Ocasionais' THEN 3
-        WHEN 'Em Risco / Hibernando' THEN 2 ELSE 1 END AS Prioridade, {_ORDER_MEASURES} FROM ord
+        f"""SELECT *, {_DERIVED} FROM (SELECT CAST(CASE Cluster_Name WHEN 'Novos / Ocasionais' THEN 3
+        WHEN 'Em Risco / Hibernando' THEN 2 ELSE 1 END AS BIGINT) AS Prioridade, {_BASE_MEASURES} FROM cust
+        GROUP BY 1) LEFT JOIN (SELECT CAST(CASE Cluster_Name WHEN 'Novos / Ocasionais' THEN 3
+        WHEN 'Em Risco / Hibernando' THEN 2 ELSE 1 END AS BIGINT) AS Prioridade, {_ORDER_MEASURES} FROM ord
         WHERE {_IN_YEAR} GROUP BY 1) USING (Prioridade)"""
     )
 )

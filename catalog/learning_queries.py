@@ -17,6 +17,7 @@ from clientela.learning import metrics, models, oversampling, splits, training
 from clientela.operators import clusters, kmeans
 from clientela.operators.neighbours import nearest
 from clientela.operators.segments import assign_cluster_names as name_them
+from clientela.plans import models as plans
 from clientela.session import scratch_folder, settle
 from clientela.sources.star_schema import SNAPSHOT, STATUS, model_tables
 
@@ -475,19 +476,52 @@ def _candidate_scores(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tidy(models.scored(model, test).select("order_id", "y", "score"))
 
 
-@query()
-def preprocess(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = _split(spark, folder)
-    preparation = models.fit_preprocessing(train, REVIEW)
-    ready = preparation.transform(test)
-    return ready.select("order_id", F.size(vector_to_array("features")).alias("width"))
-
-
 _TEST_ROWS = """, parts AS (SELECT order_id, y, row_number() OVER (PARTITION BY y
     ORDER BY md5('42:' || order_id), order_id) <= floor(count(*) OVER (PARTITION BY y)
     * 0.2::DOUBLE + 0.5) AS is_test FROM review_f)"""
 
 
+def _scaled_sql() -> str:
+    fill = ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in features_.REVIEW_NUMERIC)
+    filled = ", ".join(f"coalesce(t.{c}, m.{c}) AS {c}" for c in features_.REVIEW_NUMERIC)
+    moments = ", ".join(
+        f"avg({c}) AS {c}_mean, stddev_pop({c}) AS {c}_dev" for c in features_.REVIEW_NUMERIC
+    )
+    scaled = ", ".join(
+        half_even(f"(coalesce(t.{c}, m.{c}) - {c}_mean) / CASE WHEN {c}_dev > 0 THEN {c}_dev ELSE 1 END", 6) + f" AS {c}_scaled"
+        for c in features_.REVIEW_NUMERIC
+    )
+    kept = ", ".join(
+        f"CASE WHEN t.{c} IN (SELECT {c} FROM train GROUP BY 1 HAVING count(*) >= 0.01 * "
+        f"(SELECT count(*) FROM train)) THEN t.{c} ELSE '{models.RARE}' END AS {c}_kept"
+        for c in features_.REVIEW_CATEGORIES
+    )
+    return _review_sql(
+        _TEST_ROWS + f""", typed AS (SELECT order_id, {_doubles(features_.REVIEW_NUMERIC)}, cat, customer_state,
+          payment_type, is_test FROM review_f JOIN (SELECT order_id, is_test FROM parts) USING (order_id)),
+        train AS (SELECT * FROM typed WHERE NOT is_test),
+        med AS (SELECT {fill} FROM train),
+        filled AS (SELECT {filled} FROM train t, med m),
+        mom AS (SELECT {moments} FROM filled)
+        SELECT t.order_id, {scaled}, {kept} FROM typed t, med m, mom WHERE is_test"""
+    )
+
+
+@query(_scaled_sql())
+def preprocess(spark: SparkSession, folder: str) -> DataFrame:
+    """Held-out rows with the medians, moments and levels of the training rows."""
+    train, test = _split(spark, folder)
+    ready = models.fit_preprocessing(train, REVIEW).transform(test)
+    return tidy(
+        ready.select(
+            "order_id",
+            *[f"{c}_scaled" for c in REVIEW.numeric],
+            *[f"{c}_kept" for c in REVIEW.categories],
+        ),
+        6,
+    )
+
+
 @query(
     _review_sql(
         _TEST_ROWS + """ SELECT order_id, y, (SELECT CASE WHEN sum(y) * 2 > count(*) THEN 1.0::DOUBLE
@@ -671,34 +705,118 @@ def minority_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+FOLDS = 5
+
+
+def _folded(spark: SparkSession, folder: str) -> DataFrame:
+    train, _ = _split(spark, folder)
+    return settle(splits.stratified_folds(train, "order_id", "y", folds=FOLDS))
+
+
 @query()
 def cross_validate(spark: SparkSession, folder: str) -> DataFrame:
-    train, _ = _split(spark, folder)
-    folded = settle(splits.stratified_folds(train, "order_id", "y", folds=3))
-    return training.cross_validate(folded, _family(), REVIEW)
+    return training.cross_validate(_folded(spark, folder), _family(), REVIEW)
 
 
 @query()
 def select_best(spark: SparkSession, folder: str) -> DataFrame:
-    train, _ = _split(spark, folder)
-    folded = settle(splits.stratified_folds(train, "order_id", "y", folds=2))
-    results = training.cross_validate(folded, _family("baseline") + _family("logistic"), REVIEW)
-    return spark.createDataFrame([(training.select_best(results),)], "model string")
+    results = training.cross_validate(_folded(spark, folder), _family(), REVIEW)
+    best = training.select_best(results, [c.name for c in _family()])
+    return spark.createDataFrame([(best,)], "model string")
+
+
+_FIXED_MODELS = ("a", "b")
+
+
+@query(
+    _review_sql(
+        _PART.format(
+            name="fold",
+            cases=" ".join(f"WHEN r <= floor(n * {i / 5}::DOUBLE + 0.5) THEN {i - 1}" for i in range(1, 5))
+            + " ELSE 4",
+        ).join([", folds AS (", ")"]) + """, sc AS (
+        SELECT m, fold, part, y, ((order_id * CASE m WHEN 'a' THEN 7919 ELSE 104729 END + fold) % 1000)
+          / 1000.0::DOUBLE AS score
+        FROM (SELECT f.order_id, f.fold AS own, r.y FROM folds f JOIN review_f r USING (order_id)),
+          (SELECT unnest(['a', 'b']) AS m), (SELECT unnest(range(5)) AS fold),
+          LATERAL (SELECT CASE WHEN own = fold THEN 'test' ELSE 'train' END AS part)),
+        c AS (SELECT m, fold, part, count(*) FILTER (y = 1 AND score >= 0.5) AS tp,
+          count(*) FILTER (y = 0 AND score >= 0.5) AS fp, count(*) FILTER (y = 1 AND score < 0.5) AS fn,
+          count(*) AS n FROM sc GROUP BY ALL),
+        f AS (SELECT m, fold, part, 2 * tp / (2 * tp + fp + fn)::DOUBLE AS f1, tp / (tp + fp)::DOUBLE AS pr,
+          tp / (tp + fn)::DOUBLE AS rc, (n - fp - fn) / n::DOUBLE AS acc FROM c)
+        SELECT m AS model, """ + ", ".join(
+            f"{half_even(x, 9)} AS {n}" for n, x in {
+                "f1_cv": "avg(f1) FILTER (part = 'test')",
+                "f1_cv_std": "stddev_pop(f1) FILTER (part = 'test')",
+                "f1_train": "avg(f1) FILTER (part = 'train')",
+                "overfit_gap": "avg(f1) FILTER (part = 'train') - avg(f1) FILTER (part = 'test')",
+                "precision_cv": "avg(pr) FILTER (part = 'test')",
+                "recall_cv": "avg(rc) FILTER (part = 'test')",
+                "accuracy_cv": "avg(acc) FILTER (part = 'test')",
+            }.items()
+        ) + " FROM f GROUP BY m"
+    )
+)
+def fold_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Means over folds and the gap to training, for two fixed scores per fold."""
+    rows = settle(_review_features(spark, folder).select("order_id", "y"))
+    folded = settle(splits.stratified_folds(rows, "order_id", "y", folds=FOLDS))
+    factor = F.when(F.col("model") == "a", 7919).otherwise(104729)
+    scores = (
+        folded.withColumnRenamed("fold", "own")
+        .withColumn("model", F.explode(F.array(*[F.lit(m) for m in _FIXED_MODELS])))
+        .withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))))
+        .select(
+            "model", "fold", "y",
+            F.when(F.col("own") == F.col("fold"), "test").otherwise("train").alias("part"),
+            (F.pmod(F.col("order_id") * factor + F.col("fold"), F.lit(1000)) / 1000.0).alias("score"),
+        )
+    )
+    found = training.summarise_folds(scores)
+    return tidy(
+        found.select("model", "f1_cv", "f1_cv_std", "f1_train", "overfit_gap", "precision_cv",
+                     "recall_cv", "accuracy_cv"),
+        9,
+    )
 
 
 @query()
 def tune_threshold(spark: SparkSession, folder: str) -> DataFrame:
-    train, _ = _split(spark, folder)
-    folded = settle(splits.stratified_folds(train, "order_id", "y", folds=3))
-    threshold = training.tune_threshold(folded, _family("logistic")[0], REVIEW)
+    threshold = training.tune_threshold(_folded(spark, folder), _family("logistic")[0], REVIEW)
     return spark.createDataFrame([(threshold,)], "threshold double")
 
 
 @query()
 def evaluate_holdout(spark: SparkSession, folder: str) -> DataFrame:
+    """Held-out rows at 0.5 and at the threshold tuned on the training rows."""
     train, test = _split(spark, folder)
+    train = settle(splits.stratified_folds(train, "order_id", "y", folds=FOLDS))
+    threshold = training.tune_threshold(train, _family("logistic")[0], REVIEW)
     model = models.fit(_family("logistic")[0], train, REVIEW)
-    return training.evaluate_holdout(model, train, test, 0.5)
+    return training.evaluate_holdout(model, train, test, threshold)
+
+
+_REPEATS = 5
+
+
+@query(
+    _review_sql(
+        _TEST_ROWS + f""", t AS (SELECT order_id FROM parts WHERE is_test),
+        base AS (SELECT order_id, row_number() OVER (ORDER BY md5('42:' || order_id), order_id) AS r FROM t),
+        other AS (SELECT order_id AS donor, f, k, row_number() OVER (PARTITION BY f, k
+            ORDER BY md5('42:' || f || ':' || k || ':' || order_id), order_id) AS r
+          FROM t, (SELECT unnest({[*features_.REVIEW_NUMERIC, *features_.REVIEW_CATEGORIES]!r}) AS f),
+            (SELECT unnest(range(1, {_REPEATS + 1})) AS k))
+        SELECT f AS feature, CAST(k AS BIGINT) AS repeat, base.order_id AS id, donor FROM other JOIN base USING (r)"""
+    )
+)
+def permutation_donors(spark: SparkSession, folder: str) -> DataFrame:
+    """Which row's value each row gets, for every feature and repeat."""
+    _, test = _split(spark, folder)
+    names = [*REVIEW.numeric, *REVIEW.categories]
+    ids = settle(test.select("order_id"))
+    return tidy(training.permutation_donors(ids, "order_id", names, _REPEATS, models.SEED))
 
 
 @query()
@@ -710,6 +828,18 @@ def permutation_importance(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def score_batch(spark: SparkSession, folder: str) -> DataFrame:
-    rows = settle(_review_features(spark, folder))
-    model = models.fit(_family("logistic")[0], rows, REVIEW)
-    return training.score_batch(model, rows, 0.5)
+    """The whole protocol of the review model: train, store, load, score, sum by state."""
+    path = scratch_folder(spark, "review-model")
+    found = tables(spark, folder, with_delivery=True).with_(reviews=_all_reviews(spark, folder))
+    plans.train_review_model(found, path, STATUS)
+    return plans.score_review_risk(found, path, STATUS)
+
+
+@query()
+def repeat_protocol(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole protocol of the repeat model, and its stored report in a few numbers."""
+    path = scratch_folder(spark, "repeat-model")
+    metrics = plans.train_repeat_model(_order_mart(spark, folder), path)
+    _, stored = training.load_artifacts(spark, path)
+    rows = [(stored["best_model"], stored["threshold"], stored["test"]["roc_auc"], metrics["n_samples"])]
+    return spark.createDataFrame(rows, "model string, threshold double, roc_auc double, n bigint")

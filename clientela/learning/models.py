@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import (
-    Imputer,
-    OneHotEncoder,
-    SQLTransformer,
-    StandardScaler,
-    StringIndexer,
-    VectorAssembler,
-)
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +20,8 @@ from clientela.learning.boosting import Settings as BoostingSettings
 from clientela.learning.forest import BalancedForest
 from clientela.learning.forest import Settings as ForestSettings
 from clientela.learning.oversampling import oversample
-from clientela.operators.ordering import hash_order
+from clientela.operators.distributions import long_form
+from clientela.operators.ordering import hash_order, running_totals
 
 SEED = 42
 MIN_SHARE = 0.01  # fixed value: rarer category levels are merged
@@ -54,44 +50,137 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _merge_rare(train: DataFrame, categories: Sequence[str]) -> SQLTransformer:
-    """Keep the levels with at least 1 % of the rows; at most 100 per column can have that."""
-    names = list(categories)
-    counts = (
-        train.select(names)
-        .unpivot([], names, "name", "level")
-        .groupBy("name", "level")
-        .agg(F.count(F.lit(1)).alias("n"))
+@dataclass(frozen=True)
+class _Moments:
+    """Size, mean and sum of squared deviations of some values."""
+
+    n: float = 0.0
+    mean: float = 0.0
+    m2: float = 0.0
+
+    def with_(self, other: _Moments) -> _Moments:
+        n = self.n + other.n
+        if not n:
+            return self
+        gap = other.mean - self.mean
+        return _Moments(
+            n, self.mean + gap * other.n / n, self.m2 + other.m2 + gap * gap * self.n * other.n / n
+        )
+
+
+def _medians(long: DataFrame, fold: str, keys: Sequence) -> dict[tuple, float | None]:
+    """Exact medians by metric and key: over all rows, or over those of all folds but one.
+
+    Values are counted once, by fold; a running count per key, all in one pass, finds the middle.
+    """
+    in_fold = {k: F.count_if(F.col(fold) == k) for k in keys if k is not None}
+    counts = long.groupBy("metric", "value").agg(
+        F.count(F.lit(1)).alias("all"), *[c.alias(f"in{k}") for k, c in in_fold.items()]
+    )
+    sizes = {
+        f"upto{i}": F.col("all") if k is None else F.col("all") - F.col(f"in{k}")
+        for i, k in enumerate(keys)
+    }
+    ranked = running_totals(counts, [F.col("value")], sizes, ["metric"])
+    middles = []
+    for i in range(len(keys)):
+        place = (F.col(f"upto{i}_total") - 1) / 2
+        for side, at in (("low", F.floor(place)), ("high", F.ceil(place))):
+            middles.append(F.min(F.when(F.col(f"upto{i}") > at, F.col("value"))).alias(f"{side}{i}"))
+    found = {}
+    for r in ranked.groupBy("metric").agg(*middles).collect():  # a row for each column
+        for i, k in enumerate(keys):
+            low, high = r[f"low{i}"], r[f"high{i}"]
+            found[r["metric"], k] = None if low is None else (low + high) / 2
+    return found
+
+
+def _levels(df: DataFrame, categories: Sequence[str], fold: str, keys: Sequence) -> dict[tuple, list[str]]:
+    """Levels with at least 1 % of the rows, by column and key: at most 100 each."""
+    if not categories:
+        return {}
+    sizes = {r[fold]: r["n"] for r in df.groupBy(fold).agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = {k: sum(n for f, n in sizes.items() if k is None or f != k) for k in keys}
+    long = df.select(fold, *categories).unpivot([fold], list(categories), "name", "level")
+    counts = long.where(F.col("level").isNotNull()).groupBy("name", "level").agg(
+        F.count(F.lit(1)).alias("all"),
+        *[F.count_if(F.col(fold) == k).alias(f"in{k}") for k in keys if k is not None],
     )
-    frequent = counts.where(F.col("n") >= MIN_SHARE * train.count()).collect()
-    columns = []
-    for c in names:
-        levels = sorted(r["level"] for r in frequent if r["name"] == c and r["level"] is not None)
-        listed = ", ".join(_quoted(v) for v in levels) or _quoted(RARE)
+    left = {k: F.col("all") if k is None else F.col("all") - F.col(f"in{k}") for k in keys}
+    frequent = {k: (n >= MIN_SHARE * rows[k]) & (n > 0) for k, n in left.items()}
+    found: dict[tuple, list[str]] = {(c, k): [] for c in categories for k in keys}
+    kept = counts.select("name", "level", *[c.alias(f"keep{i}") for i, c in enumerate(frequent.values())])
+    for r in kept.where(reduce(Column.__or__, [F.col(f"keep{i}") for i in range(len(keys))])).collect():
+        for i, k in enumerate(keys):
+            if r[f"keep{i}"]:
+                found[r["name"], k].append(r["level"])
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def _prepared(features: Features, numbers: dict[str, tuple], levels: dict[str, list[str]]) -> PipelineModel:
+    """Median-filled, scaled numbers and one-hot categories in one vector ``features``."""
+    columns, names = [], []
+    for c in features.numeric:
+        median, mean, deviation = numbers[c]
+        columns.append(f"(COALESCE(CAST(`{c}` AS DOUBLE), {median!r}D) - ({mean!r}D)) / {deviation!r}D AS `{c}_scaled`")
+        names.append(f"{c}_scaled")
+    for c in features.categories:
+        listed = ", ".join(_quoted(v) for v in levels[c]) or _quoted(RARE)
         columns.append(f"CASE WHEN `{c}` IN ({listed}) THEN `{c}` ELSE '{RARE}' END AS `{c}_kept`")
-    return SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")
+        for i, v in enumerate(levels[c]):
+            columns.append(f"CAST(`{c}` <=> {_quoted(v)} AS DOUBLE) AS `{c}_{i}`")
+            names.append(f"{c}_{i}")
+        columns.append(f"CAST(NOT COALESCE(`{c}` IN ({listed}), FALSE) AS DOUBLE) AS `{c}_rare`")
+        names.append(f"{c}_rare")
+    return PipelineModel(
+        stages=[
+            SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__"),
+            VectorAssembler(inputCols=names, outputCol="features"),
+        ]
+    )
+
+
+def fit_preparations(df: DataFrame, features: Features, fold: str) -> dict[int | None, PipelineModel]:
+    """For each fold the preprocessing of all other rows, and under ``None`` that of all rows.
+
+    Values, moments and levels are counted once, by fold; what a fold holds is left out of the
+    sums. Medians are exact, deviations those of the whole (not of a sample).
+    """
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+    keys = [None, *folds] if len(folds) > 1 else [None]
+    long = long_form(df, features.numeric, [fold])
+    known = long.where(F.col("value").isNotNull())
+    medians = _medians(known, fold, keys)
+    parts: dict[tuple, _Moments] = {}
+    blanks: dict[tuple, int] = {}
+    sums = long.groupBy("metric", fold).agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("v"),
+        F.count_if(F.col("value").isNull()).alias("blank"),
+    )
+    for r in sums.collect():  # a row for each column and fold
+        parts[r["metric"], r[fold]] = _Moments(r["n"], r["mean"] or 0.0, (r["v"] or 0.0) * r["n"])
+        blanks[r["metric"], r[fold]] = r["blank"]
+    levels = _levels(df, features.categories, fold, keys)
+    found = {}
+    for k in keys:
+        numbers = {}
+        for c in features.numeric:
+            others = [f for f in folds if f != k]
+            median = medians.get((c, k))
+            median = 0.0 if median is None else float(median)
+            filled = _Moments(float(sum(blanks.get((c, f), 0) for f in others)), median, 0.0)
+            whole = reduce(_Moments.with_, (parts.get((c, f), _Moments()) for f in others), filled)
+            deviation = math.sqrt(whole.m2 / whole.n) if whole.n else 0.0
+            # A column that doesn't vary, rounding apart, is not scaled.
+            varies = deviation > 1e-12 * max(1.0, abs(whole.mean))
+            numbers[c] = (median, float(whole.mean), deviation if varies else 1.0)
+        found[k] = _prepared(features, numbers, {c: levels[c, k] for c in features.categories})
+    return found
 
 
 def fit_preprocessing(train: DataFrame, features: Features) -> PipelineModel:
-    """Median-filled, scaled numbers and one-hot categories in one vector ``features``."""
-    numeric, categories = list(features.numeric), list(features.categories)
-    filled = [f"{c}_filled" for c in numeric]
-    kept = [f"{c}_kept" for c in categories]
-    indexed = [f"{c}_index" for c in categories]
-    hot = [f"{c}_hot" for c in categories]
-    stages: list = [
-        Imputer(strategy="median", inputCols=numeric, outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="numbers"),
-        StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True),
-    ]
-    if categories:
-        stages += [
-            _merge_rare(train, categories),
-            StringIndexer(inputCols=kept, outputCols=indexed, handleInvalid="keep"),
-            OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=False),
-        ]
-    stages.append(VectorAssembler(inputCols=["scaled", *hot], outputCol="features"))
-    return Pipeline(stages=stages).fit(train)
+    """The preprocessing of all rows."""
+    return fit_preparations(train.withColumn("_fold", F.lit(0)), features, "_fold")[None]
 
 
 def _class_sizes(train: DataFrame) -> dict[int, int]:

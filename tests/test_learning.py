@@ -226,7 +226,8 @@ def test_rare_and_unknown_levels(spark):
     )
     vectors = preparation.transform(probe).orderBy("id").select(vector_to_array("features")).collect()
     assert vectors[0][0] == vectors[1][0]
-    assert len(vectors[2][0]) == 2 + 4 and not np.isnan(vectors[2][0]).any()
+    # Two numbers, the levels a, b, and one place for all others.
+    assert len(vectors[2][0]) == 2 + 3 and not np.isnan(vectors[2][0]).any()
 
 
 def test_balanced_weights(spark):
@@ -294,3 +295,51 @@ def test_baseline_scores_are_constant(spark):
     df = labelled(spark)
     scores = models.scored(models.fit(FAMILY[0], df, FEATURES), df)
     assert [r[0] for r in scores.select("score").distinct().collect()] == [0.0]
+
+
+def test_preparations_of_folds_leave_the_fold_out(spark):
+    rng = np.random.default_rng(2)
+    rows = [
+        (i, None if i % 11 == 0 else float(rng.integers(0, 30)), float(rng.normal()) * (1 + i % 3),
+         ["a", "b", "c", None][int(rng.integers(0, 4))] if i % 50 else f"only{i}", i % 2, i % 3)
+        for i in range(240)
+    ]
+    df = spark.createDataFrame(rows, "id int, x1 double, x2 double, g string, y int, fold int")
+    found = models.fit_preparations(df, FEATURES, "fold")
+    assert set(found) == {None, 0, 1, 2}
+    for held_out, preparation in found.items():
+        others = df if held_out is None else df.where(F.col("fold") != held_out)
+        alone = models.fit_preprocessing(others, FEATURES)
+        a, b = (
+            np.array([r[0] for r in p.transform(df).orderBy("id").select(vector_to_array("features")).collect()])
+            for p in (preparation, alone)
+        )
+        assert a.shape == b.shape and np.abs(a - b).max() < 1e-9
+        local = others.toPandas()
+        filled = local["x1"].fillna(local["x1"].median())
+        want = (df.toPandas().sort_values("id")["x1"].fillna(local["x1"].median()) - filled.mean()) / filled.std(ddof=0)
+        assert np.abs(a[:, 0] - want.to_numpy()).max() < 1e-9
+
+
+def test_threshold_and_metrics_come_from_the_same_models(spark):
+    df = splits.stratified_folds(labelled(spark), "id", "y", folds=3).cache()
+    family = [c for c in FAMILY if c.name in ("baseline", "logistic")]
+    scores = training.fold_scores(df, family, FEATURES)
+    assert scores.count() == 2 * 3 * 240
+    held_out = scores.where("part = 'test' AND model = 'logistic'")
+    assert held_out.select("id").distinct().count() == 240 == held_out.count()
+    assert training.threshold_of(held_out) == training.tune_threshold(df, family[1], FEATURES)
+    table = training.cross_validate(df, family, FEATURES).collect()
+    assert [r["model"] for r in table] == ["baseline", "logistic"]
+    assert table[1]["f1_cv"] > 0.6 and table[0]["f1_cv"] == 0
+
+
+def test_donors_are_permutations(spark):
+    ids = spark.range(50).select(F.col("id"))
+    rows = training.permutation_donors(ids, "id", ["a", "b"], 3, 1).collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r["feature"], r["repeat"]), {})[r["id"]] = r["donor"]
+    assert len(by) == 6
+    assert all(sorted(m) == sorted(m.values()) == list(range(50)) for m in by.values())
+    assert len({tuple(sorted(m.items())) for m in by.values()}) == 6
