@@ -123,3 +123,30 @@ def answer_pairs(turns: DataFrame) -> DataFrame:
     return kept.join(answers, "conv_id").select(
         "conv_id", "chosen", F.concat(before, F.array("__answer")).alias("rejected")
     )
+
+
+def parted_pairs(turns: DataFrame) -> DataFrame:
+    """``conv_id``, ``chosen``, ``rejected`` for every conversation of a table of turns.
+
+    Chosen is the whole conversation. Rejected goes the same way for the first ``conv_id % (n + 1)``
+    of its n turns, and on with the turns behind as many of the conversation with the next larger
+    id (after the last comes the first). So the two part anywhere, and either may end first.
+    Rows without a conv_id are left out; null turns come first, and of turns with equal numbers the
+    order is by role, then text. A conversation is one row, as its rendered text is.
+    """
+    said = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    whole = turns.where("conv_id is not null").groupBy("conv_id").agg(said.alias("turns"))
+    plain = F.transform("turns", lambda t: F.struct(t["role"], t["text"])).cast(TURN)
+    kept = settle(whole.select("conv_id", plain.alias("chosen")))
+    ranked = settle(with_rank(kept.select("conv_id"), [F.col("conv_id").asc()]))
+    following = ranked.select(F.col("conv_id").alias("__next"), F.col("rank").alias("__rank"))
+    order = ranked.select(
+        "conv_id", (F.col("rank") % F.col("rank_total") + 1).alias("__rank")
+    ).join(following, "__rank").select("conv_id", "__next")
+    others = kept.select(F.col("conv_id").alias("__next"), F.col("chosen").alias("__other"))
+    size = F.size("chosen")
+    same = F.pmod(F.col("conv_id"), size + 1).cast("int")
+    rest = F.slice("__other", same + 1, F.greatest(F.size("__other") - same, F.lit(0)))
+    return kept.join(order, "conv_id").join(others, "__next").select(
+        "conv_id", "chosen", F.concat(F.slice("chosen", F.lit(1), same), rest).alias("rejected")
+    )

@@ -23,34 +23,47 @@ def _trained(name: str) -> Column:
     """
     WITH said AS (
       SELECT conv_id, role, text,
-             row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k,
-             '<|im_start|>' || replace(coalesce(role, 'user'), '<|im_', '<| im_') || chr(10) ||
-             replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS shown
+             row_number() OVER (PARTITION BY conv_id
+                                ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
       FROM conversations WHERE conv_id IS NOT NULL),
-    ends AS (
-      SELECT conv_id, max(k) AS last FROM said WHERE role = 'assistant' GROUP BY conv_id),
-    answers AS (
-      SELECT e.conv_id, e.last, s.text, s.shown,
-             coalesce(lead(e.conv_id) OVER (ORDER BY e.conv_id),
-                      min(e.conv_id) OVER ()) AS next
-      FROM ends e JOIN said s ON s.conv_id = e.conv_id AND s.k = e.last),
+    sizes AS (SELECT conv_id, count(*) AS n FROM said GROUP BY conv_id),
     pairs AS (
-      SELECT a.conv_id, a.last, a.shown AS chosen, b.shown AS rejected,
-             a.text IS NOT DISTINCT FROM b.text AS same
-      FROM answers a JOIN answers b ON b.conv_id = a.next)
-    SELECT p.conv_id, CAST(p.last - CASE WHEN p.same THEN 0 ELSE 1 END AS BIGINT) AS prompt_turns,
-           coalesce(string_agg(s.shown, '' ORDER BY s.k)
-             FILTER (WHERE s.k < p.last OR (p.same AND s.k = p.last)), '') AS prompt,
-           CASE WHEN p.same THEN '' ELSE p.chosen END AS chosen,
-           CASE WHEN p.same THEN '' ELSE p.rejected END AS rejected,
-           CASE WHEN p.same THEN 0 ELSE length(p.chosen) - 23 END AS chosen_trained,
-           CASE WHEN p.same THEN 0 ELSE length(p.rejected) - 23 END AS rejected_trained
-    FROM pairs p JOIN said s ON s.conv_id = p.conv_id
-    GROUP BY p.conv_id, p.last, p.same, p.chosen, p.rejected
+      SELECT conv_id, n, conv_id % (n + 1) AS same,
+             coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS next
+      FROM sizes),
+    rejected AS (
+      SELECT p.conv_id, s.k, s.role, s.text
+      FROM pairs p JOIN said s ON s.conv_id = p.conv_id AND s.k <= p.same
+      UNION ALL
+      SELECT p.conv_id, s.k, s.role, s.text
+      FROM pairs p JOIN said s ON s.conv_id = p.next AND s.k > p.same),
+    beside AS (
+      SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.k, b.k) AS k,
+             a.k IS NOT NULL AND b.k IS NOT NULL AND a.role IS NOT DISTINCT FROM b.role
+               AND a.text IS NOT DISTINCT FROM b.text AS alike
+      FROM said a FULL JOIN rejected b ON b.conv_id = a.conv_id AND b.k = a.k),
+    parts AS (
+      SELECT conv_id, coalesce(min(k) FILTER (NOT alike) - 1, max(k)) AS p
+      FROM beside GROUP BY conv_id),
+    shown AS (
+      SELECT which, conv_id, k, CASE WHEN role = 'assistant' THEN length(said) + 10 ELSE 0 END AS trained,
+             '<|im_start|>' || head || chr(10) || said || '<|im_end|>' || chr(10) AS text
+      FROM (SELECT which, conv_id, k, coalesce(role, 'user') AS role,
+                   replace(coalesce(role, 'user'), '<|im_', '<| im_') AS head,
+                   replace(coalesce(text, ''), '<|im_', '<| im_') AS said
+            FROM (SELECT 'c' AS which, conv_id, k, role, text FROM said
+                  UNION ALL SELECT 'r', conv_id, k, role, text FROM rejected)))
+    SELECT p.conv_id, CAST(p.p AS BIGINT) AS prompt_turns,
+           coalesce(string_agg(s.text, '' ORDER BY s.k) FILTER (which = 'c' AND s.k <= p.p), '') AS prompt,
+           coalesce(string_agg(s.text, '' ORDER BY s.k) FILTER (which = 'c' AND s.k > p.p), '') AS chosen,
+           coalesce(string_agg(s.text, '' ORDER BY s.k) FILTER (which = 'r' AND s.k > p.p), '') AS rejected,
+           CAST(coalesce(sum(s.trained) FILTER (which = 'c' AND s.k > p.p), 0) AS BIGINT) AS chosen_trained,
+           CAST(coalesce(sum(s.trained) FILTER (which = 'r' AND s.k > p.p), 0) AS BIGINT) AS rejected_trained
+    FROM parts p JOIN shown s ON s.conv_id = p.conv_id GROUP BY p.conv_id, p.p
     """
 )
 def op1_preference(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = chat.format_pairs(chat.answer_pairs(table(spark, folder, "conversations")))
+    pairs = chat.format_pairs(chat.parted_pairs(table(spark, folder, "conversations")))
     return pairs.select(
         "conv_id",
         "prompt_turns",

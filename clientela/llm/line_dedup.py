@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from clientela.session import settle
 
-from .expressions import bind
+from .expressions import bind, free_name
 
 RUN_WORDS = 36
 REACH = 3  # the least of this many, taken three times over, spans a window
@@ -164,14 +164,13 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     as one place: they are cut where any of them would be, if their text has these words. An empty
     table gives an empty table.
     """
-    runs = repeated_runs(df, id_col, text_col).withColumnsRenamed(
-        {"id": "__id", "cut": "__cut"}
-    )
-    joined = df.join(runs, F.col(id_col) == F.col("__id"), "left")
+    key, cut, new = (free_name(df, c) for c in ("__id", "__cut", "__new"))
+    runs = repeated_runs(df, id_col, text_col).withColumnsRenamed({"id": key, "cut": cut})
+    joined = df.join(runs, F.col(id_col) == F.col(key), "left")
     text = F.col(text_col)
     return (
-        joined.withColumn("__new", without_runs(text, F.col("__cut")))
-        .withColumn("n_cut", (F.length(text) - F.length("__new")).cast("long"))
-        .withColumn(text_col, F.col("__new"))
-        .drop("__id", "__cut", "__new")
+        joined.withColumn(new, without_runs(text, F.col(cut)))
+        .withColumn("n_cut", (F.length(text) - F.length(new)).cast("long"))
+        .withColumn(text_col, F.col(new))
+        .drop(key, cut, new)
     )

@@ -146,7 +146,10 @@ def write_warc(
     df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url",
     records_per_file: int = RECORDS_PER_FILE,
 ) -> None:
-    """Write rows with ``payload`` and ``refers_to`` (see ``mark_revisits``) as archives."""
+    """Write rows with ``payload`` and ``refers_to`` (see ``mark_revisits``) as archives.
+
+    A null id is written as an empty one, and read as null again.
+    """
     ship(df.sparkSession)
 
     def batches(frames):
@@ -156,7 +159,7 @@ def write_warc(
             yield pd.DataFrame(
                 {
                     "value": [
-                        gzip_member(record_bytes(i or "none", url, bytes(p), r))
+                        gzip_member(record_bytes("" if i is None else i, url, bytes(p), r))
                         for i, url, p, r in frame.itertuples(index=False, name=None)
                     ]
                 }
@@ -197,7 +200,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     length, digest, payload = payload_of(fields, block)
                     refers = fields.get("warc-refers-to")
                     rows.append(
-                        (fields["warc-record-id"][10:-1], fields["warc-type"],
+                        (fields["warc-record-id"][10:-1] or None, fields["warc-type"],
                          fields.get("warc-target-uri"), length, digest,
                          refers and refers[10:-1], payload)
                     )

@@ -113,3 +113,41 @@ def test_pipeline_keeps_what_its_stages_keep(spark):
     assert all(len(r["text"]) <= len(texts[r["doc_id"]]) for r in kept)
     pieces = pipeline.packed(spark, docs, SF).collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in kept}
+
+
+def test_archives_keep_null_ids(spark):
+    rows = [(None, "u", "a"), (None, "u", "a"), (7, None, "a"), (8, "v", "a")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = scratch_folder(spark, "warc")
+    warc.write_warc(warc.mark_revisits(df), path)
+    got = sorted(((r["record_id"] or "", r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, path).collect()))
+    assert got == [("", "response", None), ("", "response", None), ("7", "revisit", "8"), ("8", "response", None)]
+    path = scratch_folder(spark, "warc")
+    warc.write_warc(warc.mark_revisits(df.limit(0)), path)
+    assert warc.read_warc(spark, path).collect() == []
+
+
+def test_every_conversation_is_paired_and_parts_anywhere(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(c, t, ["user", "assistant"][t % 2], f"{c if t > 1 else 'hello'} {t}", 0, "x")
+            for c in range(12) for t in range(1 + c % 5)]
+    rows += [(50, None, None, None, 0, "x"), (50, 1, "assistant", "", 0, "x"), (None, 0, "user", "lost", 0, "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, chosen int, prompt string")
+    pairs = {r["conv_id"]: r for r in chat.parted_pairs(df).collect()}
+    assert set(pairs) == {*range(12), 50}
+    said = {c: [(r["role"], r["text"]) for r in p["chosen"]] for c, p in pairs.items()}
+    ids = sorted(said)
+    found = {r["conv_id"]: r for r in chat.format_pairs(chat.parted_pairs(df)).collect()}
+    for c, following in zip(ids, [*ids[1:], ids[0]]):
+        same = c % (len(said[c]) + 1)
+        rejected = said[c][:same] + said[following][same:]
+        assert [(r["role"], r["text"]) for r in pairs[c]["rejected"]] == rejected
+        common = 0
+        while common < min(len(said[c]), len(rejected)) and said[c][common] == rejected[common]:
+            common += 1
+        assert found[c]["prompt_turns"] == common
+        assert len(found[c]["chosen"]) == 3 * (len(said[c]) - common)
+        assert len(found[c]["rejected"]) == 3 * (len(rejected) - common)
+    assert len({found[c]["prompt_turns"] for c in ids}) > 2
+    assert chat.format_pairs(chat.parted_pairs(df.where(F.lit(False)))).collect() == []

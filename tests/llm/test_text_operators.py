@@ -217,13 +217,14 @@ def test_line_copies_are_cut(spark, empty):
     texts = [f"Alpha start.\n{passage}", f"Beta start.\n{short}\n{passage} Beta end.", short, None,
              passage, ""]
     df = spark.createDataFrame(
-        [(i, t, "keep") for i, t in enumerate(texts)], "doc_id long, text string, n_cutter string"
+        [(i, t, "keep", 1, 2, 3) for i, t in enumerate(texts)],
+        "doc_id long, text string, n_cutter string, __id int, __CUT int, id int",
     )
     out = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
     assert out[0]["text"] == texts[0] and out[0]["n_cut"] in (0, None)
     assert out[1]["text"] == f"Beta start.\n{short}\nBeta end."
     assert out[2]["text"] == short and out[3]["text"] is None and out[4]["text"] == ""
-    assert all(r["n_cutter"] == "keep" for r in out.values())
+    assert all((r["n_cutter"], r["__id"], r["__CUT"], r["id"]) == ("keep", 1, 2, 3) for r in out.values())
     assert line_dedup.dedup_lines(empty).collect() == []
 
 
