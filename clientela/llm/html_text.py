@@ -28,7 +28,7 @@ def host_of(url: Column) -> Column:
 def infer_wrappers(
     df: DataFrame, url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
-    """``host``, ``wrapper`` (pickled ``wrappers.Node``), ``expression``: one row per host.
+    """``host``, ``wrapper`` (pickled ``wrappers.Node``): one row per host.
 
     All pages of a host are aligned: within each task first, then what the tasks found, in two
     steps, so that a host with most of the pages is spread over all tasks. Pages without a host
@@ -64,12 +64,6 @@ def infer_wrappers(
         whole = pickle.dumps(functools.reduce(wrappers.align, found))
         return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [whole], "salt": [0]})
 
-    def described(frames):
-        for frame in frames:
-            frame["host"] = frame["host"].astype(object)
-            frame["expression"] = [pickle.loads(w).expression() for w in frame["wrapper"]]
-            yield frame
-
     parts = df.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     parts = parts.mapInPandas(of_pages, "host string, wrapper binary")
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
@@ -77,9 +71,20 @@ def infer_wrappers(
         salted = salted.groupBy(*keys).applyInPandas(
             joined, "host string, wrapper binary, salt long"
         )
-    return salted.drop("salt").mapInPandas(
-        described, "host string, wrapper binary, expression string"
-    )
+    return salted.drop("salt")
+
+
+def expressions(known: DataFrame) -> DataFrame:
+    """``host``, ``expression``: the regular expression of each wrapper (see ``wrappers.matches``)."""
+    ship(known.sparkSession)
+
+    def described(frames):
+        for frame in frames:
+            frame["host"] = frame["host"].astype(object)
+            frame["expression"] = [pickle.loads(w).expression() for w in frame.pop("wrapper")]
+            yield frame
+
+    return known.select("host", "wrapper").mapInPandas(described, "host string, expression string")
 
 
 def extract(
@@ -90,14 +95,12 @@ def extract(
     Repeated rows give a row each. Columns other than these are left out.
     """
     host = host_of(F.col(url_col))
-    known = settle(infer_wrappers(df, url_col, html_col)).select("host", "wrapper")
+    known = settle(infer_wrappers(df, url_col, html_col))
 
     def batches(frames):
         @functools.lru_cache(maxsize=256)
         def of_host(packed: bytes):
-            wrapper = pickle.loads(packed)
-            found = wrappers.regions(wrapper)
-            return found, wrappers.template_texts(wrapper, found)
+            return wrappers.regions(pickle.loads(packed))
 
         for frame in frames:
             frame["url"], frame["id"] = frame["url"].astype(object), frame["id"].astype(object)

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,6 +38,7 @@ AROUND_WORDS = re.compile(
     r"complementary|contentinfo|search)(?:$|[\s_-])"
 )
 MAIN = ("article", "main")
+STATES = ("has-", "no-", "not-", "is-", "with-", "without-")  # such classes say what something has
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -50,7 +53,7 @@ ATTRIBUTE = re.compile(
 )
 TEXT = "#"
 DEEPEST = 150  # blocks nested further are taken as one block after the other
-SEEN_ENOUGH = 8  # pages that must share a text before it counts as part of the template
+CELLS = 250_000  # of the table for a gap without common landmarks; larger ones are walked along
 
 
 @dataclass
@@ -75,19 +78,40 @@ class Node:
 
     def around(self) -> bool:
         """Whether it stands around the article rather than in it."""
-        return self.name in AROUND or (
-            " " in self.label and AROUND_WORDS.search(self.label.split(" ", 1)[1]) is not None
-        )
+        if self.name in AROUND:
+            return True
+        words = self.label.split(" ")[1:]
+        said = " ".join(w for w in words if not w.lower().startswith(STATES))
+        return AROUND_WORDS.search(said) is not None
 
     def expression(self) -> str:
-        """The wrapper as an expression: slots are #, groups have ? or + or both (*)."""
+        """The wrapper as a regular expression over :func:`stream`: slots are any text, groups have
+        ? or + or both (*)."""
         if self.label == TEXT:
-            inner = "#" if self.text is None else re.escape(self.text)
+            inner = "[^<>]+" if self.text is None else re.escape(_plain(self.text))
+            inner += ";"
         else:
             body = "".join(c.expression() for c in self.children)
-            inner = body if self.label.startswith("(") else f"<{self.label}>{body}</{self.name}>"
+            tag = re.escape(_plain(self.label))
+            inner = body if self.label.startswith("(") else f"<{tag}>{body}</>"
         mark = {(0, 0): "", (1, 0): "?", (0, 1): "+", (1, 1): "*"}[self.optional, self.repeated]
-        return f"({inner}){mark}" if mark else inner
+        return f"(?:{inner}){mark}" if mark else inner
+
+
+def _plain(text: str) -> str:
+    return re.sub(r"[<>]", "|", text)
+
+
+def stream(page: Node) -> str:
+    """The tokens of a page, as expressions match them."""
+    if page.label == TEXT:
+        return f"{_plain(page.text or '')};"
+    return f"<{_plain(page.label)}>{''.join(map(stream, page.children))}</>"
+
+
+def matches(wrapper: Node, page: str | None) -> bool:
+    """Whether the wrapper's expression matches a whole page."""
+    return re.fullmatch(wrapper.expression(), stream(tree(page)), re.S) is not None
 
 
 def label_of(name: str, rest: str) -> str:
@@ -208,29 +232,103 @@ def align(left: Node, right: Node) -> Node:
     if [n.label for n in a] == [n.label for n in b]:
         out.children = [align(x, y) for x, y in zip(a, b)]
         return out
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = (
-                best[i + 1][j + 1] + 1
-                if a[i].label == b[j].label
-                else max(best[i + 1][j], best[i][j + 1])
-            )
     i = j = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i].label == b[j].label:
-            out.children.append(align(a[i], b[j]))
+    for x, y in [*common_labels([n.label for n in a], [n.label for n in b]), (len(a), len(b))]:
+        for node in [*a[i:x], *b[j:y]]:
+            node.optional = True
+            out.children.append(node)
+        if x < len(a):
+            out.children.append(align(a[x], b[y]))
+        i, j = x + 1, y + 1
+    out.children = fold(out.children)
+    return out
+
+
+def common_labels(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of equal labels, ascending in both lists.
+
+    Equal starts and ends go first. Labels that occur once on either side are landmarks: the
+    longest ascending run of them cuts the lists into gaps, and each gap is done likewise. A gap
+    without landmarks is aligned by a table if it is small, and else by the next equal label, so
+    that space stays in proportion to the lists.
+    """
+    found: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        low, high, first, last = todo.pop()
+        while low < high and first < last and a[low] == b[first]:
+            found.append((low, first))
+            low, first = low + 1, first + 1
+        while low < high and first < last and a[high - 1] == b[last - 1]:
+            high, last = high - 1, last - 1
+            found.append((high, last))
+        if low == high or first == last:
+            continue
+        landmarks = _landmarks(a, b, low, high, first, last)
+        if landmarks:
+            found += landmarks
+            for x, y in [*landmarks, (high, last)]:
+                todo.append((low, x, first, y))
+                low, first = x + 1, y + 1
+        elif (high - low) * (last - first) <= CELLS:
+            found += _by_table(a, b, low, high, first, last)
+        else:
+            found += _by_next(a, b, low, high, first, last)
+    return sorted(found)
+
+
+def _landmarks(a, b, low, high, first, last) -> list[tuple[int, int]]:
+    here, there = Counter(a[low:high]), Counter(b[first:last])
+    place = {b[j]: j for j in range(first, last) if there[b[j]] == 1}
+    pairs = [(i, place[a[i]]) for i in range(low, high) if here[a[i]] == 1 and a[i] in place]
+    # The longest ascending run: ends[n] is the least end of a run of n + 1 pairs.
+    ends: list[int] = []
+    at: list[int] = []
+    back: list[int] = []
+    for n, (_, j) in enumerate(pairs):
+        k = bisect_left(ends, j)
+        ends[k : k + 1] = [j]
+        back.append(at[k - 1] if k else -1)
+        at[k : k + 1] = [n]
+    run, n = [], at[-1] if at else -1
+    while n >= 0:
+        run.append(pairs[n])
+        n = back[n]
+    return run[::-1]
+
+
+def _by_table(a, b, low, high, first, last) -> list[tuple[int, int]]:
+    best = [[0] * (last - first + 1) for _ in range(high - low + 1)]
+    for i in range(high - 1, low - 1, -1):
+        row, below = best[i - low], best[i - low + 1]
+        for j in range(last - 1, first - 1, -1):
+            row[j - first] = (
+                below[j - first + 1] + 1 if a[i] == b[j] else max(below[j - first], row[j - first + 1])
+            )
+    found, i, j = [], low, first
+    while i < high and j < last:
+        if a[i] == b[j]:
+            found.append((i, j))
             i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
-            a[i].optional = True
-            out.children.append(a[i])
+        elif best[i - low + 1][j - first] >= best[i - low][j - first + 1]:
             i += 1
         else:
-            b[j].optional = True
-            out.children.append(b[j])
             j += 1
-    out.children = fold(out.children)
-    return out
+    return found
+
+
+def _by_next(a, b, low, high, first, last) -> list[tuple[int, int]]:
+    places = defaultdict(list)
+    for j in range(first, last):
+        places[b[j]].append(j)
+    found, after = [], first - 1
+    for i in range(low, high):
+        ahead = places.get(a[i], [])
+        k = bisect_right(ahead, after)
+        if k < len(ahead):
+            after = ahead[k]
+            found.append((i, after))
+    return found
 
 
 Path = tuple[str, ...]
@@ -243,9 +341,15 @@ def regions(wrapper: Node) -> set[Path]:
     one child holds most of the text.
     """
     for wanted in MAIN:
-        found = set(_named(wrapper, (), wanted))
-        if found:
-            return found
+        plain = dict(_named(wrapper, (), wanted, False))
+        # An element of this name whose class has one of the words counts if it holds the most.
+        every = dict(_named(wrapper, (), wanted, True))
+        marked = {p: n for p, n in every.items() if p not in plain}
+        if sum(marked.values()) > sum(plain.values()):
+            largest = max(marked, key=lambda p: marked[p])
+            return {largest, *(p for p in plain if p[: len(largest)] != largest)}
+        if plain:
+            return set(plain)
     path, node = (wrapper.label,), wrapper
     while True:
         inner = [c for c in _elements(node) if not c.around()]
@@ -272,39 +376,19 @@ def _inside(node: Node) -> int:
     return node.size - sum(c.size for c in _elements(node) if c.around())
 
 
-def _named(node: Node, path: Path, wanted: str) -> Iterator[Path]:
-    if node.around():
+def _named(node: Node, path: Path, wanted: str, marked: bool) -> Iterator[tuple[Path, int]]:
+    """Elements of a name that hold text, with how much; with ``marked``, whatever their class."""
+    if node.around() and not (marked and node.name == wanted):
         return
     path = (*path, node.label)
     if node.name == wanted and node.size:
-        yield path
+        yield path, node.size
         return
     for child in _elements(node):
-        yield from _named(child, path, wanted)
-
-
-def template_texts(wrapper: Node, wanted: set[Path]) -> set[tuple[Path, str]]:
-    """Texts within the article that all pages share while the article itself differs."""
-    shared: set[tuple[Path, str]] = set()
-
-    def walk(node: Node, path: Path, inside: bool) -> int:
-        """Characters in slots."""
-        path = path if node.label.startswith("(") else (*path, node.label)
-        inside = inside or path in wanted
-        slots = 0
-        for child in node.children:
-            if child.label != TEXT:
-                slots += walk(child, path, inside)
-            elif child.text is None:
-                slots += child.size
-            elif inside and child.pages >= SEEN_ENOUGH and child.pages >= 0.9 * wrapper.pages:
-                shared.add((path, child.text))
-        return slots
-
-    return shared if 2 * walk(wrapper, (), False) > wrapper.size else set()
+        yield from _named(child, path, wanted, marked)
 
 
-def blocks(page: Node, wanted: set[Path], shared: set[tuple[Path, str]]) -> list[str]:
+def blocks(page: Node, wanted: set[Path]) -> list[str]:
     """Texts of the article in page order."""
     out: list[str] = []
 
@@ -313,21 +397,20 @@ def blocks(page: Node, wanted: set[Path], shared: set[tuple[Path, str]]) -> list
         inside = inside or path in wanted
         for child in node.children:
             if child.label == TEXT:
-                if inside and (path, child.text) not in shared:
+                if inside:
                     out.append(child.text)
-            elif not child.around():
+            elif not child.around() or (not inside and (*path, child.label) in wanted):
                 walk(child, path, inside)
 
     walk(page, (), False)
     return out
 
 
-def main_text(page: str | None, found: tuple[set[Path], set[tuple[Path, str]]] | None) -> str:
+def main_text(page: str | None, found: set[Path] | None) -> str:
     """The article's blocks, two line feeds between them; by the page's own wrapper if the host's
     does not fit."""
     node = tree(page)
-    said = blocks(node, *found) if found else []
+    said = blocks(node, found) if found else []
     if not said:
-        own = folded(tree(page))
-        said = blocks(node, regions(own), set())
+        said = blocks(node, regions(folded(tree(page))))
     return "\n\n".join(said)

@@ -151,3 +151,86 @@ def test_every_conversation_is_paired_and_parts_anywhere(spark):
         assert len(found[c]["rejected"]) == 3 * (len(rejected) - common)
     assert len({found[c]["prompt_turns"] for c in ids}) > 2
     assert chat.format_pairs(chat.parted_pairs(df.where(F.lit(False)))).collect() == []
+
+
+def test_words_in_an_articles_class_do_not_remove_it(spark):
+    page = "<body><nav>menu</nav>{}<div class='share'>share it</div><footer>end</footer></body>"
+    kinds = {
+        1: "<article class='post has-share'><p>Text one of some length.</p><div class='comments'>no</div></article>",
+        2: "<article class='search-result story'><p>Text two of some length.</p></article>",
+        3: "<article class='story comments'><p>Text three of some length.</p></article>"
+           "<article class='card'>x</article>",
+        4: "<main class='no-sidebar'><p>Text four of some length.</p></main>",
+        5: "<article><p>Text five.</p><section class='comments'><article class='comment'>A long remark "
+           "by a reader, longer than the text itself.</article></section></article>",
+    }
+    rows = [(i, f"http://h{i}.example/", page.format(k)) for i, k in kinds.items()]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Text one of some length." and got[2] == "Text two of some length."
+    assert got[3] == "Text three of some length.\n\nx"
+    assert got[4] == "Text four of some length." and got[5] == "Text five."
+
+
+@pytest.mark.parametrize("n", [1, 7, 8, 30])
+def test_text_that_all_pages_of_a_host_share_stays(spark, n):
+    page = "<body><nav>m</nav><article><h1>Report {0}</h1><p>All figures are in euro.</p><p>Body {0}.</p></article>"
+    rows = [(i, "http://h.example/", page.format(f"number {i}")) for i in range(n)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html_text.extract(df).collect():
+        assert r["text"] == f"Report number {r['page_id']}\n\nAll figures are in euro.\n\nBody number {r['page_id']}."
+
+
+def test_expressions_match_the_pages_they_come_from(spark):
+    import functools
+
+    from clientela.llm import wrappers
+
+    pages = [
+        "<body><ul><li>a<li>b<li>c</ul><article><p>x<p>y</article></body>",
+        "<body><ul><li>a</ul><article><h1>T</h1><p>x</article><footer>f</footer></body>",
+        "<body><div>ad</div><ul><li>a<li>z</ul><article><p>only &lt;one&gt;; here</article></body>", "", None,
+        "<table><tr><td>1<td>2<tr><td>3<td>4</table>",
+    ]
+    whole = functools.reduce(wrappers.align, [wrappers.folded(wrappers.tree(p)) for p in pages])
+    assert all(wrappers.matches(whole, p) for p in pages)
+    assert not wrappers.matches(whole, "<body><b>x</b><h6>other</h6></body>")
+    df = spark.createDataFrame([(i, "http://h.example/", p) for i, p in enumerate(pages)],
+                               "page_id long, url string, html string")
+    (row,) = html_text.expressions(html_text.infer_wrappers(df)).collect()
+    assert row["host"] == "h.example" and row["expression"]
+    real = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    by_host = {}
+    for r in real:
+        by_host.setdefault(r["url"].split("/")[2], []).append(r["html"])
+    for htmls in by_host.values():
+        whole = functools.reduce(wrappers.align, [wrappers.folded(wrappers.tree(p)) for p in htmls])
+        assert all(wrappers.matches(whole, p) for p in htmls)
+
+
+def test_labels_are_aligned_in_order_and_in_little_space():
+    import random
+    import time
+
+    from clientela.llm import wrappers
+
+    rng = random.Random(4)
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+        return row[-1]
+
+    for _ in range(200):
+        a, b = ([rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        found = wrappers.common_labels(a, b)
+        assert all(a[i] == b[j] for i, j in found)
+        assert found == sorted(found) and len({i for i, _ in found}) == len({j for _, j in found}) == len(found)
+        assert len(found) >= longest(a, b) - 3 and wrappers.common_labels(a, list(a)) == [(i, i) for i in range(len(a))]
+    a, b = ([rng.choice(["p", "h2", "ul", "table"]) for _ in range(30_000)] for _ in range(2))
+    start = time.perf_counter()
+    assert len(wrappers.common_labels(a, b)) > 5000
+    assert time.perf_counter() - start < 5
