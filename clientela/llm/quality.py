@@ -160,8 +160,14 @@ def cutoffs(
     ``holdout``: figures of labelled good documents that pass the base rules. ``risk`` bounds the
     rate at which all rules together reject good documents of a stratum, with probability
     ``1 - error`` over all strata. A rule without a cutoff that stands has no row. The result has
-    one row for each stratum and rule. No cutoff stands in a stratum of fewer than
-    ``log(error / strata) / log(1 - risk)`` documents.
+    one row for each stratum and rule.
+
+    Two tests are made in every stratum, whatever its size, each with half of the error. One adds
+    the cutoffs of all rules in one fixed order and bounds what they reject together; it ends at
+    the first that fails. The other gives each rule an equal share of the risk, and ends for each
+    by itself. Both hold at once, so the one under which more rules stand is taken (the first
+    if equal). No cutoff stands in a stratum of fewer than
+    ``log(error / 2 / strata) / log(1 - risk)`` documents.
     """
     steps, before = [], F.lit(False)
     for at, rule in enumerate(rules):
@@ -189,19 +195,27 @@ def cutoffs(
     )
     share = risk / len(rules)
     number = max(holdout.select(strata.alias("stratum")).distinct().count(), 1)
-    level = error / len(rules) / number
+    level = error / 2 / len(rules) / number
 
     def stands(k: Column, rate: float, at_most: float) -> Column:
         likely = k <= F.col("n") * rate
         return likely & (F.when(likely, lower_tail(F.col("n"), k, rate)) <= at_most)
 
-    so_far = Window.partitionBy("stratum").orderBy("at", "strictness")
-    together = F.min(stands(F.col("k_all"), risk, error / number)).over(so_far)
-    enough = F.col("n") * F.lit(math.log1p(-share)) <= math.log(level)
-    passes = F.when(enough, stands(F.col("k"), share, level)).otherwise(F.col("together"))
+    in_order = Window.partitionBy("stratum").orderBy("at", "strictness")
+    in_rule = Window.partitionBy("stratum", "at").orderBy("strictness")
+    in_stratum = Window.partitionBy("stratum")  # a row for each rule and cutoff
+    tests = {
+        "together": F.min(stands(F.col("k_all"), risk, error / 2 / number)).over(in_order),
+        "apart": F.min(stands(F.col("k"), share, level)).over(in_rule),
+    }
+    tested = counts.withColumns(tests)
+    standing = {
+        name: F.sum((F.col(name) & (F.col("strictness") == 0)).cast("int")).over(in_stratum)
+        for name in tests
+    }
+    better = standing["apart"] > standing["together"]
     return (
-        counts.withColumn("together", together)
-        .withColumn("passes", passes)
+        tested.withColumn("passes", F.when(better, F.col("apart")).otherwise(F.col("together")))
         .groupBy("stratum", "rule")
         .agg(
             F.collect_list(F.struct("strictness", "cutoff", "passes")).alias("tried"),
@@ -255,6 +269,9 @@ def judge(
             for rule in rules
         ]
     )
+    # One row for each stratum; as a stored table its size is known, and documents of a common
+    # stratum need not meet in one task.
+    wide = settle(wide)
     rejected = F.lit(False)
     for rule in rules:
         rejected = rejected | F.coalesce(_beyond(rule, F.col(f"__{rule.name}")), F.lit(False))
