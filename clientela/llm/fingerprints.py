@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +18,9 @@ SHINGLE_WORDS = 5
 # Near duplicates have a Jaccard similarity of 0.8, for equal sizes a cosine of 0.89: 19 of 128 bits
 # differ on average, with a standard deviation of 4. The radius is two of these further.
 NEAR_RADIUS = 28
-SHARDS = 256
+LOOKUP = 10  # work of a lookup, in comparisons of two fingerprints
+MOST_PROBES = 20_000  # values looked up for a block of a query
+HOT_VALUE = 4096  # fingerprints with the same value in a block that one task compares
 WORDS64 = ("f0", "f1")  # a fingerprint is two longs, 128 bits
 LANES = 0x0000000100000001  # bits i and i + 32 of a hash are counted in the halves of one long
 
@@ -67,30 +73,128 @@ def fingerprint(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     )
 
 
+def distance_of(left0: str, left1: str, right0: str, right1: str) -> Column:
+    """Differing bits of two fingerprints, given by their columns."""
+    return F.bit_count(F.col(left0).bitwiseXOR(F.col(right0))) + F.bit_count(
+        F.col(left1).bitwiseXOR(F.col(right1))
+    )
+
+
 def distance(left: str, right: str) -> Column:
     """Differing bits of two fingerprints, given by the prefixes of their columns."""
-    out = F.lit(0)
-    for name in WORDS64:
-        out = out + F.bit_count(F.col(f"{left}{name}").bitwiseXOR(F.col(f"{right}{name}")))
-    return out
+    return distance_of(*[f"{side}{name}" for side in (left, right) for name in WORDS64])
+
+
+def widths(blocks: int) -> list[tuple[str, int, int]]:
+    """Word, first bit and width of each block; half of the blocks lie in either word."""
+    per_word = blocks // 2
+    ends = [64 * i // per_word for i in range(per_word + 1)]
+    return [(w, a, b - a) for w in WORDS64 for a, b in zip(ends, ends[1:])]
+
+
+def probes_of(width: int, errors: int) -> int:
+    return sum(math.comb(width, k) for k in range(errors + 1))
+
+
+def choose_blocks(size: int, radius: int) -> int:
+    """The number of blocks with the least work for each query over ``size`` fingerprints.
+
+    Of m blocks one has at most ``radius // m`` differing bits, so a query looks up all values with
+    so few bits changed. Wide blocks mean many lookups, narrow ones many fingerprints for
+    each. The choice has no influence on what is found.
+    """
+
+    def work(blocks: int) -> float:
+        errors = radius // blocks
+        return sum(
+            probes_of(w, errors) * (LOOKUP + size / 2**w) for _, _, w in widths(blocks)
+        )
+
+    possible = [
+        m for m in range(2, 65, 2)
+        if max(probes_of(w, radius // m) for _, _, w in widths(m)) <= MOST_PROBES
+    ]
+    return min(possible, key=work)
+
+
+def _masks(width: int, errors: int) -> list[int]:
+    return [
+        sum(1 << i for i in bits)
+        for k in range(errors + 1)
+        for bits in itertools.combinations(range(width), k)
+    ]
+
+
+def _block_values(blocks: int) -> Column:
+    """For every block its number and its bits: the leading bits of a permuted fingerprint."""
+    parts = []
+    for i, (word, first, width) in enumerate(widths(blocks)):
+        value = F.shiftrightunsigned(F.col(word), first).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+        parts.append(F.struct(F.lit(i).alias("block"), value.alias("value")))
+    return F.array(*parts)
+
+
+def _changed(blocks: int, errors: int) -> Column:
+    """The values that each block of a query may have in a fingerprint within the radius."""
+    masks: dict[int, Column] = {}
+    for _, _, width in widths(blocks):
+        if width not in masks:
+            listed = [F.lit(m).cast("long") for m in _masks(width, errors)]
+            masks[width] = F.array(*listed)
+    values = _block_values(blocks)
+
+    def with_masks(block: Column, width: int) -> Column:
+        return F.transform(
+            masks[width],
+            lambda m: F.struct(
+                block["block"].alias("block"), block["value"].bitwiseXOR(m).alias("value")
+            ),
+        )
+
+    return F.flatten(
+        F.array(*[with_masks(F.get(values, F.lit(i)), w) for i, (_, _, w) in enumerate(widths(blocks))])
+    )
 
 
 def within_radius(all_prints: DataFrame, queries: DataFrame, radius: int = 6) -> DataFrame:
     """All pairs (``q0 q1``, ``f0 f1``, ``distance``) of distinct fingerprints within ``radius``.
 
-    Every query is compared with every fingerprint, so that nothing is missed at any radius. The
-    fingerprints are dealt over shards, and each shard gets all queries.
+    Every block of bits has a table of all fingerprints by its value, and a query looks up there
+    whatever value a fingerprint within the radius must have in one of the blocks at least; what is
+    found is compared in full. So nothing is missed at any radius. The values of a block that
+    very many fingerprints share are split over tasks.
     """
-    shard = F.pmod(F.xxhash64(*WORDS64), F.lit(SHARDS)).cast("int")
-    left = all_prints.select(*WORDS64).distinct().withColumn("__shard", shard)
+    left = settle(all_prints.select(*WORDS64).distinct())
     right = queries.select(F.col("f0").alias("qf0"), F.col("f1").alias("qf1")).distinct()
-    right = right.withColumn(
-        "__shard", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1)))
+    blocks = choose_blocks(max(left.count(), 1), radius)
+    key = ["block", "value"]
+    tables = left.select(*WORDS64, F.explode(_block_values(blocks)).alias("__b")).select(
+        *WORDS64, "__b.block", "__b.value"
+    )
+    lookups = right.select(
+        F.col("qf0").alias("f0"), F.col("qf1").alias("f1")
+    ).select(*WORDS64, F.explode(_changed(blocks, radius // blocks)).alias("__b")).select(
+        F.col("f0").alias("qf0"), F.col("f1").alias("qf1"), "__b.block", "__b.value"
+    )
+    parts = F.ceil(F.col("n") / HOT_VALUE).cast("int")
+    hot = settle(  # few: each stands for HOT_VALUE fingerprints
+        tables.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > HOT_VALUE)
+        .select(*key, parts.alias("parts"))
     )
-    same_shard = left["__shard"] == right["__shard"]
-    return left.join(right, same_shard & (distance("q", "") <= radius)).select(
-        F.col("qf0").alias("q0"), F.col("qf1").alias("q1"), *WORDS64,
-        distance("q", "").alias("distance"),
+    of_parts = F.coalesce("parts", F.lit(1))
+    spread = tables.join(hot, key, "left").select(
+        *key, *WORDS64, F.pmod(F.xxhash64(*WORDS64), of_parts).cast("int").alias("part")
+    )
+    asked = lookups.join(hot, key, "left").select(
+        *key, "qf0", "qf1", F.explode(F.sequence(F.lit(0), of_parts - 1)).alias("part")
+    )
+    same = [spread[c] == asked[c] for c in (*key, "part")]
+    near = functools.reduce(Column.__and__, same) & (distance("q", "") <= radius)
+    return (
+        spread.join(asked, near)
+        .select(F.col("qf0").alias("q0"), F.col("qf1").alias("q1"), *WORDS64)
+        .distinct()  # a pair is found in every block where it is near
+        .withColumn("distance", distance_of("q0", "q1", *WORDS64))
     )
 
 

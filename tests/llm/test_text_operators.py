@@ -130,6 +130,60 @@ def test_near_copies_are_counted(spark):
     assert sorted(r["distance"] for r in pairs) == sorted(x for x in apart if x <= 28)
 
 
+def test_votes_as_by_plain_counts(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    terms = {i: [rng.getrandbits(64) - (1 << 63) for _ in range(rng.randint(0, 40))] for i in range(12)}
+    terms[3] = terms[3][:1] * 5 + terms[4]
+    rows = [(i, t) for i, ts in terms.items() for t in ts]
+    df = spark.createDataFrame(rows, "id long, __term long")
+    voted = df.groupBy("id").agg(F.count("__term").alias("__n"), *fingerprints._votes(0)).select(
+        "id", fingerprints._bits(0).alias("f0"))
+    for r in voted.collect():
+        want = 0
+        for bit in range(64):
+            votes = sum(1 if (t >> bit) & 1 else -1 for t in terms[r["id"]])
+            want |= (votes > 0) << bit
+        assert r["f0"] & ((1 << 64) - 1) == want
+
+
+@pytest.mark.parametrize("radius, blocks", [(0, None), (6, None), (28, 10), (28, 8), (28, 14), (40, None)])
+def test_block_tables_find_all_within_the_radius(spark, monkeypatch, radius, blocks):
+    import random
+
+    if blocks:
+        monkeypatch.setattr(fingerprints, "choose_blocks", lambda size, radius: blocks)
+    monkeypatch.setattr(fingerprints, "HOT_VALUE", 30)
+    rng = random.Random(radius)
+    known = {rng.getrandbits(128) for _ in range(150)} | {0, (1 << 128) - 1}
+    for base in rng.sample(sorted(known), 10):
+        for _ in range(12):
+            known.add(base ^ sum(1 << i for i in rng.sample(range(128), rng.randint(0, 45))))
+    known = sorted(known)
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    rows = [(signed(x >> 64), signed(x & ((1 << 64) - 1))) for x in known]
+    df = spark.createDataFrame([*rows, *rows[:5]], "f0 long, f1 long")
+    asked = rows[::4]
+    found = fingerprints.within_radius(df, spark.createDataFrame(asked, "f0 long, f1 long"), radius).collect()
+    want = {(rows[4 * i], rows[j]): (a ^ b).bit_count()
+            for i, a in enumerate(known[::4]) for j, b in enumerate(known) if (a ^ b).bit_count() <= radius}
+    assert {((r["q0"], r["q1"]), (r["f0"], r["f1"])): r["distance"] for r in found} == want
+    assert len(found) == len(want)
+
+
+def test_blocks_cover_all_bits_and_follow_the_size():
+    for m in range(2, 65, 2):
+        bits = [(w, i) for w, a, n in fingerprints.widths(m) for i in range(a, a + n)]
+        assert sorted(bits) == [(w, i) for w in fingerprints.WORDS64 for i in range(64)]
+    assert fingerprints.choose_blocks(10**3, 28) >= fingerprints.choose_blocks(10**8, 28) >= 2
+
+
 def test_license_notices(docs, empty, spark):
     texts = ["Foo.\nReleased under the MIT License.", "all RIGHTS  reserved", "the mit license", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
