@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,8 +70,9 @@ def lorenz_points(df: DataFrame, value: str, n_points: int = 200) -> DataFrame:
     if not size["n"] or not size["total"]:
         return spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 1.0)], shape)
     n, total = size["n"], size["total"]
-    targets = np.linspace(1.0 / n, 1.0, n_points)
-    ranks = sorted({int(k) for k in np.clip((targets * n).astype("int64"), 1, n)})
+    # From the first rank to the last in equal steps, cut down to whole ranks.
+    steps = max(n_points - 1, 1)
+    ranks = sorted({1 + i * (n - 1) // steps for i in range(n_points)})
     wanted = F.filter(
         F.array(*[F.lit(k).cast("bigint") for k in ranks]),
         lambda k: (k > F.col("upto") - F.col("n")) & (k <= F.col("upto")),
