@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from clientela.session import settle
 
 PART = "_part"
+PART_BITS = 33  # of monotonically_increasing_id, below those of the partition
 
 
 def _column(c: Column | str) -> Column:
@@ -95,6 +96,32 @@ def running_totals(
     return _within_parts(laid_out, starts, order, totals, by)
 
 
+def _numbered(df: DataFrame, order: Sequence[Column], rank: str) -> DataFrame:
+    """Ranks over the whole table from one shuffle: rows are sorted within their part before they are
+    settled, so that their place there is their rank in the part."""
+    laid_out = settle(
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn(PART, F.monotonically_increasing_id())
+    )
+    place = F.col(PART).bitwiseAND((1 << PART_BITS) - 1)
+    sizes = laid_out.groupBy(F.shiftright(PART, PART_BITS).alias("_part_no")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    earlier = Window.orderBy("_part_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(  # one row per shuffle partition
+        "_part_no",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy()).alias(f"{rank}_total"),
+    )
+    return (
+        laid_out.withColumn("_part_no", F.shiftright(PART, PART_BITS))
+        .join(F.broadcast(starts), "_part_no")
+        .withColumn(rank, F.col("_before") + place + 1)
+        .select(*df.columns, rank, f"{rank}_total")
+    )
+
+
 def with_rank(
     df: DataFrame,
     order: Sequence[Column],
@@ -103,6 +130,8 @@ def with_rank(
     **totals: Column,
 ) -> DataFrame:
     """Number the rows 1…n in ``order``, with ``<rank>_total`` = n and further running sums."""
+    if not by and not totals:
+        return _numbered(df, order, rank)
     return running_totals(df, order, {rank: F.lit(1).cast("bigint"), **totals}, by)
 
 

@@ -137,6 +137,20 @@ def test_rank_bins_match_pandas(spark, n):
     assert got == want
 
 
+def test_plain_ranks_need_one_shuffle(spark):
+    df = hot_frame(spark)
+    ranked = o.with_rank(df, [F.col("x").desc(), F.col("id")], "r")
+    got = ranked.toPandas().sort_values("r").reset_index(drop=True)
+    want = df.toPandas().sort_values(["x", "id"], ascending=[False, True]).reset_index(drop=True)
+    assert got["id"].tolist() == want["id"].tolist()
+    assert got["r"].tolist() == list(range(1, len(want) + 1)) and set(got["r_total"]) == {len(want)}
+    assert ranked.columns == [*df.columns, "r", "r_total"]
+    # What is read back is joined with one row for each part, and not dealt again.
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_part" not in plan.split("BroadcastExchange")[0]
+    assert o.with_rank(df.limit(0), [F.col("x")], "r").collect() == []
+
+
 def test_rank_bin_sizes(spark):
     df = spark.createDataFrame([(i, i) for i in range(12)], "id int, x int")
     sizes = s.rank_bins(df, "x", "id", 5).groupBy("bin").count().orderBy("bin").collect()
