@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clientela.sources.quoted_csv import read_quoted_csv
+
 # Columns that operators rely on, with their types. Others are kept as read.
 TABLE_TYPES: dict[str, dict[str, str]] = {
     "orders": {
@@ -79,9 +81,10 @@ def typed(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
 
 def _read(spark: SparkSession, path: str, fmt: str, free_text: bool) -> DataFrame:
     try:
+        if fmt == "csv" and free_text:  # only review comments contain line breaks
+            return read_quoted_csv(spark, path)
         if fmt == "csv":
-            # Only review comments contain line breaks; other files stay splittable.
-            return spark.read.csv(path, header=True, multiLine=free_text, quote='"', escape='"')
+            return spark.read.csv(path, header=True, quote='"', escape='"')
         return spark.read.format(fmt).load(path)
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" in str(missing):
