@@ -25,7 +25,7 @@ from clientela.operators import concentration, distributions, hypothesis, kpis,
 from clientela.operators import rfm as rfm_
 from clientela.operators.orders import payment_mix
 from clientela.session import settle
-from clientela.sources.dimensions import AT_RISK, calendar_of, dim_segments
+from clientela.sources.dimensions import AT_RISK, SEGMENTS, calendar_of, dim_segments
 from clientela.sources.star_schema import SNAPSHOT, model_tables
 
 # ---------------------------------------------------------------- bins, scores, segments
@@ -319,21 +319,24 @@ def dim_calendar(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(calendar_of(model_tables(spark, folder).orders, "order_purchase_timestamp"))
 
 
+_SEGMENT_ROWS = ", ".join(
+    "(" + ", ".join(str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in row) + ")"
+    for row in SEGMENTS
+)
+
+
 @query(
     labelled(
-        """SELECT Cluster_Name, CASE Cluster_Name WHEN 'Campeões' THEN '#5E6AD2'
-        WHEN 'Big Spenders (Não-Recorrentes)' THEN '#BF6FF8'
-        WHEN 'Novos / Ocasionais' THEN '#F2C94C' ELSE '#E5484D' END AS Cor_Hex,
-        CAST(CASE Cluster_Name WHEN 'Novos / Ocasionais' THEN 3
-        WHEN 'Em Risco / Hibernando' THEN 2 ELSE 1 END AS BIGINT) AS Prioridade,
-        count(*) AS clientes FROM cust GROUP BY Cluster_Name"""
+        f"""SELECT d.Cluster_Name, d.Descricao, d.Cor_Hex, d.Acao_CRM, CAST(d.Prioridade AS BIGINT) AS Prioridade,
+        d.Cor_Power_BI, count(*) AS clientes FROM cust JOIN (VALUES {_SEGMENT_ROWS})
+        AS d(Cluster_Name, Descricao, Cor_Hex, Acao_CRM, Prioridade, Cor_Power_BI) USING (Cluster_Name)
+        GROUP BY ALL"""
     )
 )
 def dim_segments_join(spark: SparkSession, folder: str) -> DataFrame:
     people = customer_mart(spark, folder)
     counts = people.groupBy("Cluster_Name").agg(F.count(F.lit(1)).alias("clientes"))
-    segment = dim_segments(spark).select("Cluster_Name", "Cor_Hex", "Prioridade")
-    return tidy(counts.join(segment, "Cluster_Name"))
+    return tidy(counts.join(dim_segments(spark), "Cluster_Name"))
 
 
 # ---------------------------------------------------------------- concentration

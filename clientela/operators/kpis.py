@@ -8,6 +8,7 @@ customer's ``Cluster_Name`` too (``operators.orders.enrich_orders``).
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Sequence
 
 from pyspark.errors import PySparkException
@@ -398,7 +399,7 @@ def guarded_sql(spark: SparkSession, text: str) -> tuple[DataFrame | None, str |
     Gives ``(rows, None)`` or ``(None, reason)``. Only text that starts with SELECT or WITH
     is run; a forbidden word anywhere, even inside a name, refuses it, as do functions that call out
     and files as tables. Errors while it runs are reasons as well. At most 100 rows, which are
-    fetched at once.
+    fetched at once; a warning says if there are more.
     """
     lowered = text.strip().lower()
     if not re.match(r"select|with", lowered):
@@ -410,8 +411,11 @@ def guarded_sql(spark: SparkSession, text: str) -> tuple[DataFrame | None, str |
     before = spark.conf.get(SQL_ON_FILES)
     spark.conf.set(SQL_ON_FILES, "false")
     try:
-        rows = spark.sql(text).limit(ROW_LIMIT)
-        return spark.createDataFrame(rows.collect(), rows.schema), None
+        rows = spark.sql(text).limit(ROW_LIMIT + 1)
+        found = rows.collect()
+        if len(found) > ROW_LIMIT:
+            warnings.warn(f"only the first {ROW_LIMIT} rows are returned", stacklevel=2)
+        return spark.createDataFrame(found[:ROW_LIMIT], rows.schema), None
     except PySparkException as problem:
         return None, str(problem)
     finally:

@@ -121,7 +121,8 @@ def test_guarded_sql_refuses(spark, text, reason):
 
 def test_guarded_sql_runs_and_limits(spark):
     spark.range(500).createOrReplaceTempView("numbers")
-    rows, why = k.guarded_sql(spark, "  SELECT * FROM numbers")
+    with pytest.warns(UserWarning, match="first 100"):
+        rows, why = k.guarded_sql(spark, "  SELECT * FROM numbers")
     assert why is None and rows.count() == 100
     rows, why = k.guarded_sql(spark, "SELECT * FROM no_such_table")
     assert rows is None and "no_such_table" in why
