@@ -108,35 +108,44 @@ def scan(
     def holds(grams: Column) -> Column:
         return F.arrays_overlap(grams, literal)
 
-    # A window can only agree with a piece in a shingle that both have.
+    # A window can only agree with a piece in a shingle that both have. With it goes what lies
+    # around, as far as a template can reach; the rest of the text stays behind.
+    reach = max(len(wanted) for _, wanted in known) + WINDOW
+    ahead = 2 * reach + WINDOW
+
+    def surroundings(grams: Column) -> Column:
+        held = F.filter(stretches(grams), lambda s: holds(s["grams"]))
+        return F.transform(
+            held,
+            lambda s: F.struct(
+                bands(s["grams"]).alias("bands"),
+                F.greatest(s["start"] - reach, F.lit(1)).alias("first"),
+                F.slice(grams, F.greatest(s["start"] - reach, F.lit(1)), ahead).alias("near"),
+            ),
+        )
+
     texts = settle(
         df.select(F.col(id_col).alias("id"), shingles(F.col(text_col)).alias("grams")).where(
             holds(F.col("grams"))
         )
     )
-    parts = texts.select(
-        "id",
-        "grams",
-        F.explode(F.filter(stretches(F.col("grams")), lambda s: holds(s["grams"]))).alias("s"),
-    )
+    parts = texts.select("id", F.explode(surroundings(F.col("grams"))).alias("s"))
     candidates = (
-        parts.select("id", "s.start", "grams", F.explode(bands(F.col("s.grams"))).alias("b"))
-        .select("id", "start", "grams", "b.band", "b.value")
+        parts.select("id", "s.first", "s.near", F.explode("s.bands").alias("b"))
+        .select("id", "first", "near", "b.band", "b.value")
         .join(F.broadcast(pieces), ["band", "value"])  # some pieces of each template given
+        .select("id", "license", "first", "near")
+        .distinct()  # a window agrees in many bands
         .join(F.broadcast(spark.createDataFrame(known, "license string, wanted array<bigint>")),
               "license")
     )
-    length = F.size("wanted") + WINDOW
-    start = F.greatest(F.col("start") - length, F.lit(1))
-    near = F.slice("grams", start, 2 * length + WINDOW)
-    found = F.array_intersect("wanted", near)
-    first = start + F.array_position(F.transform(near, lambda g: F.array_contains("wanted", g)),
-                                     F.lit(True)).cast("int") - 1
+    found = F.array_intersect("wanted", "near")
+    place = F.array_position(F.transform("near", lambda g: F.array_contains("wanted", g)), F.lit(True))
     return (
         candidates.select(
             "id",
             "license",
-            first.alias("start"),
+            (F.col("first") + place.cast("int") - 1).alias("start"),
             (F.size(found) / F.size("wanted")).alias("containment"),
         )
         .where(F.col("containment") >= CONTAINED)

@@ -194,6 +194,57 @@ def test_license_notices(docs, empty, spark):
     assert licenses.scan(docs).collect() == []
 
 
+def plain_shingles(text):
+    words = re.findall(r"[^\W_]+", text.lower())
+    return [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+
+
+def test_licenses_as_by_comparing_everything(spark):
+    import random
+
+    rng = random.Random(11)
+    templates = dict(licenses.TEMPLATES)
+    longer = [f"clause{i}" for i in range(120)]
+    templates["long"] = " ".join(longer)
+    texts = []
+    for i in range(150):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(5, 200))]
+        for name in rng.sample(sorted(templates), rng.randrange(3)):
+            notice = re.findall(r"[^\W_]+", templates[name])
+            if rng.random() < 0.4 and len(notice) > 12:  # a word changed, or the end left out
+                notice = notice[:-1] if rng.random() < 0.5 else [*notice[:5], "other", *notice[6:]]
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = notice
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["license"]): r["containment"] for r in licenses.scan(df, templates).collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        grams = plain_shingles(text)
+        for name, notice in templates.items():
+            wanted = set(plain_shingles(notice))
+            reach = len(wanted) + licenses.WINDOW
+            best = max((len(wanted & set(grams[max(0, k - reach) : k + reach + licenses.WINDOW])) / len(wanted)
+                        for k in range(len(grams)) if grams[k] in wanted), default=0)
+            if best >= licenses.CONTAINED:
+                want[i, name] = best
+    assert set(found) <= set(want)
+    assert len(found) >= 0.98 * len(want) and len(want) > 80
+    assert all(v <= want[k] + 1e-9 and v >= licenses.CONTAINED for k, v in found.items())
+
+
+def test_a_long_text_full_of_notices_is_scanned_in_little_time(spark):
+    import time
+
+    line = "Released under the MIT License. some other words follow here on every line of it\n"
+    df = spark.createDataFrame([(1, line * 18_000)], "doc_id long, text string")  # 1.5 MB
+    licenses.scan(df.limit(0)).collect()
+    start = time.perf_counter()
+    (row,) = licenses.scan(df).collect()
+    assert (row["license"], row["start"], row["containment"]) == ("mit", 1, 1.0)
+    assert time.perf_counter() - start < 60
+
+
 def figures_of(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
