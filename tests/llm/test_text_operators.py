@@ -445,3 +445,45 @@ def test_similar_groups(spark, empty):
     assert out == {0: (197, 0), 1: (197, 0), 2: (197, 0), 3: (1, 3), 4: (1, 3), 5: (0, 5),
                    6: (0, 6), 7: (147, 7), None: (1, None)}
     assert ngram_join.similar_groups(empty).collect() == []
+
+
+def test_groups_as_by_comparing_all_pairs(spark):
+    import random
+
+    rng = random.Random(21)
+    bases = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(3, 120))] for _ in range(60)]
+    texts = []
+    for base in bases:
+        for _ in range(rng.randrange(1, 6)):
+            words = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                at = rng.randrange(len(words))
+                words[at : at + 1] = rng.choice([[], [f"x{rng.randrange(9)}"], [words[at], "more"]])
+            texts.append(" ".join(words).upper() if rng.random() < 0.2 else "  ".join(words))
+    texts += ["", None, "one", "one", "a b c", "a b c", "a b c d"]
+    ids = rng.sample(range(10_000), len(texts))
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+
+    def grams(text):
+        words = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(words[i : i + 4]) for i in range(len(words) - 3)} or ({tuple(words)} if words else set())
+
+    sets = dict(zip(ids, map(grams, texts)))
+    group = {i: i for i in ids}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    links = 0
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if both and 100 * both >= 85 * either:
+                links += 1
+                a, b = sorted((root(i), root(j)))
+                group[b] = a
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(df).collect()}
+    assert links > 20
+    assert found == {i: (len(sets[i]), root(i)) for i in ids}
