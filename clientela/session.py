@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +48,26 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+class _Open(threading.local):
+    """The tables settled within each open ``freed`` block of this thread, the innermost last."""
+
+    def __init__(self) -> None:
+        self.blocks: list[list[str]] = []
+
+
+_OPEN = _Open()
+
+
+def _note(path: str) -> None:
+    if _OPEN.blocks:
+        _OPEN.blocks[-1].append(path)
+
+
+def _settled(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table into the shared folder, once, and read on from there.
 
@@ -53,11 +76,35 @@ def settle(df: DataFrame) -> DataFrame:
     columns they need, and know the table's size.
     """
     path = scratch_folder(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _note(path)
+    return _settled(df, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that this thread settles inside, at the end: for work whose result is not a
+    lazy DataFrame."""
+    _OPEN.blocks.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.blocks.pop():
+            _delete(spark, path)
+
+
+def settle_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """Settle what ``make`` returns, and delete the tables that were settled on the way to it."""
+    path = scratch_folder(spark, "table")
+    _note(path)
+    with freed(spark):
+        return _settled(make(), path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete what this session has settled. Tables read from there are gone afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_root(spark))

@@ -132,6 +132,32 @@ def test_parquet_marts(spark, tmp_path):
     assert spark.table("fato_rfm_clientes").count() == 4
 
 
+def test_tables_are_freed_when_the_work_is_done(spark):
+    import os
+    from multiprocessing.pool import ThreadPool
+
+    from clientela.session import freed, settle_alone
+
+    def path(df):
+        return os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+
+    kept = settle(spark.range(3))
+    with freed(spark):
+        inner = path(settle(spark.range(5)))
+        alone = settle_alone(spark, lambda: settle(spark.range(7)).where("id > 2"))
+        assert alone.count() == 4 and os.path.isdir(inner)
+        within = path(alone)
+    assert not os.path.exists(inner) and not os.path.exists(within) and kept.count() == 3
+
+    def work(n):  # blocks of one thread leave the tables of the others alone
+        with freed(spark):
+            table = settle(spark.range(n))
+            return sum(settle(table.where(f"id < {k}")).count() for k in range(3))
+
+    with ThreadPool(4) as pool:
+        assert pool.map(work, [5] * 8) == [3] * 8
+
+
 def test_release_deletes_settled_tables(spark):
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clientela-test-"))
     settle(spark.range(3))
