@@ -6,6 +6,7 @@ again. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
 import os
 import sys
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from clientela.llm import line_dedup, ngram_join, packing, quality  # noqa: E402
 from clientela.llm.text_queries import VOCABULARY  # noqa: E402
-from clientela.session import settle  # noqa: E402
+from clientela.session import settle_alone  # noqa: E402
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +62,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; what a stage stores on its way is deleted when it is done."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir))
+        docs = settle_alone(spark, functools.partial(stage, spark, docs, sf_dir))
     return docs
