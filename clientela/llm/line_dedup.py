@@ -20,6 +20,7 @@ REACH = 3  # the least of this many, taken three times over, spans a window
 WINDOW_WORDS = REACH**3
 GRAM_WORDS = RUN_WORDS - WINDOW_WORDS + 1
 AT_BITS = (1 << 31) - 1
+WHOLE = 1 << 30  # as the last word of a run: the whole text
 # A word of over 20 characters counts as several, and a character of a script without blanks as one.
 WIDE = r"\x{2E80}-\x{FFEF}\x{20000}-\x{3FFFF}"
 NARROW = rf"[^\s{WIDE}]"
@@ -32,9 +33,31 @@ def words_with_space(text: Column) -> Column:
 
 
 def word_hashes(text: Column) -> Column:
-    """A hash for each of ``words_with_space``; white space does not count."""
-    words = F.regexp_extract_all(text, F.lit(rf"^(?=\s)|{WORD}"), F.lit(0))
-    return F.transform(words, lambda x: F.xxhash64(x))
+    """A hash for each of ``words_with_space``; white space does not count.
+
+    Splitting at white space gives the same words where none is long and no script is without
+    blanks, in half the time.
+    """
+
+    def words(found: Column) -> Column:
+        # Behind white space at the end there is no word.
+        plain = F.when(F.element_at(found, -1) == "", F.slice(found, 1, F.size(found) - 1)).otherwise(found)
+        odd = F.exists(found, lambda w: F.length(w) >= 20) | text.rlike(f"[{WIDE}]")
+        exact = F.regexp_extract_all(text, F.lit(rf"^(?=\s)|{WORD}"), F.lit(0))
+        return F.when(odd, exact).otherwise(plain)
+
+    return F.transform(bind(F.split(text, r"\s+"), words), lambda x: F.xxhash64(x))
+
+
+def later_copies(texts: DataFrame) -> DataFrame:
+    """``id``: of documents with the very text of an earlier one. An id with several rows is none."""
+    keys = settle(texts.select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key")))
+    first = (
+        keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    )
+    later = keys.join(first, "key").where("id > first").select("id")
+    single = keys.groupBy("id").agg(F.count("*").alias("n")).where("n = 1").select("id")
+    return later.join(single, "id", "left_semi")
 
 
 def _runs_of(hashes: Column, starts: Column, width: int) -> Column:
@@ -103,13 +126,17 @@ def _runs_around(df: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``cut``: for documents with later copies of passages, the runs of words to cut, as
-    sorted and separate structs (``first``, ``last``), words from 1."""
+    sorted and separate structs (``first``, ``last``), words from 1. Where the whole text is a later
+    copy, the run ends at ``WHOLE``."""
     texts = df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text")
     )
     seeds = settle(fingerprints(texts))
     several = seeds.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    found = settle(_runs_around(texts, seeds.join(several, "gram", "left_semi")))
+    # All runs of a later copy are in the first one, so they need not be compared.
+    later = settle(later_copies(texts))
+    compared = seeds.join(several, "gram", "left_semi").join(later, "id", "left_anti")
+    found = settle(_runs_around(texts, compared))
     first = (
         found.groupBy("gram")
         .agg(F.min(_place(F.col("id"))).alias("__first"), F.count("*").alias("n"))
@@ -125,10 +152,11 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .select("id", clear.alias("first"), (F.col("at") + (RUN_WORDS - 1)).alias("last"))
         .where("first <= last")
     )
+    whole = later.select("id", F.array(F.struct(F.lit(1).alias("first"), F.lit(WHOLE).alias("last"))).alias("cut"))
     so_far = Window.partitionBy("id").orderBy("first", "last")
     earlier = F.max("last").over(so_far.rowsBetween(Window.unboundedPreceding, -1))
     apart = (F.col("first") > F.coalesce(earlier + 1, F.lit(-1))).cast("int")
-    return (
+    islands = (
         runs.withColumn("apart", apart)
         .withColumn("island", F.sum("apart").over(so_far))
         .groupBy("id", "island")
@@ -136,6 +164,7 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .groupBy("id")
         .agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("cut"))
     )
+    return islands.unionByName(whole)
 
 
 def without_runs(text: Column, cut: Column) -> Column:
@@ -148,7 +177,9 @@ def without_runs(text: Column, cut: Column) -> Column:
             return F.slice(words, start, F.greatest(end - start + 1, F.lit(0)))
 
         kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(cut)), stretch))
-        return F.array_join(kept, "")
+        # A whole copy of fewer words than a run stays.
+        short = (F.get(cut, F.lit(0))["last"] == WHOLE) & (F.size(words) < RUN_WORDS)
+        return F.when(short, text).otherwise(F.array_join(kept, ""))
 
     return F.when(cut.isNull(), text).otherwise(bind(words_with_space(text), joined))
 

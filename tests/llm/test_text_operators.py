@@ -434,6 +434,41 @@ def test_passages_inside_sentences_are_cut(spark):
     assert n_cut > 300
 
 
+def test_whole_copies_are_cut_as_by_their_runs(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+
+    def some(n):
+        return [f"w{rng.randrange(500)}" for _ in range(n)]
+
+    a, b, short = some(80), some(60), some(35)
+    rows = [(1, a), (2, a), (3, a + b), (4, b), (5, b), (6, short), (7, short), (8, [*some(9), *a]),
+            (9, a), (9, some(50)), (10, b), (10, b), (11, [" "] + a), (12, [" "] + a)]
+    rows = [(i, " ".join(w)) for i, w in rows] + [(13, ""), (14, ""), (15, None), (None, " ".join(a))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def cut():
+        return sorted((r["doc_id"] or 0, r["text"] or "", r["n_cut"] or 0) for r in line_dedup.dedup_lines(df).collect())
+
+    with_copies = cut()
+    monkeypatch.setattr(line_dedup, "later_copies", lambda texts: texts.select("id").limit(0))
+    assert with_copies == cut()
+    kept = {i: t for i, t, _ in with_copies}
+    assert kept[2] == "" and kept[5] == "" and kept[7] == " ".join(short) and kept[12] == ""
+
+
+def test_words_are_hashed_alike_on_both_paths(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["", " ", "  a b ", "a\n\tb", "x" * 19 + " y", "x" * 20 + " y", "ab" * 30, "中文 words", " 中 ", "end "]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    exact = F.transform(
+        F.regexp_extract_all("text", F.lit(rf"^(?=\s)|{line_dedup.WORD}"), F.lit(0)), lambda x: F.xxhash64(x))
+    for r in df.select("text", line_dedup.word_hashes(F.col("text")).alias("a"), exact.alias("b")).collect():
+        assert r["a"] == r["b"], r["text"]
+
+
 def test_similar_groups(spark, empty):
     base = [f"w{i}" for i in range(200)]
     near = [*base[:100], "other", *base[101:]]
