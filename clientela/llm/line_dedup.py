@@ -20,6 +20,7 @@ REACH = 3  # the least of this many, taken three times over, spans a window
 WINDOW_WORDS = REACH**3
 GRAM_WORDS = RUN_WORDS - WINDOW_WORDS + 1
 AT_BITS = (1 << 31) - 1
+COPY_SALTS = 64  # over which the copies of a text are spread
 WHOLE = 1 << 30  # as the last word of a run: the whole text
 # A word of over 20 characters counts as several, and a character of a script without blanks as one.
 WIDE = r"\x{2E80}-\x{FFEF}\x{20000}-\x{3FFFF}"
@@ -54,8 +55,12 @@ def later_copies(texts: DataFrame) -> DataFrame:
     keys = settle(texts.select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key")))
     first = (
         keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+        .select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))).alias("salt"))
+    )
+    salt = F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS)).cast("int").alias("salt")
+    later = (
+        keys.select("id", "key", salt).join(first, ["key", "salt"]).where("id > first").select("id")
     )
-    later = keys.join(first, "key").where("id > first").select("id")
     single = keys.groupBy("id").agg(F.count("*").alias("n")).where("n = 1").select("id")
     return later.join(single, "id", "left_semi")
 
