@@ -156,6 +156,18 @@ def _changed(blocks: int, errors: int) -> Column:
     )
 
 
+def _first_block(blocks: int, errors: int) -> Column:
+    """The first block in which two fingerprints differ by ``errors`` bits at most: a pair is found in
+    several blocks, and counts there."""
+    found = F.lit(None).cast("int")
+    for i, (word, first, width) in reversed(list(enumerate(widths(blocks)))):
+        bits = F.shiftrightunsigned(F.col(f"q{word}").bitwiseXOR(F.col(word)), first)
+        if width < 64:
+            bits = bits.bitwiseAND(F.lit((1 << width) - 1))
+        found = F.when(F.bit_count(bits) <= errors, F.lit(i)).otherwise(found)
+    return found
+
+
 def within_radius(all_prints: DataFrame, queries: DataFrame, radius: int = 6) -> DataFrame:
     """All pairs (``q0 q1``, ``f0 f1``, ``distance``) of distinct fingerprints within ``radius``.
 
@@ -190,11 +202,13 @@ def within_radius(all_prints: DataFrame, queries: DataFrame, radius: int = 6) ->
     )
     same = [spread[c] == asked[c] for c in (*key, "part")]
     near = functools.reduce(Column.__and__, same) & (distance("q", "") <= radius)
-    return (
-        spread.join(asked, near)
-        .select(F.col("qf0").alias("q0"), F.col("qf1").alias("q1"), *WORDS64)
-        .distinct()  # a pair is found in every block where it is near
-        .withColumn("distance", distance_of("q0", "q1", *WORDS64))
+    first = _first_block(blocks, radius // blocks) == spread["block"]
+    # Sizes are guessed from before the lookups are listed, so the join is told to shuffle.
+    return spread.hint("merge").join(asked.hint("merge"), near & first).select(
+        F.col("qf0").alias("q0"),
+        F.col("qf1").alias("q1"),
+        *WORDS64,
+        distance("q", "").alias("distance"),
     )
 
 
