@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.functions import vector_to_array
@@ -14,6 +17,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clientela.shipping import ship
+
 Centres = list[list[float]]
 ITERATIONS, TOLERANCE = 300, 1e-4  # fixed values; the second in shares of the mean variance
 
@@ -31,36 +36,91 @@ def as_columns(points: DataFrame, p: str, width: int) -> DataFrame:
     return points.withColumns(entries).drop(p)
 
 
+def _square(centre: Sequence[float]) -> str:
+    return " + ".join(f"(x{i} - ({c!r}D)) * (x{i} - ({c!r}D))" for i, c in enumerate(centre))
+
+
 def nearest_centre(centres: Centres) -> Column:
     """``cost`` (squared distance) and ``cluster`` of the nearest centre; the first among equals."""
-    each = []
-    for j, centre in enumerate(centres):
-        square = " + ".join(f"(x{i} - ({c!r}D)) * (x{i} - ({c!r}D))" for i, c in enumerate(centre))
-        each.append(f"struct({square} AS cost, {j} AS cluster)")
+    each = [f"struct({_square(centre)} AS cost, {j} AS cluster)" for j, centre in enumerate(centres)]
     return F.expr(f"array_min(array({', '.join(each)}))")
 
 
+def least_cost(centres: Centres) -> Column:
+    """The squared distance of the nearest centre."""
+    each = [_square(centre) for centre in centres]
+    return F.expr(each[0] if len(each) == 1 else f"least({', '.join(each)})")
+
+
+class _Sums:
+    """Rows, cost and sums by cluster, for several sets of centres, of the points added so far."""
+
+    def __init__(self, sets: Mapping[int, Centres]):
+        self.centres = {s: np.asarray(c, dtype=float) for s, c in sets.items()}
+        width = 1 + len(next(iter(self.centres.values()))[0])  # the cost, and every coordinate
+        self.rows = {s: np.zeros(len(c), dtype=np.int64) for s, c in self.centres.items()}
+        self.known = {s: np.zeros((len(c), width), dtype=np.int64) for s, c in self.centres.items()}
+        self.sums = {s: np.zeros((len(c), width)) for s, c in self.centres.items()}
+
+    def add(self, x: np.ndarray) -> None:
+        for s, centres in self.centres.items():
+            square = np.zeros((len(x), len(centres)))
+            for i in range(x.shape[1]):
+                gap = np.subtract.outer(x[:, i], centres[:, i])
+                square += gap * gap
+            at = square.argmin(axis=1)
+            values = np.column_stack([square[np.arange(len(x)), at], x])
+            blank = np.isnan(values)
+            values[blank] = 0.0
+            self.rows[s] += np.bincount(at, minlength=len(centres))
+            for i in range(values.shape[1]):
+                self.sums[s][:, i] += np.bincount(at, weights=values[:, i], minlength=len(centres))
+                self.known[s][:, i] += np.bincount(at, weights=~blank[:, i], minlength=len(centres)).astype(np.int64)
+
+    def frame(self, names: Sequence[str]) -> pd.DataFrame:
+        found = []
+        for s, rows in self.rows.items():
+            for j in np.flatnonzero(rows):
+                sums = [float(v) if n else None for v, n in zip(self.sums[s][j], self.known[s][j], strict=True)]
+                found.append((s, int(j), int(rows[j]), *sums))
+        return pd.DataFrame(found, columns=["start", "cluster", "n", "cost", *names])
+
+
+def _partial_passes(points: DataFrame, sets: Mapping[int, Centres]) -> DataFrame:
+    """The rows of ``passes`` for each task by itself."""
+    ship(points.sparkSession)
+    names = [f"x{i}" for i in range(len(next(iter(sets.values()))[0]))]
+    given = dict(sets)
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = _Sums(given)
+        for frame in frames:
+            sums.add(frame.to_numpy(dtype=float))
+        yield sums.frame(names)
+
+    doubles = ", ".join(f"{x} double" for x in ("cost", *names))
+    return points.select(*names).mapInPandas(add, f"start int, cluster int, n bigint, {doubles}")
+
+
 def passes(points: DataFrame, sets: Mapping[int, Centres]) -> DataFrame:
     """Rows, cost and sums of every cluster of every start: ``start, cluster, n, cost, x0, …``.
 
     ``points`` has the columns ``x0`` and so on.
     """
-    width = len(next(iter(sets.values()))[0])
-    found = F.array(
-        *[F.struct(F.lit(s).alias("start"), nearest_centre(c).alias("at")) for s, c in sets.items()]
-    )
-    names = [f"x{i}" for i in range(width)]
-    return (
-        points.select(*names, F.explode(found).alias("f"))
-        .groupBy(F.col("f.start").alias("start"), F.col("f.at.cluster").alias("cluster"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("f.at.cost").alias("cost"),
-            *[F.sum(x).alias(x) for x in names],
-        )
+    sums = ["cost", *[f"x{i}" for i in range(len(next(iter(sets.values()))[0]))]]
+    return _partial_passes(points, sets).groupBy("start", "cluster").agg(
+        F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in sums]
     )
 
 
+def _pass(points: DataFrame, sets: Mapping[int, Centres]) -> dict[tuple[int, int], list[float]]:
+    """The rows, cost and sums of ``passes`` by start and cluster, on the driver."""
+    found: dict[tuple[int, int], list[list[float]]] = {}
+    for r in _partial_passes(points, sets).collect():  # for each task a row per start and cluster
+        found.setdefault((r[0], r[1]), []).append([0.0 if v is None else v for v in r[2:]])
+    return {k: [math.fsum(v) for v in zip(*rows, strict=True)] for k, rows in sorted(found.items())}
+
+
 def first_centres(points: DataFrame, width: int, k: int, starts: int, seed: int) -> dict[int, Centres]:
     """Centres far apart: each next one is drawn with a chance in proportion to the squared distance
     from those before. One aggregate draws it for all starts: of exponential waiting times with
@@ -73,7 +133,7 @@ def first_centres(points: DataFrame, width: int, k: int, starts: int, seed: int)
         for s in range(starts):
             hashed = F.xxhash64(*names, F.lit(seed), F.lit(s), F.lit(step))
             chance = (F.pmod(hashed, F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-            rate = nearest_centre(sets[s])["cost"] if sets[s] else F.lit(1.0)
+            rate = least_cost(sets[s]) if sets[s] else F.lit(1.0)
             wait = F.when(rate > 0, -F.log(chance) / rate)
             draws.append(F.min(F.when(wait.isNotNull(), F.struct(wait.alias("wait"), *names))).alias(f"s{s}"))
         row = points.agg(*draws).first()
@@ -101,18 +161,18 @@ def fit_kmeans(points: DataFrame, width: int, k: int, starts: int, seed: int = 4
     for _ in range(ITERATIONS):
         if not active:
             break
-        rows = passes(points, active).collect()  # one row for each start and cluster
         moved = dict.fromkeys(active, 0.0)
-        for r in rows:
-            old = sets[r["start"]][r["cluster"]]
-            new = [r[x] / r["n"] for x in names]
-            moved[r["start"]] += sum((a - b) ** 2 for a, b in zip(old, new, strict=True))
-            sets[r["start"]] = [new if j == r["cluster"] else c for j, c in enumerate(sets[r["start"]])]
+        for (start, cluster), (n, _, *sums) in _pass(points, active).items():
+            old, new = sets[start][cluster], [x / n for x in sums]
+            moved[start] += sum((a - b) ** 2 for a, b in zip(old, new, strict=True))
+            sets[start] = [new if j == cluster else c for j, c in enumerate(sets[start])]
         for s in active:
             iterations[s] += 1
         active = {s: sets[s] for s in active if moved[s] > least}
-    costs = passes(points, sets).groupBy("start").agg(F.sum("cost").alias("cost")).collect()
-    fits = [(r["cost"], r["start"]) for r in costs]
+    costs = dict.fromkeys(sets, 0.0)
+    for (start, _), (_, cost, *_) in _pass(points, sets).items():
+        costs[start] += cost
+    fits = [(cost, start) for start, cost in costs.items()]
     return [Fit(sets[s], float(cost), iterations[s]) for cost, s in sorted(fits)]
 
 

@@ -88,3 +88,22 @@ def test_silhouettes_by_brute_force(spark, block):
         a = d[i, same].mean() if same.any() else None
         b = min(d[i, label == k].mean() for k in set(label) if k != label[i])
         assert got[i] == pytest.approx(0.0 if a is None else (b - a) / max(a, b))
+
+
+def test_copies_for_the_silhouette_grow_with_the_rows():
+    for size in (0, 1, 5_000, 900_000, 8_000_000):
+        blocks = clusters._blocks(size, clusters.BLOCK)
+        assert 1 <= blocks <= clusters.MOST_BLOCKS
+        assert size <= blocks * clusters.LARGEST_BLOCK
+    assert clusters._blocks(40, 7) == 6
+
+
+def test_partial_passes_add_up_and_keep_blanks(spark):
+    rows = [(0.0, 1.0), (4.0, None), (5.0, 1.0), (6.0, 3.0)]
+    points = spark.createDataFrame(rows, "x0 double, x1 double").repartition(3)
+    sets = {0: [[0.0, 0.0], [5.0, 1.0]]}
+    found = {r["cluster"]: r for r in kmeans.passes(points, sets).collect()}
+    # A point with a blank coordinate has no distance and stays with the first centre.
+    assert (found[0]["n"], found[0]["cost"], found[0]["x0"], found[0]["x1"]) == (2, 1.0, 4.0, 1.0)
+    assert (found[1]["n"], found[1]["cost"], found[1]["x0"], found[1]["x1"]) == (2, 5.0, 11.0, 4.0)
+    assert kmeans._pass(points, sets) == {(0, 0): [2, 1.0, 4.0, 1.0], (0, 1): [2, 5.0, 11.0, 4.0]}
