@@ -343,3 +343,20 @@ def test_donors_are_permutations(spark):
     assert len(by) == 6
     assert all(sorted(m) == sorted(m.values()) == list(range(50)) for m in by.values())
     assert len({tuple(sorted(m.items())) for m in by.values()}) == 6
+
+
+def test_items_are_sent_once_and_counted_apart(spark):
+    rows = [("o1", 1, "p1", "s1", 10.0, 1.0), ("o1", 2, "p1", "s2", 30.0, None), ("o1", 2, "p1", "s2", 30.0, None),
+            ("o2", None, None, None, None, None), (None, 1, "p1", "s1", 1.0, 1.0)]
+    items = spark.createDataFrame(
+        rows, "order_id string, order_item_id int, product_id string, seller_id string, price double, freight_value double"
+    )
+    made = features.item_features(items, with_product=True)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Exchange") == 1
+    found = {r["order_id"]: r.asDict() for r in made.collect()}
+    assert set(found) == {"o1", "o2"}
+    one = found["o1"]
+    assert (float(one["price_total"]), float(one["freight_total"]), one["n_items"]) == (70.0, 1.0, 3)
+    assert (one["n_sellers"], one["n_products"], one["product_id"]) == (2, 1, "p1")
+    assert (found["o2"]["n_items"], found["o2"]["n_sellers"], found["o2"]["n_products"]) == (0, 0, 0)
