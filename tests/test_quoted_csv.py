@@ -60,3 +60,18 @@ def test_folders_windows_line_ends_and_blank_lines(spark, tmp_path):
     (tmp_path / "only.csv").write_text("a,b\n")
     only = read_quoted_csv(spark, str(tmp_path / "only.csv"))
     assert only.columns == ["a", "b"] and only.collect() == []
+
+
+def test_lines_with_whole_records_are_not_shuffled(spark, tmp_path):
+    path = tmp_path / "plain.csv"
+    write(path, [("a", "b"), *[(f"x{i}", 'in "quotes"') for i in range(50)]])
+    stored = quoted_records(spark, str(path))
+    rows = stored.collect()
+    assert sorted(r["record"] for r in rows) == list(range(1, 52))
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(file" in plan  # for records with breaks alone
+    broken = path.read_text() + 'y,"two\nlines"\n'
+    path.write_text(broken)
+    assert same(spark, str(path)) == 51
+    windows = plan.count("Window")
+    assert windows == 0
