@@ -360,3 +360,25 @@ def test_items_are_sent_once_and_counted_apart(spark):
     assert (float(one["price_total"]), float(one["freight_total"]), one["n_items"]) == (70.0, 1.0, 3)
     assert (one["n_sellers"], one["n_products"], one["product_id"]) == (2, 1, "p1")
     assert (found["o2"]["n_items"], found["o2"]["n_sellers"], found["o2"]["n_products"]) == (0, 0, 0)
+
+
+def test_importance_as_from_donors_joined_feature_by_feature(spark, monkeypatch):
+    """Each feature was once joined and scored by itself, with all other columns sent along."""
+    rows = [(i, float(i % 7), None if i % 5 == 0 else float(i % 3), "abc"[i % 3], int(i % 7 > 3)) for i in range(60)]
+    rows += [(3, 9.0, 1.0, "z", 1), (3, 3.0, None, None, 0)]  # an id may repeat
+    df = spark.createDataFrame(rows, "id long, a double, b double, c string, y int")
+    wanted = models.Features("id", ["a", "b"], ["c"])
+    model = models.fit(models.review_candidates()[1], df, wanted)
+    calls, plain = [], training.scored
+    monkeypatch.setattr(training, "scored", lambda *args: calls.append(1) or plain(*args))
+    found = {r["feature"]: r["importance"] for r in training.permutation_importance(model, df, wanted, repeats=2).collect()}
+    assert len(calls) == 2
+    whole = metrics.ranking_metrics(plain(model, df)).first()["average_precision"]
+    donors = training.permutation_donors(df.select("id"), "id", ["a", "b", "c"], 2, 42)
+    for name in ("a", "b", "c"):
+        taken = donors.where(F.col("feature") == name).select("id", "repeat", "donor")
+        values = df.select(F.col("id").alias("donor"), name)
+        changed = df.drop(name).join(taken, "id").join(values, "donor").drop("donor")
+        each = metrics.ranking_metrics(plain(model, changed), ["repeat"]).collect()
+        want = whole - sum(r["average_precision"] for r in each) / 2
+        assert abs(found[name] - want) < 1e-9
