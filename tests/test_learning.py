@@ -382,3 +382,14 @@ def test_importance_as_from_donors_joined_feature_by_feature(spark, monkeypatch)
         each = metrics.ranking_metrics(plain(model, changed), ["repeat"]).collect()
         want = whole - sum(r["average_precision"] for r in each) / 2
         assert abs(found[name] - want) < 1e-9
+
+
+def test_the_threshold_needs_no_score_of_training_rows(spark, monkeypatch):
+    df = splits.stratified_folds(labelled(spark, 80), "id", "y", folds=3)
+    family, counts, plain = models.review_candidates(), [], training.scored
+    monkeypatch.setattr(training, "scored", lambda m, d: counts.append(d.count()) or plain(m, d))
+    found = training.tune_threshold(df, family[0], FEATURES)
+    assert sum(counts) == 80
+    monkeypatch.setattr(training, "scored", plain)
+    every = training.fold_scores(df, [family[0]], FEATURES)
+    assert every.count() == 240 and found == training.threshold_of(every.where("part = 'test'"))
