@@ -2,8 +2,10 @@
 
 Of the words that start within a window, the one with the least hash is selected, and the
 ``GRAM_WORDS`` words from it on are a seed. Window and seed fit into ``RUN_WORDS`` words, so that any
-equal ``RUN_WORDS`` words hold the same seed. Around seeds that occur more than once, all runs of
-``RUN_WORDS`` words are compared by hash; each one that occurred earlier is cut.
+equal ``RUN_WORDS`` words hold the same seed: each run belongs to the word its window selects. The
+runs of a seed lie side by side; one hash of all their words, the span, tells whether two places
+of a seed agree as far as these runs reach. Where a span comes again, all its runs are cut at once. Only
+where one seed has several spans, the runs of each span's first place are compared one by one.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clientela.session import settle
+from clientela.session import settle, settle_by
 
 from .expressions import bind, free_name
 
@@ -24,8 +26,9 @@ COPY_SALTS = 64  # over which the copies of a text are spread
 WHOLE = 1 << 30  # as the last word of a run: the whole text
 # A word of over 20 characters counts as several, and a character of a script without blanks as one.
 WIDE = r"\x{2E80}-\x{FFEF}\x{20000}-\x{3FFFF}"
-NARROW = rf"[^\s{WIDE}]"
-WORD = rf"(?:[{WIDE}]|{NARROW}{{6}}(?={NARROW}{{14}})|{NARROW}{{1,20}})"
+# All but white space and those; the usual ones come first, as this is the quicker form.
+NARROW = r"[\x21-\x{2E7F}\x00-\x08\x0E-\x1F\x{FFF0}-\x{1FFFF}\x{40000}-\x{10FFFF}]"
+WORD = rf"(?:{NARROW}{{1,19}}+(?!{NARROW})|{NARROW}{{6}}|[{WIDE}])"
 
 
 def words_with_space(text: Column) -> Column:
@@ -36,18 +39,23 @@ def words_with_space(text: Column) -> Column:
 def word_hashes(text: Column) -> Column:
     """A hash for each of ``words_with_space``; white space does not count.
 
-    Splitting at white space gives the same words where none is long and no script is without
-    blanks, in half the time.
+    Splitting at blanks gives the same words where none is long and no script is without blanks,
+    in a third of the time.
     """
+    blanks = text
+    for space in "\t\n\x0b\f\r":
+        blanks = F.replace(blanks, F.lit(space), F.lit(" "))
 
     def words(found: Column) -> Column:
-        # Behind white space at the end there is no word.
-        plain = F.when(F.element_at(found, -1) == "", F.slice(found, 1, F.size(found) - 1)).otherwise(found)
-        odd = F.exists(found, lambda w: F.length(w) >= 20) | text.rlike(f"[{WIDE}]")
+        # White space at the start counts as a word.
+        plain = F.when(blanks.startswith(" "), F.concat(F.array(F.lit("")), found)).otherwise(found)
+        wide = (F.octet_length(text) > F.length(text)) & text.rlike(f"[{WIDE}]")
+        odd = F.exists(found, lambda w: F.octet_length(w) >= 20) | wide
         exact = F.regexp_extract_all(text, F.lit(rf"^(?=\s)|{WORD}"), F.lit(0))
         return F.when(odd, exact).otherwise(plain)
 
-    return F.transform(bind(F.split(text, r"\s+"), words), lambda x: F.xxhash64(x))
+    found = bind(F.array_remove(F.split(blanks, " "), ""), words)
+    return F.transform(found, lambda x: F.xxhash64(x))
 
 
 def later_copies(texts: DataFrame) -> DataFrame:
@@ -65,17 +73,14 @@ def later_copies(texts: DataFrame) -> DataFrame:
     return later.join(single, "id", "left_semi")
 
 
-def _runs_of(hashes: Column, starts: Column, width: int) -> Column:
-    return F.transform(
-        starts,
-        lambda at: F.struct(
-            F.xxhash64(F.slice(hashes, at, width)).alias("gram"), at.alias("at")
-        ),
-    )
+def _run(hashes: Column, at: Column, width: Column | int) -> Column:
+    return F.xxhash64(F.slice(hashes, at, width))
 
 
 def fingerprints(df: DataFrame) -> DataFrame:
-    """``gram``, ``id``, ``at`` (word, from 1): the selected seeds of each document."""
+    """``gram``, ``id``, ``at`` (word, from 1): the selected seeds of each document. The runs that belong
+    to a seed start at the words ``first`` to ``end``; ``span`` is the hash of all their words and
+    of the seed's place in them."""
 
     def least(values: Column, step: int) -> Column:
         def of(x: Column, i: Column) -> Column:
@@ -90,14 +95,57 @@ def fingerprints(df: DataFrame) -> DataFrame:
         )
         spans = bind(placed, lambda p: bind(least(p, 1), lambda q: bind(
             least(q, REACH), lambda r: least(r, REACH * REACH))))
-        full = F.slice(spans, F.lit(1), F.greatest(F.size(hashes) - (RUN_WORDS - 1), F.lit(0)))
-        starts = F.transform(
-            F.array_distinct(full), lambda x: x.bitwiseAND(F.lit(AT_BITS)).cast("int")
-        )
-        return _runs_of(hashes, starts, GRAM_WORDS)
+        n_runs = F.greatest(F.size(hashes) - (RUN_WORDS - 1), F.lit(0))
+        return bind(F.array_distinct(F.slice(spans, F.lit(1), n_runs)), lambda x: seeds(hashes, x))
+
+    def seeds(hashes: Column, chosen: Column) -> Column:
+        def place(x: Column) -> Column:
+            return x.bitwiseAND(F.lit(AT_BITS)).cast("int")
+
+        def turn(before: Column, x: Column) -> Column:
+            # The first window with x: it comes in as the least, or the one before drops out.
+            return F.when(x < before, place(x) - (WINDOW_WORDS - 1)).otherwise(place(before) + 1)
+
+        def reach(x: Column, i: Column) -> Column:
+            first = F.coalesce(turn(F.get(chosen, i - 1), x), F.lit(1))
+            end = F.coalesce(turn(x, F.get(chosen, i + 1)) - 1, F.size(hashes) - (RUN_WORDS - 1))
+            return F.struct(place(x).alias("at"), first.alias("first"), end.alias("end"))
+
+        def seed(x: Column) -> Column:
+            words = F.slice(hashes, x["first"], x["end"] - x["first"] + RUN_WORDS)
+            return F.struct(
+                _run(hashes, x["at"], GRAM_WORDS).alias("gram"),
+                x["at"].alias("at"), x["first"].alias("first"), x["end"].alias("end"),
+                F.xxhash64(words, x["at"] - x["first"]).alias("span"),
+            )
+
+        return F.transform(F.transform(chosen, reach), seed)
 
     return df.select("id", F.explode(bind(word_hashes(F.col("text")), selected)).alias("__g")).select(
-        "__g.gram", "id", "__g.at"
+        "__g.gram", "id", "__g.at", "__g.first", "__g.end", "__g.span"
+    )
+
+
+def shared_spans(seeds: DataFrame) -> DataFrame:
+    """``id``, ``first``, ``end``, ``single``: runs of seeds that occur more than once. Those of a span
+    that came earlier are to be cut; those that are ``single`` are to be compared one by one."""
+    gram = Window.partitionBy("gram")
+    span = Window.partitionBy("gram", "span")
+    several = seeds.select(
+        "*", F.count("*").over(gram).alias("n"),
+        (F.min("span").over(gram) < F.max("span").over(gram)).alias("mixed"),
+    ).where("n > 1")
+    known = several.withColumn("first_id", F.min("id").over(span)).withColumn(
+        "first_at", F.min(F.when(F.col("id") == F.col("first_id"), F.col("at"))).over(span)
+    )
+    here = F.col("id") == F.col("first_id")
+    # Within a document a run must not reach into its own first place.
+    apart = F.col("at") - F.col("first_at")
+    clear = F.when(here, F.greatest(RUN_WORDS - apart, F.lit(0))).otherwise(0)
+    single = F.col("mixed") & here
+    return known.where(single | ~here | (apart > 0)).select(
+        "id", (F.col("first") + F.when(single, 0).otherwise(clear)).alias("first"), "end",
+        single.alias("single"),
     )
 
 
@@ -106,25 +154,24 @@ def _place(order: Column) -> Column:
     return order.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("at")
 
 
-def _runs_around(df: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``gram``, ``id``, ``at``: all runs of ``RUN_WORDS`` words that hold one of the seeds."""
-    places = seeds.groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("ats"))
-
-    def around(hashes: Column) -> Column:
-        last = F.size(hashes) - (RUN_WORDS - 1)
+def _runs_in(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """``gram``, ``id``, ``at``: all runs of ``RUN_WORDS`` words that start from ``first`` to ``end``."""
+    places = spans.groupBy("id").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
-        def starts(at: Column, i: Column) -> Column:
-            # Those of the seed before are not repeated.
-            first = F.greatest(at - (WINDOW_WORDS - 1), F.coalesce(F.get("ats", i - 1), F.lit(0)) + 1)
-            end = F.least(at, last)
-            return F.when(first <= end, F.sequence(first, end)).otherwise(
+    def runs(hashes: Column) -> Column:
+        def starts(x: Column) -> Column:
+            end = F.least(x["end"], F.size(hashes) - (RUN_WORDS - 1))
+            return F.when(x["first"] <= end, F.sequence(x["first"], end)).otherwise(
                 F.array().cast("array<int>")
             )
 
-        return _runs_of(hashes, F.flatten(F.transform("ats", starts)), RUN_WORDS)
+        return F.transform(
+            F.flatten(F.transform("spans", starts)),
+            lambda at: F.struct(_run(hashes, at, RUN_WORDS).alias("gram"), at.alias("at")),
+        )
 
-    found = bind(word_hashes(F.col("text")), around)
-    return df.join(places, "id").select("id", F.explode(found).alias("__g")).select(
+    found = bind(word_hashes(F.col("text")), runs)
+    return texts.join(places.hint("shuffle_hash"), "id").select("id", F.explode(found).alias("__g")).select(
         "__g.gram", "id", "__g.at"
     )
 
@@ -136,12 +183,11 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text")
     )
-    seeds = settle(fingerprints(texts))
-    several = seeds.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     # All runs of a later copy are in the first one, so they need not be compared.
     later = settle(later_copies(texts))
-    compared = seeds.join(several, "gram", "left_semi").join(later, "id", "left_anti")
-    found = settle(_runs_around(texts, compared))
+    compared = texts.join(later.hint("shuffle_hash"), "id", "left_anti")
+    shared = settle(shared_spans(fingerprints(compared)))
+    found = settle(_runs_in(texts, shared.where("single")))
     first = (
         found.groupBy("gram")
         .agg(F.min(_place(F.col("id"))).alias("__first"), F.count("*").alias("n"))
@@ -156,6 +202,8 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .where(_place(F.col("id")) > F.col("__first"))
         .select("id", clear.alias("first"), (F.col("at") + (RUN_WORDS - 1)).alias("last"))
         .where("first <= last")
+        .unionByName(shared.where("not single").select(
+            "id", "first", (F.col("end") + (RUN_WORDS - 1)).alias("last")))
     )
     whole = later.select("id", F.array(F.struct(F.lit(1).alias("first"), F.lit(WHOLE).alias("last"))).alias("cut"))
     so_far = Window.partitionBy("id").orderBy("first", "last")
@@ -201,12 +249,16 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     table gives an empty table.
     """
     key, cut, new = (free_name(df, c) for c in ("__id", "__cut", "__new"))
+    # Stored by id, the texts need no shuffle in any of the joins.
+    df = settle_by(df, id_col)
     runs = repeated_runs(df, id_col, text_col).withColumnsRenamed({"id": key, "cut": cut})
-    joined = df.join(runs, F.col(id_col) == F.col(key), "left")
     text = F.col(text_col)
+    with_id = df.where(F.col(id_col).isNotNull())
     return (
-        joined.withColumn(new, without_runs(text, F.col(cut)))
+        with_id.join(runs.hint("shuffle_hash"), F.col(id_col) == F.col(key), "left")
+        .withColumn(new, without_runs(text, F.col(cut)))
         .withColumn("n_cut", (F.length(text) - F.length(new)).cast("long"))
         .withColumn(text_col, F.col(new))
         .drop(key, cut, new)
+        .unionAll(df.where(F.col(id_col).isNull()).withColumn("n_cut", (F.length(text) * 0).cast("long")))
     )

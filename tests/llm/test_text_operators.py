@@ -458,6 +458,44 @@ def test_whole_copies_are_cut_as_by_their_runs(spark, monkeypatch):
     assert kept[2] == "" and kept[5] == "" and kept[7] == " ".join(short) and kept[12] == ""
 
 
+def test_runs_of_a_shared_passage_are_not_all_stored(spark, monkeypatch):
+    import random
+
+    rng = random.Random(12)
+
+    def some(n):
+        return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+    passage = some(400)
+    docs = [some(20 + i) + passage + some(25) for i in range(12)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    stored, settle = [], line_dedup.settle
+
+    def counted(table):
+        kept = settle(table)
+        stored.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(line_dedup, "settle", counted)
+    out = {r["doc_id"]: r["text"].split() for r in line_dedup.dedup_lines(df).collect()}
+    assert out[0] == docs[0]
+    assert all(out[i] == docs[i][: 20 + i] + docs[i][-25:] for i in range(1, 12))
+    # There are 12 times 365 runs in the passage.
+    assert max(stored) < 12 * 365 / 3
+
+
+def test_tables_by_id_are_joined_without_a_shuffle(spark):
+    from clientela.session import settle_by
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (1, "d")], "id long, text string")
+    kept = settle_by(df, "id")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, df.collect()))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("settled_")]
+    counts = kept.groupBy("id").count()
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["count"] for r in counts.collect()} == {1: 2, 2: 1, None: 1}
+
+
 def test_words_are_hashed_alike_on_both_paths(spark):
     from pyspark.sql import functions as F
 
