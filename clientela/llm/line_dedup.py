@@ -1,8 +1,8 @@
-"""Removes later copies of passages, wherever they start: winnowing over the hashes of words.
+"""Removes later copies of passages, wherever they start: seeds chosen by the hashes of words.
 
-Of the words that start within a window, the one with the least hash is selected, and the
-``GRAM_WORDS`` words from it on are a seed. Window and seed fit into ``RUN_WORDS`` words, so that any
-equal ``RUN_WORDS`` words hold the same seed: each run belongs to the word its window selects. The
+Each run of ``RUN_WORDS`` words belongs to one of the ``WINDOW_WORDS`` words that it begins with: the first
+whose hash is very low, without one the first whose hash is low, and else the first of all. So equal runs
+belong to the same of their words, and the ``GRAM_WORDS`` words from it on, a seed, are within them. The
 runs of a seed lie side by side; one hash of all their words, the span, tells whether two places
 of a seed agree as far as these runs reach. Where a span comes again, all its runs are cut at once. Only
 where one seed has several spans, the runs of each span's first place are compared one by one.
@@ -18,10 +18,11 @@ from clientela.session import settle, settle_by
 from .expressions import bind, free_name
 
 RUN_WORDS = 36
-REACH = 3  # the least of this many, taken three times over, spans a window
-WINDOW_WORDS = REACH**3
+WINDOW_WORDS = 27
 GRAM_WORDS = RUN_WORDS - WINDOW_WORDS + 1
-AT_BITS = (1 << 31) - 1
+# Hashes below are low (one of 5) and very low (one of 14).
+LOW = -(1 << 63) + (1 << 64) // 5
+VERY_LOW = -(1 << 63) + (1 << 64) // 14
 COPY_SALTS = 64  # over which the copies of a text are spread
 WHOLE = 1 << 30  # as the last word of a run: the whole text
 # A word of over 20 characters counts as several, and a character of a script without blanks as one.
@@ -31,36 +32,63 @@ NARROW = r"[\x21-\x{2E7F}\x00-\x08\x0E-\x1F\x{FFF0}-\x{1FFFF}\x{40000}-\x{10FFFF
 WORD = rf"(?:{NARROW}{{1,19}}+(?!{NARROW})|{NARROW}{{6}}|[{WIDE}])"
 
 
+def _split(text: Column, found: Column, pattern: str) -> Column:
+    """What ``pattern`` finds in ``text``, given its stretches without white space, ``found``. These are
+    words but for those that are long or of a script without blanks; only such are split further."""
+
+    def exact(wide: Column) -> Column:
+        def other(i: Column) -> Column:
+            word = F.element_at(found, i)
+            # A character of such a script takes three bytes or more.
+            foreign = F.octet_length(word) > F.length(word) + 1
+            return (F.octet_length(word) >= 20) | (wide & foreign)
+
+        def stretch(ends: Column, j: Column) -> Column:
+            """The words behind one end and before the next, and the words of that."""
+            start, end = F.get(ends, j - 1), F.get(ends, j)
+            # Nothing comes behind the last word.
+            word = F.coalesce(F.get(found, end - 1), F.lit(""))
+            parts = F.regexp_extract_all(word, F.lit(pattern), F.lit(0))
+            return F.concat(F.slice(found, start + 1, end - start - 1), parts)
+
+        ends = F.concat(
+            F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), F.size(found)), other),
+            F.array(F.size(found) + 1),
+        )
+        return bind(ends, lambda x: F.flatten(
+            F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda j: stretch(x, j))))
+
+    def words(wide: Column) -> Column:
+        odd = wide | F.exists(found, lambda w: F.octet_length(w) >= 20)
+        return F.when(odd, exact(wide)).otherwise(found)
+
+    wide = (F.octet_length(text) > F.length(text)) & text.rlike(f"[{WIDE}]")
+    # The empty text has no words.
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(bind(wide, words))
+
+
 def words_with_space(text: Column) -> Column:
     """Words with the white space behind them; joined they are the text again."""
-    return F.regexp_extract_all(text, F.lit(rf"^\s+|{WORD}\s*"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(r"^\s+|\S+\s*"), F.lit(0))
+    return bind(found, lambda x: _split(text, x, rf"^\s+|{WORD}\s*"))
 
 
 def word_hashes(text: Column) -> Column:
-    """A hash for each of ``words_with_space``; white space does not count.
+    """A hash for each of ``words_with_space``; white space does not count."""
 
-    Splitting at blanks gives the same words where none is long and no script is without blanks,
-    in a third of the time.
-    """
-    blanks = text
-    for space in "\t\n\x0b\f\r":
-        blanks = F.replace(blanks, F.lit(space), F.lit(" "))
-
-    def words(found: Column) -> Column:
-        # White space at the start counts as a word.
-        plain = F.when(blanks.startswith(" "), F.concat(F.array(F.lit("")), found)).otherwise(found)
-        wide = (F.octet_length(text) > F.length(text)) & text.rlike(f"[{WIDE}]")
-        odd = F.exists(found, lambda w: F.octet_length(w) >= 20) | wide
-        exact = F.regexp_extract_all(text, F.lit(rf"^(?=\s)|{WORD}"), F.lit(0))
-        return F.when(odd, exact).otherwise(plain)
+    def ended(found: Column) -> Column:
+        # White space at the start counts as a word, at the end it does not.
+        blank = (F.size(found) > 1) & (F.element_at(found, -1) == "")
+        return F.when(blank, F.slice(found, 1, F.size(found) - 1)).otherwise(found)
 
-    found = bind(F.array_remove(F.split(blanks, " "), ""), words)
-    return F.transform(found, lambda x: F.xxhash64(x))
+    found = bind(F.split(text, r"[ \t\n\x0B\f\r]+"), ended)
+    return F.transform(bind(found, lambda x: _split(text, x, WORD)), lambda x: F.xxhash64(x))
 
 
 def later_copies(texts: DataFrame) -> DataFrame:
-    """``id``: of documents with the very text of an earlier one. An id with several rows is none."""
-    keys = settle(texts.select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key")))
+    """``id``: of documents with the very text, by its digest ``key``, of an earlier one. An id with several
+    rows is none."""
+    keys = texts.select("id", "key")
     first = (
         keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
         .select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))).alias("salt"))
@@ -73,56 +101,88 @@ def later_copies(texts: DataFrame) -> DataFrame:
     return later.join(single, "id", "left_semi")
 
 
-def _run(hashes: Column, at: Column, width: Column | int) -> Column:
-    return F.xxhash64(F.slice(hashes, at, width))
+def _seeds(hashes: Column) -> Column:
+    """Structs ``at`` (word, from 1), ``after``, ``until``: the seeds of a text. The runs of a seed start after
+    the one word, up to the other, and have the seed within their first words."""
+    places = "array<struct<at:int,after:int,until:int>>"
+    last = F.size(hashes) - (RUN_WORDS - 1)
 
+    def seed(at: Column, after: Column, until: Column) -> Column:
+        return F.struct(at.alias("at"), after.alias("after"), until.alias("until"))
 
-def fingerprints(df: DataFrame) -> DataFrame:
-    """``gram``, ``id``, ``at`` (word, from 1): the selected seeds of each document. The runs that belong
-    to a seed start at the words ``first`` to ``end``; ``span`` is the hash of all their words and
-    of the seed's place in them."""
+    def among(count: Column) -> Column:
+        return F.sequence(F.lit(1), count - 1)
 
-    def least(values: Column, step: int) -> Column:
-        def of(x: Column, i: Column) -> Column:
-            return F.least(x, *[F.get(values, i + k * step) for k in range(1, REACH)])
+    def of(low: Column, very_low: Column) -> Column:
+        """``low``: words, ``very_low``: indexes of those; each with one before and one behind all windows."""
 
-        return F.transform(values, of)
+        def end(j: Column) -> Column:
+            return F.get(low, F.get(very_low, j))
 
-    def selected(hashes: Column) -> Column:
-        # The place is in the lower bits, so that the first of equal hashes is the least.
-        placed = F.transform(
-            hashes, lambda x, i: x.bitwiseAND(F.lit(~AT_BITS)).bitwiseOR((i + 1).cast("long"))
-        )
-        spans = bind(placed, lambda p: bind(least(p, 1), lambda q: bind(
-            least(q, REACH), lambda r: least(r, REACH * REACH))))
-        n_runs = F.greatest(F.size(hashes) - (RUN_WORDS - 1), F.lit(0))
-        return bind(F.array_distinct(F.slice(spans, F.lit(1), n_runs)), lambda x: seeds(hashes, x))
-
-    def seeds(hashes: Column, chosen: Column) -> Column:
-        def place(x: Column) -> Column:
-            return x.bitwiseAND(F.lit(AT_BITS)).cast("int")
-
-        def turn(before: Column, x: Column) -> Column:
-            # The first window with x: it comes in as the least, or the one before drops out.
-            return F.when(x < before, place(x) - (WINDOW_WORDS - 1)).otherwise(place(before) + 1)
-
-        def reach(x: Column, i: Column) -> Column:
-            first = F.coalesce(turn(F.get(chosen, i - 1), x), F.lit(1))
-            end = F.coalesce(turn(x, F.get(chosen, i + 1)) - 1, F.size(hashes) - (RUN_WORDS - 1))
-            return F.struct(place(x).alias("at"), first.alias("first"), end.alias("end"))
-
-        def seed(x: Column) -> Column:
-            words = F.slice(hashes, x["first"], x["end"] - x["first"] + RUN_WORDS)
-            return F.struct(
-                _run(hashes, x["at"], GRAM_WORDS).alias("gram"),
-                x["at"].alias("at"), x["first"].alias("first"), x["end"].alias("end"),
-                F.xxhash64(words, x["at"] - x["first"]).alias("span"),
+        def lows(j: Column) -> Column:
+            return F.transform(
+                F.sequence(F.get(very_low, j - 1) + 1, F.get(very_low, j) - 1),
+                lambda i: seed(F.get(low, i), F.get(low, i - 1), end(j) - WINDOW_WORDS),
             )
 
-        return F.transform(F.transform(chosen, reach), seed)
+        def bare(i: Column) -> Column:
+            starts = F.sequence(F.get(low, i - 1) + 1, F.get(low, i) - WINDOW_WORDS)
+            return F.transform(starts, lambda at: seed(at, at - 1, at))
+
+        free = F.filter(
+            among(F.size(very_low)),
+            lambda j: (end(j) - end(j - 1) > WINDOW_WORDS)
+            & (F.get(very_low, j) - F.get(very_low, j - 1) > 1),
+        )
+        empty = F.filter(
+            among(F.size(low)), lambda i: F.get(low, i) - F.get(low, i - 1) > WINDOW_WORDS
+        )
+        return F.concat(
+            F.transform(among(F.size(very_low)), lambda j: seed(end(j), end(j - 1), last)),
+            F.flatten(F.transform(free, lows)),
+            F.flatten(F.transform(empty, bare)),
+        )
+
+    behind = last + WINDOW_WORDS
+    low = F.filter(F.sequence(F.lit(1), behind - 1), lambda at: F.element_at(hashes, at) < F.lit(LOW))
+
+    def chosen(x: Column) -> Column:
+        # Word 0, and the one behind, have no hash.
+        inner = F.filter(
+            among(F.size(x)), lambda i: F.get(hashes, F.get(x, i) - 1) < F.lit(VERY_LOW)
+        )
+        return F.array_distinct(F.concat(F.array(F.lit(0)), inner, F.array(F.size(x) - 1)))
+
+    found = bind(
+        F.concat(F.array(F.lit(0)), low, F.array(behind)),
+        lambda x: bind(chosen(x), lambda y: of(x, y)),
+    )
+    return F.when(last > 0, found).otherwise(F.array().cast(places))
+
+
+def _each(df: DataFrame, items: Column) -> DataFrame:
+    """``id``, ``__h`` and an item as ``__x`` for each of ``items``. As rows, not within a lambda, they are worked
+    on by generated code."""
+    # The outer form spares the check that there are any, which would work the items out twice.
+    rows = df.select("id", "__h", items.alias("__x")).select("id", "__h", F.explode_outer("__x").alias("__x"))
+    return rows.where(F.col("__x").isNotNull())
 
-    return df.select("id", F.explode(bind(word_hashes(F.col("text")), selected)).alias("__g")).select(
-        "__g.gram", "id", "__g.at", "__g.first", "__g.end", "__g.span"
+
+def fingerprints(df: DataFrame) -> DataFrame:
+    """``gram``, ``id``, ``at`` (word, from 1): the seeds of each document. The runs that belong
+    to a seed start at the words ``first`` to ``end``; ``span`` is the hash of all their words and
+    of the seed's place in them."""
+    hashed = df.select("id", word_hashes(F.col("text")).alias("__h"))
+    at = F.col("__x.at")
+    seeds = _each(hashed, _seeds(F.col("__h"))).select(
+        "id", "__h", at,
+        F.greatest(F.col("__x.after") + 1, at - (WINDOW_WORDS - 1)).alias("first"),
+        F.least(at, F.col("__x.until")).alias("end"),
+    ).where("first <= end")
+    words = F.slice("__h", F.col("first"), F.col("end") - F.col("first") + RUN_WORDS)
+    return seeds.select(
+        F.xxhash64(F.slice("__h", F.col("at"), GRAM_WORDS)).alias("gram"), "id", "at", "first", "end",
+        F.xxhash64(words, F.col("at") - F.col("first")).alias("span"),
     )
 
 
@@ -158,36 +218,31 @@ def _runs_in(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """``gram``, ``id``, ``at``: all runs of ``RUN_WORDS`` words that start from ``first`` to ``end``."""
     places = spans.groupBy("id").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
-    def runs(hashes: Column) -> Column:
-        def starts(x: Column) -> Column:
-            end = F.least(x["end"], F.size(hashes) - (RUN_WORDS - 1))
-            return F.when(x["first"] <= end, F.sequence(x["first"], end)).otherwise(
-                F.array().cast("array<int>")
-            )
-
-        return F.transform(
-            F.flatten(F.transform("spans", starts)),
-            lambda at: F.struct(_run(hashes, at, RUN_WORDS).alias("gram"), at.alias("at")),
+    def starts(x: Column) -> Column:
+        end = F.least(x["end"], F.size("__h") - (RUN_WORDS - 1))
+        return F.when(x["first"] <= end, F.sequence(x["first"], end)).otherwise(
+            F.array().cast("array<int>")
         )
 
-    found = bind(word_hashes(F.col("text")), runs)
-    return texts.join(places.hint("shuffle_hash"), "id").select("id", F.explode(found).alias("__g")).select(
-        "__g.gram", "id", "__g.at"
+    hashed = texts.join(places.hint("shuffle_hash"), "id").select(
+        "id", "spans", word_hashes(F.col("text")).alias("__h")
+    )
+    found = _each(hashed, F.flatten(F.transform("spans", starts)))
+    return found.select(
+        F.xxhash64(F.slice("__h", F.col("__x"), RUN_WORDS)).alias("gram"), "id", F.col("__x").alias("at")
     )
 
 
-def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_runs(texts: DataFrame) -> DataFrame:
     """``id``, ``cut``: for documents with later copies of passages, the runs of words to cut, as
     sorted and separate structs (``first``, ``last``), words from 1. Where the whole text is a later
-    copy, the run ends at ``WHOLE``."""
-    texts = df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text")
-    )
+    copy, the run ends at ``WHOLE``. ``texts`` has ``id``, ``text`` and the digest of this, ``key``."""
     # All runs of a later copy are in the first one, so they need not be compared.
     later = settle(later_copies(texts))
     compared = texts.join(later.hint("shuffle_hash"), "id", "left_anti")
     shared = settle(shared_spans(fingerprints(compared)))
-    found = settle(_runs_in(texts, shared.where("single")))
+    # Dealt by gram once, for the first places as for all.
+    found = _runs_in(texts, shared.where("single")).repartition("gram")
     first = (
         found.groupBy("gram")
         .agg(F.min(_place(F.col("id"))).alias("__first"), F.count("*").alias("n"))
@@ -198,7 +253,7 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Within a document a run must not reach into its own first place.
     clear = F.col("at") + F.when(ahead.between(1, RUN_WORDS), ahead.cast("int")).otherwise(0)
     runs = (
-        found.join(first, "gram")
+        found.join(first.hint("shuffle_hash"), "gram")
         .where(_place(F.col("id")) > F.col("__first"))
         .select("id", clear.alias("first"), (F.col("at") + (RUN_WORDS - 1)).alias("last"))
         .where("first <= last")
@@ -231,10 +286,15 @@ def without_runs(text: Column, cut: Column) -> Column:
 
         kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(cut)), stretch))
         # A whole copy of fewer words than a run stays.
-        short = (F.get(cut, F.lit(0))["last"] == WHOLE) & (F.size(words) < RUN_WORDS)
+        short = whole & (F.size(words) < RUN_WORDS)
         return F.when(short, text).otherwise(F.array_join(kept, ""))
 
-    return F.when(cut.isNull(), text).otherwise(bind(words_with_space(text), joined))
+    whole = F.get(cut, F.lit(0))["last"] == WHOLE
+    # Stretches without white space have a word each, at the least; the last may be empty.
+    enough = F.size(F.split(text, r"\s+", RUN_WORDS + 2)) > RUN_WORDS + 1
+    return F.when(cut.isNull(), text).when(whole & enough, "").otherwise(
+        bind(words_with_space(text), joined)
+    )
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,11 +308,15 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     as one place: they are cut where any of them would be, if their text has these words. An empty
     table gives an empty table.
     """
-    key, cut, new = (free_name(df, c) for c in ("__id", "__cut", "__new"))
-    # Stored by id, the texts need no shuffle in any of the joins.
-    df = settle_by(df, id_col)
-    runs = repeated_runs(df, id_col, text_col).withColumnsRenamed({"id": key, "cut": cut})
+    key, cut, new, digest = (free_name(df, c) for c in ("__id", "__cut", "__new", "__digest"))
     text = F.col(text_col)
+    # Stored by id, the texts need no shuffle in any of the joins.
+    df = settle_by(df.withColumn(digest, F.unhex(F.md5(text.cast("binary")))), id_col)
+    texts = df.where(F.col(digest).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), text.alias("text"), F.col(digest).alias("key")
+    )
+    df = df.drop(digest)
+    runs = repeated_runs(texts).withColumnsRenamed({"id": key, "cut": cut})
     with_id = df.where(F.col(id_col).isNotNull())
     return (
         with_id.join(runs.hint("shuffle_hash"), F.col(id_col) == F.col(key), "left")

@@ -484,6 +484,47 @@ def test_runs_of_a_shared_passage_are_not_all_stored(spark, monkeypatch):
     assert max(stored) < 12 * 365 / 3
 
 
+def test_every_run_has_one_seed_and_equal_runs_the_same(spark):
+    import random
+
+    rng = random.Random(21)
+
+    def some(n, kinds):
+        return [f"w{rng.randrange(kinds)}" for _ in range(n)]
+
+    passage = some(90, 400)
+    docs = [some(300, 400) + passage, passage + some(50, 6), some(9, 3) * 12, ["a"] * 80,
+            some(37, 90), some(36, 90), some(35, 90), ["|"] * 50 + passage + ["|"] * 50]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "id long, text string")
+    found = line_dedup.fingerprints(df)
+    # What is done for each seed is done in rows, not within a lambda.
+    assert "lambdafunction(struct(gram" not in found._jdf.queryExecution().optimizedPlan().toString()
+    owner, of_words, of_span = {}, {}, {}
+    for r in found.collect():
+        words = docs[r["id"]]
+        for k in range(r["first"], r["end"] + 1):
+            assert (r["id"], k) not in owner
+            owner[r["id"], k] = r["at"]
+            assert k <= r["at"] and r["at"] + line_dedup.GRAM_WORDS <= k + line_dedup.RUN_WORDS
+            run = tuple(words[k - 1 : k - 1 + line_dedup.RUN_WORDS])
+            assert of_words.setdefault(run, (r["gram"], r["at"] - k)) == (r["gram"], r["at"] - k)
+        reach = (r["at"] - r["first"], tuple(words[r["first"] - 1 : r["end"] - 1 + line_dedup.RUN_WORDS]))
+        assert of_span.setdefault(r["span"], reach) == reach
+    assert len(owner) == sum(max(len(w) - line_dedup.RUN_WORDS + 1, 0) for w in docs)
+
+
+def test_words_with_space_are_those_of_the_expression(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["", " ", "\n a  b\t", "x" * 19 + "  y", "x" * 45 + "中" + "y" * 21 + " é b \r\n", "é" * 25 + " a",
+             "中文 words 、x", "end "]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    exact = F.regexp_extract_all("text", F.lit(rf"^\s+|{line_dedup.WORD}\s*"), F.lit(0))
+    split = line_dedup.words_with_space(F.col("text"))
+    for r in df.select("text", split.alias("a"), exact.alias("b")).collect():
+        assert r["a"] == r["b"] and "".join(r["a"]) == r["text"]
+
+
 def test_tables_by_id_are_joined_without_a_shuffle(spark):
     from clientela.session import settle_by
 
