@@ -393,3 +393,38 @@ def test_the_threshold_needs_no_score_of_training_rows(spark, monkeypatch):
     monkeypatch.setattr(training, "scored", plain)
     every = training.fold_scores(df, [family[0]], FEATURES)
     assert every.count() == 240 and found == training.threshold_of(every.where("part = 'test'"))
+
+
+@pytest.mark.parametrize("place", [1, 2, 3])
+def test_importance_by_codes_is_that_of_copies_scored_one_by_one(spark, monkeypatch, place):
+    df = labelled(spark, 150).withColumn("g", F.when(F.col("id") % 11 > 0, F.col("g")))
+    model = models.fit(FAMILY[place], df, FEATURES)
+    assert models.Coding.of(model, FEATURES) is not None
+    monkeypatch.setattr(training, "CURVE_PART", 40)
+    found = training.permutation_importance(model, df, FEATURES, repeats=2).collect()
+    monkeypatch.setattr(training.Coding, "of", lambda *_: None)
+    want = training.permutation_importance(model, df, FEATURES, repeats=2).collect()
+    assert {r["feature"] for r in found} == {r["feature"] for r in want} == {"x1", "x2", "g"}
+    by = {r["feature"]: r["importance"] for r in want}
+    assert all(r["importance"] == pytest.approx(by[r["feature"]], abs=1e-9) for r in found)
+
+
+def test_copies_do_not_go_through_the_preparation(spark, monkeypatch):
+    df = labelled(spark, 60)
+    model = models.fit(FAMILY[1], df, FEATURES)
+    sizes, plain = [], training.scored
+    monkeypatch.setattr(training, "scored", lambda m, d: sizes.append(d.count()) or plain(m, d))
+    training.permutation_importance(model, df, FEATURES, repeats=4).collect()
+    assert sizes == [60, 60]  # not 720 copies
+
+
+def test_precision_by_place_is_that_of_the_curves(spark):
+    rows = [(i % 3 % 2, [0, 4] if i % 2 else [4], [float(i % 5), float(i % 7)] if i % 2 else [float(i % 7)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "y int, places array<int>, score array<double>")
+    flat = df.select("y", F.explode(F.arrays_zip("places", "score")).alias("c")).select("y", "c.places", "c.score")
+    want = {r["places"]: r["average_precision"] for r in metrics.ranking_metrics(flat, ["places"]).collect()}
+    for edges in ([], [1.0, 3.5], [0.0, 100.0]):
+        found = {r["place"]: r["average_precision"] for r in metrics.precision_by_place(df, edges).collect()}
+        assert set(found) == {0, 4} and all(found[p] == pytest.approx(want[p]) for p in want)
+    none = metrics.precision_by_place(df.withColumn("y", F.lit(0))).collect()
+    assert [r["average_precision"] for r in none] == [None, None]
