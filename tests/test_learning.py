@@ -428,3 +428,10 @@ def test_precision_by_place_is_that_of_the_curves(spark):
         assert set(found) == {0, 4} and all(found[p] == pytest.approx(want[p]) for p in want)
     none = metrics.precision_by_place(df.withColumn("y", F.lit(0))).collect()
     assert [r["average_precision"] for r in none] == [None, None]
+
+
+def test_a_feature_without_influence_loses_nothing(spark):
+    df = labelled(spark, 90).withColumn("g", F.lit("a"))
+    model = models.fit(FAMILY[1], df, FEATURES)
+    found = {r["feature"]: r["importance"] for r in training.permutation_importance(model, df, FEATURES, repeats=3).collect()}
+    assert found["g"] == 0.0 and found["x1"] > 0.05
