@@ -435,3 +435,18 @@ def test_a_feature_without_influence_loses_nothing(spark):
     model = models.fit(FAMILY[1], df, FEATURES)
     found = {r["feature"]: r["importance"] for r in training.permutation_importance(model, df, FEATURES, repeats=3).collect()}
     assert found["g"] == 0.0 and found["x1"] > 0.05
+
+
+def test_more_rounds_of_boosting_need_no_more_jobs(spark):
+    df = splits.stratified_folds(labelled(spark), "id", "y", folds=2)
+
+    def jobs(rounds):
+        settings = {"iterations": rounds, "depth": 3, "step": 0.01}
+        family = models.candidates("id", {"trees": 2, "depth": 2, "least_rows": 5}, settings)
+        counter = spark.sparkContext._jsc.sc().dagScheduler()
+        before = counter.numTotalJobs()
+        table = training.cross_validate(df, [family[0], family[3]], FEATURES).collect()
+        assert [r["model"] for r in table] == ["baseline", "boosting"]
+        return counter.numTotalJobs() - before
+
+    assert jobs(40) < jobs(2) + 38  # one level of each tree of a fold alone would be 38 more
